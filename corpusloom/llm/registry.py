@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, mixing, secrets, sharding, tokens
+from . import langid, media, mixing, secrets, sharding, tokens
 
-_MODULES = (sharding, secrets, media, tokens, mixing)
+_MODULES = (sharding, secrets, media, langid, tokens, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
