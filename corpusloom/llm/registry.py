@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, repeats, secrets, sharding, tokens
+from . import langid, media, mixing, nearest, repeats, secrets, sharding, tokens
 
-_MODULES = (repeats, sharding, secrets, media, langid, tokens, mixing)
+_MODULES = (repeats, sharding, secrets, media, langid, nearest, tokens, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
