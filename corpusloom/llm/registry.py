@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, media, mixing, nearest, repeats, secrets, sharding, tokens
+from . import decontaminate, htmltext, langid, media, mixing, nearest, repeats, secrets, sharding, tokens
 
-_MODULES = (repeats, sharding, secrets, htmltext, media, langid, nearest, tokens, mixing)
+_MODULES = (repeats, sharding, secrets, htmltext, media, langid, decontaminate, nearest, tokens, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
