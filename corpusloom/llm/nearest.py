@@ -120,7 +120,7 @@ def signed(docs: DataFrame, *, weighted: bool = False) -> DataFrame:
     """key, n_shingles, set (hash of the shingle set, null without words) and sig (array of int, null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(500_000)
+        hashes = WordHashes(150_000)
         for whole in batches:
             for lo in range(0, len(whole), 1000):
                 b = whole.slice(lo, 1000)
@@ -159,7 +159,7 @@ def _similar(pairs: DataFrame, packed: DataFrame, least: float, weighted: bool)
     """Pairs whose exact shingle sets have at least the similarity ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(500_000)
+        hashes = WordHashes(150_000)
         cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def of(key: int, z: bytes) -> tuple[np.ndarray, np.ndarray]:
