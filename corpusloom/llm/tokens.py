@@ -43,7 +43,9 @@ class PieceCounter:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         # then a text can be cut before each run of spaces
         self.cuts = not any(_MARK in p.lstrip(_MARK) for p in pieces) and self.model.normalize("  ﬁ ") == f"{_MARK * 3}ﬁ{_MARK}"
-        self.known: dict[str, int] = {}
+        # a space at the end of a text: a pre-token of which nothing is left without its first space
+        self.lone = len(self.model.encode("x ")) - len(self.model.encode("x"))
+        self.known: dict[str, int] = {"": self.lone}
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.cuts:
@@ -60,7 +62,8 @@ class PieceCounter:
         new = [p for p in set(cut) if p not in known]
         if len(known) + len(new) > MOST_KNOWN:
             known.clear()
-            new = list(set(cut))
+            known[""] = self.lone
+            new = list(set(cut) - {""})
         far: dict[str, int] = {}
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
