@@ -5,11 +5,11 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """(queries by name, SQL by name) of every plan module."""
-    from . import classification, evaluation, extraction, graph, history, listing, ranking, search, state
+    from . import classification, extraction, listing, search
 
     queries: dict = {}
     sql: dict = {}
-    for m in (listing, search, extraction, classification, ranking, graph, history, evaluation, state):
+    for m in (listing, search, extraction, classification):
         queries |= m.QUERIES
         sql |= m.SQL
     return queries, sql
