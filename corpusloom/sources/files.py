@@ -11,8 +11,7 @@ from ..functions.text import glob_regex
 def inventory(spark: SparkSession, root: str, glob: str = "*", *, content: bool = True) -> DataFrame:
     """path (under root), size, modified and, on request, the text of every file under root that matches the glob."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:") + "/")
-    rel = F.substring_index(F.col("path"), base, -1)
+    rel = F.substring_index("path", root.rstrip("/").split("://")[-1].removeprefix("file:") + "/", -1)
     out = files.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *([F.decode("content", "UTF-8").alias("body")] if content else []))
     return out.where(~F.col("path").rlike(r"(^|/)(\.git|node_modules|vendor)/"))
 
