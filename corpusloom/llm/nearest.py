@@ -7,14 +7,16 @@ to a rank at which the coordinates are expected to be full, further only for doc
 agree in a coordinate with a probability equal to their (weighted) Jaccard similarity. Weights are 1 by default, which
 gives the similarity of shingle sets; ``weighted`` takes the number of occurrences.
 
-Joining is banded. Equal shingle sets are merged first, so copies cost one signature. Each bucket has a leader, and its
-members are compared with the leader alone; rounds with other leaders follow only for buckets whose members are not yet in
-one class, and what is left after the last round is compared pair by pair in those buckets, so no pair that shares a
-bucket and lies in two classes goes untested. Candidates are verified on the texts: similarity of the exact shingle sets.
-Classes are the connected components of the links (large-star and small-star steps on tables).
+Joining is banded. Equal shingle sets are merged first, so copies cost one signature. Each bucket has a leader. First each
+document is compared with the least of its leaders alone; rounds in which members meet the (other) leaders of their
+buckets follow only for buckets whose members are not yet in one class. What is left after the last round is compared
+within those buckets, so no pair that shares a bucket and lies in two classes goes untested: a bucket is cut into blocks
+of bounded size, each two blocks meet in one cell, and a cell returns at most one link for each document, never its pairs.
+Candidates are verified on the texts: similarity of the exact shingle sets. Classes are the connected components of the
+links (large-star and small-star steps on tables).
 
 Skew: bucket leaders and component minima come from aggregates with a map-side combine; the joins back to the members are
-plain joins of stored tables, whose skewed partitions the engine splits.
+plain joins of stored tables, whose skewed partitions the engine splits; cells are bounded in shingles.
 
 Nulls, ties and odd input: null texts and texts without words are each a class of their own; a text of fewer than SHINGLE
 words is one shingle; a null doc_id counts as the largest; rows that share a doc_id share a class; the class id is the
@@ -42,7 +44,9 @@ K = BANDS * ROWS
 LOWEST_CELL = 2.0**-6
 #: Pairs whose signatures agree less are not verified: 7 standard deviations under SIMILAR.
 LEAST_AGREEMENT = 0.55
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Shingles of a block of a bucket, at least and at most (but for one larger document); between them, a quarter of the bucket.
+LEAST_BLOCK, MOST_BLOCK = 64_000, 2_000_000
 LAST = 2**63 - 1
 _C = np.uint64(0xD1342543DE82EF95)
 _TO_UNIT = 2.0**-64
@@ -197,14 +201,74 @@ def components(links: DataFrame) -> DataFrame:
     return stored(edges.select(F.col("u").alias("key"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("class")).distinct()))
 
 
+def linked_in_cell(keys: list[int], classes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between documents of different classes (and blocks, if there are two), as few as join the same classes."""
+    n = len(keys)
+    size = np.array([len(x) for x in sets])
+    h, own = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    two = bool((blocks != blocks[0]).any())
+    _, now, each = np.unique(classes, return_inverse=True, return_counts=True)
+    links = []
+    for x in np.flatnonzero(now != each.argmax()):  # of two documents in different classes, one is not in the largest
+        lo, hi = np.searchsorted(h, sets[x], "left"), np.searchsorted(h, sets[x], "right")
+        runs = hi - lo
+        at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(lo, runs)
+        both = np.bincount(own[at], minlength=n)
+        ok = (both >= least * (size + size[x] - both)) & (now != now[x])
+        if two:
+            ok &= blocks != blocks[x]
+        for c, y in dict(zip(now[ok].tolist(), np.flatnonzero(ok).tolist(), strict=True)).items():
+            links.append((keys[x], keys[y]))
+            now[now == c] = now[x]
+    return links
+
+
+def _linked_in_buckets(left: DataFrame, packed: DataFrame, sizes: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """Links (a, b) between members (bucket, key, class) of a bucket in different classes; sizes: key, n_shingles."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(150_000)
+        for b in batches:
+            out = []
+            for z in b.column("packed").to_pylist():
+                h, n = shingles(zstandard.decompress(z).split(), hashes)
+                if weighted:  # the i-th occurrence of a shingle is an element of its own
+                    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    h = mixed(np.repeat(h, n) + i.astype(np.uint64) * _C)
+                out.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], ["key", "elements"])
+
+    def link(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+        found = linked_in_cell(t.column("key").to_pylist(), t.column("class").to_numpy(), t.column("block").to_numpy(), sets, least)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    total = F.sum("n_shingles")
+    block = F.least(F.greatest(total / 4, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    blocks = left.join(sizes, "key").groupBy("bucket").agg(F.ceil(total / block).cast("int").alias("blocks"))
+    placed = left.join(stored(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "class")
+    sets = stored(packed.join(left.select("key").distinct(), "key", "left_semi").mapInArrow(elements, "key long, elements binary"))
+    return cells.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct()
+
+
+def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, key, class of the members of buckets with more than one class."""
+    rows = stored(members.join(classes, "key", "left").select("bucket", "key", F.coalesce("class", "key").alias("class")))
+    mixed_ = stored(rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket"))
+    return stored(rows.join(mixed_, "bucket"))
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and n_shingles for each row of docs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     signs = stored(signed(rows, weighted=weighted))
     # copies: one representative for each shingle set
     reps = stored(signs.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("rep")))
-    firsts = signs.join(reps, "set").where("key = rep").select("key", "sig").dropDuplicates(["key"])
-    sigs = stored(firsts)
+    sigs = stored(signs.join(reps, "set").where("key = rep").select("key", "sig", "n_shingles").dropDuplicates(["key"]))
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])).alias("i", "bucket")
     members = sigs.select("key", band).select("key", "bucket")
     # buckets of two and more
@@ -221,31 +285,23 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool =
     own = stored(sigs.join(wanted, "key", "left_semi"))
     check = lambda pairs: stored(_similar(stored(_agreeing(pairs, own)), packed, least, weighted))
 
-    links, classes = None, None
-    left = members.withColumn("class", F.col("key"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == STAR_ROUNDS:
-            pairs = left.alias("x").join(left.alias("y"), "bucket").where("x.class < y.class").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-        else:
-            # the least document leads first, then ones drawn by hash; a leader has been compared with all, so it leaves
-            by = F.col("key") if turn == 0 else F.xxhash64("key", F.lit(turn))
-            lead = stored(left.groupBy("bucket").agg(F.min(F.struct(by.alias("o"), F.col("key").alias("a"), F.col("class").alias("ca"))).alias("m")).select("bucket", "m.a", "m.ca"))
-            joined = left.join(lead, "bucket")
-            pairs = joined.where("key != a AND class != ca").select("a", F.col("key").alias("b")).distinct()
-        found = check(pairs)
-        links = found if links is None else stored(links.union(found))
-        if turn == STAR_ROUNDS:
-            break
-        classes = components(links)
-        rest = joined.where("key != a").select("bucket", "key").join(classes, "key", "left").select("bucket", "key", F.coalesce("class", "key").alias("class"))
-        rest = stored(rest)
-        open_ = stored(rest.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket"))
-        left = stored(rest.join(open_, "bucket"))
+    lead = stored(members.groupBy("bucket").agg(F.min("key").alias("a")))
+    nearest = members.join(lead, "bucket").where("key != a").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
+    links = check(nearest.select("a", "b"))
+    classes = components(links)
+    left = _open(members, classes)
+    for turn in range(STAR_ROUNDS):
         if left.isEmpty():
             break
-    else:
-        turn = STAR_ROUNDS
-    if turn == STAR_ROUNDS:
+        # a leader meets all members of its bucket, so it leaves the bucket afterwards
+        by = F.xxhash64("key", F.lit(turn)).alias("o")
+        lead = stored(left.groupBy("bucket").agg(F.min(F.struct(by, F.col("key").alias("a"), F.col("class").alias("ca"))).alias("m")).select("bucket", "m.a", "m.ca"))
+        joined = left.join(lead, "bucket").where("key != a")
+        links = stored(links.union(check(joined.where("class != ca").select("a", F.col("key").alias("b")).distinct())))
+        classes = components(links)
+        left = _open(joined.select("bucket", "key"), classes)
+    if not left.isEmpty():
+        links = stored(links.union(_linked_in_buckets(left, packed, own.select("key", "n_shingles"), least, weighted)))
         classes = components(links)
     of_rep = reps.join(classes, reps["rep"] == classes["key"], "left").select("set", F.coalesce("class", "rep").alias("class"))
     out = signs.select("key", "n_shingles", "set").join(stored(of_rep), "set", "left")

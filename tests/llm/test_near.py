@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm.common import WordHashes
-from corpusloom.llm.nearest import K, components, dart_signatures, near_duplicates, shingles
+from corpusloom.llm.nearest import K, components, dart_signatures, linked_in_cell, near_duplicates, shingles, similarity
 
 from .fixtures import documents, frame, odd, with_clashes, words
 
@@ -81,6 +81,50 @@ def test_repeated_ids_nulls_clashes_and_empty(spark):
     assert near_duplicates(frame(spark, [], parts=1)).count() == 0
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_cell_joins_the_classes_that_all_its_pairs_join(two):
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        base = rng.integers(0, 2**60, 60).astype(np.uint64)
+        sets = []
+        for _ in range(14):
+            x = base.copy()
+            x[rng.choice(60, rng.integers(0, 9), replace=False)] = rng.integers(0, 2**60, 1).astype(np.uint64)
+            sets.append(np.unique(x))
+        classes, blocks = rng.integers(0, 8, 14), rng.integers(0, 2, 14) if two else np.zeros(14, int)
+
+        def joined(pairs, classes=classes):
+            now = classes.tolist()
+            for x, y in pairs:
+                now = [now[x] if c == now[y] else c for c in now]
+            return [[a == b for b in now] for a in now]
+
+        every = [(x, y) for x in range(14) for y in range(x) if similarity((sets[x], None), (sets[y], None)) >= 0.8 and (not two or len(set(blocks)) == 1 or blocks[x] != blocks[y])]
+        links = linked_in_cell(list(range(14)), classes, blocks, sets, 0.8)
+        assert joined(links) == joined(every) and set(map(frozenset, links)) <= set(map(frozenset, every))
+
+
+@pytest.mark.parametrize("blocks", [(200, 400), (64_000, 2_000_000)])
+def test_group_of_near_copies_with_outliers(spark, monkeypatch, blocks):
+    import corpusloom.llm.nearest as m
+
+    monkeypatch.setattr(m, "LEAST_BLOCK", blocks[0])
+    monkeypatch.setattr(m, "MOST_BLOCK", blocks[1])
+    rng = random.Random(3)
+    base = [f"n{i}" for i in range(140)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(140)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    got, first = {r.doc_id: r.class_id for r in near_duplicates(frame(spark, rows)).collect()}, {}
+    want = brute(rows)
+    for i, c in enumerate(want):
+        first.setdefault(c, i)
+    assert got == {i: first[c] for i, c in enumerate(want)}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_signatures_agree_as_often_as_sets_are_similar(weighted):
     rng = np.random.default_rng(2)
