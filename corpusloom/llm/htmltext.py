@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import table
+from .common import bounded_batches, table
 
 PAGES, SEED = 400, 5
 
@@ -318,6 +318,7 @@ def extract(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     trees = model() if trees is None else trees  # a few kB, whatever the data
     kind = pages.schema["page_id"].dataType.simpleString()
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

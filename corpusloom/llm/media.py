@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: Bytes of a frame (one sample of the track), frames of a chunk, and every so many frames a key frame.
 FRAME, CHUNK, KEY_EVERY = 576, 16, 8
@@ -152,6 +152,7 @@ def read_payload(data: bytes) -> bytes:
 def media_columns(docs: DataFrame, *, with_media: bool = False) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; media on request."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
 
     def row(text: str) -> tuple:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, mixed, stored, table
+from .common import WordHashes, bounded_batches, grams, mixed, stored, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -124,10 +124,10 @@ def signed(docs: DataFrame, *, weighted: bool = False) -> DataFrame:
     """key, n_shingles, set (hash of the shingle set, null without words) and sig (array of int, null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(150_000)
+        hashes = WordHashes(100_000)
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                b = whole.slice(lo, 1000)
+            for lo in range(0, len(whole), 200):
+                b = whole.slice(lo, 200)
                 each = [shingles(t.split(), hashes) for t in b.column("text").to_pylist()]
                 full = [i for i, (s, _) in enumerate(each) if len(s)]
                 sig = dart_signatures([each[i][0] for i in full], [each[i][1] for i in full] if weighted else None) if full else np.empty((0, K), np.uint32)
@@ -265,6 +265,7 @@ def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and n_shingles for each row of docs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    bounded_batches(docs.sparkSession)
     signs = stored(signed(rows, weighted=weighted))
     # copies: one representative for each shingle set
     reps = stored(signs.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("rep")))

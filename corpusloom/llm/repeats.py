@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, mixed, table
+from .common import WordHashes, bounded_batches, grams, mixed, table
 
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text of a bucket of documents (on average) and of a chunk of a scan (at most, but for one longer document).
@@ -208,6 +208,7 @@ _OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64(
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) and factors (start, words, source doc_id)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)

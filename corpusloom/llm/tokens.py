@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -92,6 +92,7 @@ def _batches(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. model: a sentencepiece file, by default MODEL."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
