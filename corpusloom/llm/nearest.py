@@ -19,8 +19,10 @@ Skew: bucket leaders and component minima come from aggregates with a map-side c
 plain joins of stored tables, whose skewed partitions the engine splits; cells are bounded in shingles.
 
 Nulls, ties and odd input: null texts and texts without words are each a class of their own; a text of fewer than SHINGLE
-words is one shingle; a null doc_id counts as the largest; rows that share a doc_id share a class; the class id is the
-least doc_id of the class; an empty table gives no rows; only doc_id and text are read.
+words is one shingle; each shingle set has a key of its own, so rows that share a doc_id, or have none, are all compared;
+rows with words that share a doc_id are linked and share a class; rows without doc_id are not linked by that, and their
+doc_id counts as the largest; the class id is the least doc_id of the class (null if none has one); an empty table gives
+no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -120,8 +122,13 @@ def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = N
     return (best & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _digests(b: pa.RecordBatch) -> pa.Array:
+    return pa.array(list(map(xxhash.xxh3_128_digest, b.column("text").to_pylist())), pa.binary())
+
+
 def signed(docs: DataFrame, *, weighted: bool = False) -> DataFrame:
-    """key, n_shingles, set (hash of the shingle set, null without words) and sig (array of int, null without words)."""
+    """id, digest (of the text), n_shingles, set (hash of the shingle set, null without words) and sig (array of int, null
+    without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(100_000)
@@ -137,10 +144,11 @@ def signed(docs: DataFrame, *, weighted: bool = False) -> DataFrame:
                     names[i] = xxhash.xxh3_128_digest(each[i][0].tobytes() + (each[i][1].tobytes() if weighted else b""))
                     sigs[i] = sig[j].view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("key"), pa.array([len(s) for s, _ in each], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["key", "n_shingles", "set", "sig"]
+                    [b.column("id"), _digests(b), pa.array([len(s) for s, _ in each], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
+                    ["id", "digest", "n_shingles", "set", "sig"],
                 )
 
-    return docs.mapInArrow(run, "key long, n_shingles long, set binary, sig array<int>")
+    return docs.mapInArrow(run, "id long, digest binary, n_shingles long, set binary, sig array<int>")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -262,14 +270,23 @@ def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(rows.join(mixed_, "bucket"))
 
 
+def _sharing_ids(signs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the shingle sets of rows that share a doc_id."""
+    full = signs.where((F.col("id") != LAST) & F.col("set").isNotNull())
+    repeated = stored(full.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    keys = stored(full.join(repeated, "id").select("id", "set").distinct().join(reps, "set").select("id", "key"))
+    lead = stored(keys.groupBy("id").agg(F.min("key").alias("a")))
+    return keys.join(lead, "id").where("key != a").select("a", F.col("key").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and n_shingles for each row of docs."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     bounded_batches(docs.sparkSession)
     signs = stored(signed(rows, weighted=weighted))
-    # copies: one representative for each shingle set
-    reps = stored(signs.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("rep")))
-    sigs = stored(signs.join(reps, "set").where("key = rep").select("key", "sig", "n_shingles").dropDuplicates(["key"]))
+    # copies: one key and one representative for each shingle set
+    reps = stored(signs.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep")).withColumn("key", F.monotonically_increasing_id()))
+    sigs = stored(signs.join(reps, "set").where("id = rep").select("key", "rep", "digest", "sig", "n_shingles").dropDuplicates(["key"]))
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])).alias("i", "bucket")
     members = sigs.select("key", band).select("key", "bucket")
     # buckets of two and more
@@ -280,15 +297,16 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool =
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = zstandard.ZstdCompressor(3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(list(map(of, b.column("text").to_pylist())), pa.binary())], ["key", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), _digests(b), pa.array(list(map(of, b.column("text").to_pylist())), pa.binary())], ["id", "digest", "packed"])
 
-    packed = stored(rows.mapInArrow(pack, "key long, packed binary").join(wanted, "key", "left_semi"))
     own = stored(sigs.join(wanted, "key", "left_semi"))
+    packed = rows.mapInArrow(pack, "id long, digest binary, packed binary").join(own.select("key", F.col("rep").alias("id"), "digest"), ["id", "digest"])
+    packed = stored(packed.select("key", "packed").dropDuplicates(["key"]))
     check = lambda pairs: stored(_similar(stored(_agreeing(pairs, own)), packed, least, weighted))
 
     lead = stored(members.groupBy("bucket").agg(F.min("key").alias("a")))
     nearest = members.join(lead, "bucket").where("key != a").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
-    links = check(nearest.select("a", "b"))
+    links = stored(check(nearest.select("a", "b")).union(_sharing_ids(signs, reps)))
     classes = components(links)
     left = _open(members, classes)
     for turn in range(STAR_ROUNDS):
@@ -304,10 +322,12 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool =
     if not left.isEmpty():
         links = stored(links.union(_linked_in_buckets(left, packed, own.select("key", "n_shingles"), least, weighted)))
         classes = components(links)
-    of_rep = reps.join(classes, reps["rep"] == classes["key"], "left").select("set", F.coalesce("class", "rep").alias("class"))
-    out = signs.select("key", "n_shingles", "set").join(stored(of_rep), "set", "left")
+    named = stored(classes.join(reps.select("key", "rep"), "key"))
+    first = stored(named.groupBy("class").agg(F.min("rep").alias("first")))
+    of_set = reps.join(stored(named.join(first, "class").select("key", "first")), "key", "left").select("set", F.coalesce("first", "rep").alias("class"))
+    out = signs.select("id", "n_shingles", "set").join(stored(of_set), "set", "left")
     id_ = lambda c: F.when(c != LAST, c)
-    return out.select(id_(F.col("key")).alias("doc_id"), id_(F.coalesce("class", "key")).alias("class_id"), "n_shingles")
+    return out.select(id_(F.col("id")).alias("doc_id"), id_(F.coalesce("class", "id")).alias("class_id"), "n_shingles")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

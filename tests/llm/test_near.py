@@ -154,3 +154,19 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (3, 10), (10, 11), (20, 21), (21, 22), (22, 20)]
     got = {r["key"]: r["class"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20}
+
+
+def test_texts_under_one_id_or_none_keep_their_links(spark):
+    rng = random.Random(8)
+    text = [[f"t{k}w{rng.randrange(10**6)}" for _ in range(80 + 10 * k)] for k in range(8)]
+    near = lambda k: " ".join([*text[k][:-1], f"other{rng.randrange(10**6)}"])
+    rows = [(k, near(k)) for k in range(8)]
+    rows += [(None, near(k)) for k in (0, 1, 2)]  # other texts without doc_id
+    rows += [(50, near(k)) for k in (3, 4, 5)] + [(50, near(3))] + [(60, " ".join(text[6]))] * 3
+    rows += [(None, "alone without an id " + " ".join(f"x{i}" for i in range(30))), (7, "under the id of another text " + " ".join(f"y{i}" for i in range(40)))]
+    got = sorted((r.doc_id, r.class_id, r.n_shingles) for r in near_duplicates(frame(spark, rows, "doc_id long, text string")).collect() if r.doc_id is not None)
+    n = lambda t: len(sets(t))
+    classes = {4: 3, 5: 3, 50: 3, 60: 6}
+    assert got == sorted((d, classes.get(d, d), n(t)) for d, t in rows if d is not None)
+    got = {(r.class_id, r.n_shingles) for r in near_duplicates(frame(spark, rows, "doc_id long, text string")).where("doc_id IS NULL").collect()}
+    assert got == {(k, n(near(k))) for k in (0, 1, 2)} | {(None, n(rows[-2][1]))}
