@@ -5,7 +5,8 @@ matches, in code points. Candidates for further spans are key-like tokens: runs
 alphabet with a lower-case letter, an upper-case letter and a digit, outside the base spans, and values of base spans.
 The hash of each candidate value is aggregated over the corpus by distinct repositories and owners. A value that many
 owners hold is a copied example; one that few owners hold is owner-specific and looks live. Key-like tokens that are
-owner-specific become spans of kind 'owned'; base spans always stay and are told apart as examples or live.
+owner-specific become spans of kind 'owned'; base spans always stay and are told apart as examples or live. A value in
+more than MOST_REPOSITORIES repositories for each of its owners is a copied example too, however few the owners are.
 
 An owner is a source, a repository is a document of it (parameters). Hot values: the aggregate has a map-side combine over
 (value, owner), and the join back to the occurrences splits skewed partitions (no window or group needs all its rows).
@@ -33,6 +34,8 @@ KINDS = ("assign", "access", "hex", "owned")
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: A value held by at most so many owners is owner-specific; by more, it is a copied example.
 MOST_OWNERS = 2
+#: So is one that is in more repositories than this for each owner.
+MOST_REPOSITORIES = 100
 
 
 def _found(text: Column, pattern: str, kind: int) -> Column:
@@ -60,9 +63,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (all, comma-joined), n_owned, n_example (base spans whose value
-    more than most_owners owners hold), n_live (the other base spans)."""
+    more than most_owners owners, or more than most_repositories repositories an owner, hold), n_live (the other base spans)."""
     text = blank_if_null()
     scanned = docs.select("doc_id", F.col(owner).cast("string").alias("_owner"), F.col(repository).cast("string").alias("_repo"), text.alias("_text"))
     scanned = scanned.select(
@@ -96,7 +99,8 @@ def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "d
         each.select("value", "_owner", "_repo").distinct().groupBy("value", "_owner").agg(F.count("*").alias("n"))
         .groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
     )
-    judged = each.join(owners, "value").select("_row", "start", "kind", "end", (F.col("owners") <= most_owners).alias("own"))
+    own = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories * F.col("owners"))
+    judged = each.join(owners, "value").select("_row", "start", "kind", "end", own.alias("own"))
     per_doc = judged.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | F.col("own"), F.struct("start", "kind", "end")))).alias("all"),
         F.count_if((F.col("kind") == 3) & F.col("own")).alias("n_owned"),

@@ -62,3 +62,12 @@ def test_clashing_columns_and_empty(spark):
     df = with_clashes(frame(spark, planted()), "_row _owner _repo _text a k h t base more value start")
     assert sorted(run(df), key=str) == sorted(brute(planted()), key=str)
     assert run(frame(spark, [], parts=1)) == []
+
+
+def test_value_copied_many_times_within_one_source(spark):
+    copied, few = "C0piedKey" + "zX4" * 8, "F3wTimes" + "qW5" * 8
+    rows = [(i, f"a {copied} and secret={copied[::-1]}", "en", "hot", 1) for i in range(101)]
+    rows += [(200 + i, f"a {few}", "en", "hot", 1) for i in range(100)] + [(200, f"a {few}", "en", "hot", 1)]  # a doubled row counts once
+    for r in scan_secrets(frame(spark, rows)).collect():
+        assert (r.n_owned, r.n_example, r.n_live) == ((0, 1, 0) if r.doc_id < 200 else (1, 0, 0))
+        assert ("owned" in r.spans) == (r.doc_id >= 200) and ("assign" in r.spans) == (r.doc_id < 200)
