@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
+    (tests) gets a folder of its own; a cluster has to name one, since its machines do not see each other's disks."""
     global _own_dir
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-shared-")
     return _own_dir
@@ -39,12 +42,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lower the session's Arrow batches to so many rows: texts are long, and a batch of them is held by the JVM and again
-    by the Python worker of each task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+#: Rows and bytes of an Arrow batch of texts, at most (but for one longer text).
+MOST_ROWS, MOST_BYTES = 500, 4_000_000
+
+
+def bounded_batches(spark: SparkSession, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> None:
+    """Lower the session's Arrow batches to so many rows and bytes: texts are long, and a batch of them is held by the JVM
+    and again by the Python worker of each task. The session keeps this, since plans read it only when they run."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def blank_if_null(col: str = "text") -> F.Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, blank_if_null, stored, table
-from .ranges import LOWEST, sampled_splitters, with_offsets
+from .ranges import LOWEST, ranges_for, sampled_splitters, with_offsets
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -61,28 +61,30 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, ranges: int = 256, keep: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, ranges: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, source and any other columns) with size, source_size, target, copies and taken for each row.
 
     ``copies`` says how often the mix holds the row; ``taken`` is copies times size. keep: the input columns to return
     (all by default); without text among them, only ids and sizes are shuffled.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    sized = docs.withColumn("size", F.regexp_count(blank_if_null(), F.lit(WORD)).cast("long"))
-    slim = stored(sized.select("doc_id", "source", "size"))
-    targets = stored(source_targets(slim, weights, share, cap, seed))
+    keep = docs.columns if keep is None else keep
     hashed = _number(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = lambda df: (
-        df.join(targets.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name")))
-        .drop("_name")
-        .withColumn("_h", hashed)
-        .withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
-        .withColumn("_one", F.lit(1).cast("long"))
+    # rows that agree in source, size and doc_id are told apart by their texts, then by their place in the stored table
+    base = docs.select(
+        *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
+        F.col("source"),
+        F.regexp_count(blank_if_null(), F.lit(WORD)).cast("long").alias("size"),
+        hashed.alias("_h"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_id"),
+        F.xxhash64("text").alias("_t"),
+        F.monotonically_increasing_id().alias("_place"),
     )
-    keys = ("_source", "size", "_h", "_id")
-    splitters = sampled_splitters(keyed(slim).select(*keys, "_one"), keys, "_one", ranges)
-    keep = docs.columns if keep is None else keep
-    rows = keyed(slim if set(keep) <= {"doc_id", "source"} else sized)
+    base = stored(base)
+    targets = stored(source_targets(base, weights, share, cap, seed))
+    rows = base.join(targets.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_one", F.lit(1).cast("long"))
+    keys = ("_source", "size", "_h", "_id", "_t", "_place")
+    splitters = sampled_splitters(rows, keys, "_one", ranges or ranges_for(base.count()))
     ranked = with_offsets(rows, keys, "_one", splitters)
     upto = lambda i: F.floor(i * F.col("_per") + F.col("_u"))
     return (
@@ -90,7 +92,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
         .withColumn("_i", F.col("_rank") - F.col("_first"))
         .withColumn("copies", (upto(F.col("_i") + 1) - upto(F.col("_i"))).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*keep, "size", "source_size", "target", "copies", "taken")
+        .select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", "copies", "taken")
     )
 
 

@@ -8,15 +8,15 @@ agree in a coordinate with a probability equal to their (weighted) Jaccard simil
 gives the similarity of shingle sets; ``weighted`` takes the number of occurrences.
 
 Joining is banded. Equal shingle sets are merged first, so copies cost one signature. Each bucket has a leader. First each
-document is compared with the least of its leaders alone; rounds in which members meet the (other) leaders of their
-buckets follow only for buckets whose members are not yet in one class. What is left after the last round is compared
-within those buckets, so no pair that shares a bucket and lies in two classes goes untested: a bucket is cut into blocks
-of bounded size, each two blocks meet in one cell, and a cell returns at most one link for each document, never its pairs.
+document is compared with the least of its leaders alone. Buckets whose members are not in one class after that are
+compared within, so no pair that shares a bucket and lies in two classes goes untested: a bucket is cut into blocks of
+bounded size, each two blocks meet in one cell, and a cell returns at most one link for each document, never its pairs.
 Candidates are verified on the texts: similarity of the exact shingle sets. Classes are the connected components of the
-links (large-star and small-star steps on tables).
+links (large-star and small-star steps on tables, one stored table a step).
 
 Skew: bucket leaders and component minima come from aggregates with a map-side combine; the joins back to the members are
-plain joins of stored tables, whose skewed partitions the engine splits; cells are bounded in shingles.
+plain joins, whose skewed partitions the engine splits; cells are bounded in shingles. What is stored is what several jobs
+read: signatures, members of shared buckets, packed texts and links.
 
 Nulls, ties and odd input: null texts and texts without words are each a class of their own; a text of fewer than SHINGLE
 words is one shingle; each shingle set has a key of its own, so rows that share a doc_id, or have none, are all compared;
@@ -44,11 +44,11 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 #: Ranks below this are one cell of an element; above it cells double up to 1.
 LOWEST_CELL = 2.0**-6
-#: Pairs whose signatures agree less are not verified: 7 standard deviations under SIMILAR.
+#: A document and its leader whose signatures agree less are not verified then (7 standard deviations under SIMILAR); if
+#: they stay in two classes, their bucket is compared within, whatever the signatures say.
 LEAST_AGREEMENT = 0.55
-STAR_ROUNDS = 2
 #: Shingles of a block of a bucket, at least and at most (but for one larger document); between them, a quarter of the bucket.
-LEAST_BLOCK, MOST_BLOCK = 64_000, 2_000_000
+LEAST_BLOCK, MOST_BLOCK = 16_000, 2_000_000
 LAST = 2**63 - 1
 _C = np.uint64(0xD1342543DE82EF95)
 _TO_UNIT = 2.0**-64
@@ -197,16 +197,16 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return stored(edges.select(F.col("u").alias("key"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("class")).distinct()))
+    return edges.select(F.col("u").alias("key"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("class")).distinct())
 
 
 def linked_in_cell(keys: list[int], classes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -256,27 +256,29 @@ def _linked_in_buckets(left: DataFrame, packed: DataFrame, sizes: DataFrame, lea
     total = F.sum("n_shingles")
     block = F.least(F.greatest(total / 4, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
     blocks = left.join(sizes, "key").groupBy("bucket").agg(F.ceil(total / block).cast("int").alias("blocks"))
-    placed = left.join(stored(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = left.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "class")
-    sets = stored(packed.join(left.select("key").distinct(), "key", "left_semi").mapInArrow(elements, "key long, elements binary"))
+    sets = packed.join(left.select("key").distinct(), "key", "left_semi").mapInArrow(elements, "key long, elements binary")
     return cells.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
     """bucket, key, class of the members of buckets with more than one class."""
-    rows = stored(members.join(classes, "key", "left").select("bucket", "key", F.coalesce("class", "key").alias("class")))
-    mixed_ = stored(rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket"))
+    rows = members.join(classes, "key", "left").select("bucket", "key", F.coalesce("class", "key").alias("class"))
+    mixed_ = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
     return stored(rows.join(mixed_, "bucket"))
 
 
-def _sharing_ids(signs: DataFrame, reps: DataFrame) -> DataFrame:
+def _sharing_ids(signs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Links (a, b) between the shingle sets of rows that share a doc_id."""
-    full = signs.where((F.col("id") != LAST) & F.col("set").isNotNull())
-    repeated = stored(full.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    keys = stored(full.join(repeated, "id").select("id", "set").distinct().join(reps, "set").select("id", "key"))
-    lead = stored(keys.groupBy("id").agg(F.min("key").alias("a")))
-    return keys.join(lead, "id").where("key != a").select("a", F.col("key").alias("b"))
+    full = signs.where((F.col("id") != LAST) & F.col("set").isNotNull()).select("id", "set")
+    repeated = full.groupBy("id").agg(F.count("*").alias("n"), F.min("set").alias("one")).where("n > 1").select("id", "one")
+    key = sigs.select("set", "key")
+    return (
+        full.join(repeated, "id").where("set != one").select("one", "set").distinct()
+        .join(key.select(F.col("set").alias("one"), F.col("key").alias("a")), "one").join(key.withColumnRenamed("key", "b"), "set").select("a", "b")
+    )
 
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool = False) -> DataFrame:
@@ -284,48 +286,35 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool =
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     bounded_batches(docs.sparkSession)
     signs = stored(signed(rows, weighted=weighted))
-    # copies: one key and one representative for each shingle set
-    reps = stored(signs.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep")).withColumn("key", F.monotonically_increasing_id()))
-    sigs = stored(signs.join(reps, "set").where("id = rep").select("key", "rep", "digest", "sig", "n_shingles").dropDuplicates(["key"]))
+    # copies: one key and one representative (its id and the digest of its text) for each shingle set
+    first = signs.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("id", "digest", "n_shingles", "sig")).alias("m"))
+    sigs = stored(first.select(F.monotonically_increasing_id().alias("key"), "set", F.col("m.id").alias("rep"), "m.digest", "m.n_shingles", "m.sig"))
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])).alias("i", "bucket")
-    members = sigs.select("key", band).select("key", "bucket")
+    banded = sigs.select("key", band).select("key", "bucket")
     # buckets of two and more
-    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    members = stored(members.join(shared, "bucket"))
-    wanted = stored(members.select("key").distinct())
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lead")).where("n > 1")
+    members = stored(banded.join(shared, "bucket").select("key", "bucket", "lead"))
+    wanted = members.select("key").distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = zstandard.ZstdCompressor(3).compress
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), _digests(b), pa.array(list(map(of, b.column("text").to_pylist())), pa.binary())], ["id", "digest", "packed"])
 
-    own = stored(sigs.join(wanted, "key", "left_semi"))
-    packed = rows.mapInArrow(pack, "id long, digest binary, packed binary").join(own.select("key", F.col("rep").alias("id"), "digest"), ["id", "digest"])
+    own = sigs.select("key", F.col("rep").alias("id"), "digest").join(wanted, "key", "left_semi")
+    packed = rows.mapInArrow(pack, "id long, digest binary, packed binary").join(own, ["id", "digest"])
     packed = stored(packed.select("key", "packed").dropDuplicates(["key"]))
-    check = lambda pairs: stored(_similar(stored(_agreeing(pairs, own)), packed, least, weighted))
-
-    lead = stored(members.groupBy("bucket").agg(F.min("key").alias("a")))
-    nearest = members.join(lead, "bucket").where("key != a").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
-    links = stored(check(nearest.select("a", "b")).union(_sharing_ids(signs, reps)))
-    classes = components(links)
-    left = _open(members, classes)
-    for turn in range(STAR_ROUNDS):
-        if left.isEmpty():
-            break
-        # a leader meets all members of its bucket, so it leaves the bucket afterwards
-        by = F.xxhash64("key", F.lit(turn)).alias("o")
-        lead = stored(left.groupBy("bucket").agg(F.min(F.struct(by, F.col("key").alias("a"), F.col("class").alias("ca"))).alias("m")).select("bucket", "m.a", "m.ca"))
-        joined = left.join(lead, "bucket").where("key != a")
-        links = stored(links.union(check(joined.where("class != ca").select("a", F.col("key").alias("b")).distinct())))
-        classes = components(links)
-        left = _open(joined.select("bucket", "key"), classes)
+
+    nearest = members.where("key != lead").groupBy(F.col("key").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
+    classes = components(_similar(_agreeing(nearest, sigs), packed, least, weighted).union(_sharing_ids(signs, sigs)))
+    left = _open(members.select("key", "bucket"), classes)
     if not left.isEmpty():
-        links = stored(links.union(_linked_in_buckets(left, packed, own.select("key", "n_shingles"), least, weighted)))
-        classes = components(links)
-    named = stored(classes.join(reps.select("key", "rep"), "key"))
-    first = stored(named.groupBy("class").agg(F.min("rep").alias("first")))
-    of_set = reps.join(stored(named.join(first, "class").select("key", "first")), "key", "left").select("set", F.coalesce("first", "rep").alias("class"))
-    out = signs.select("id", "n_shingles", "set").join(stored(of_set), "set", "left")
+        found = _linked_in_buckets(left, packed, sigs.select("key", "n_shingles"), least, weighted)
+        classes = components(found.union(classes.select(F.col("class").alias("a"), F.col("key").alias("b"))))
+    named = classes.join(sigs.select("key", "rep"), "key")
+    least_id = named.groupBy("class").agg(F.min("rep").alias("least_id"))
+    of_set = sigs.select("key", "set", "rep").join(named.join(least_id, "class").select("key", "least_id"), "key", "left")
+    out = signs.select("id", "n_shingles", "set").join(of_set.select("set", F.coalesce("least_id", "rep").alias("class")), "set", "left")
     id_ = lambda c: F.when(c != LAST, c)
     return out.select(id_(F.col("id")).alias("doc_id"), id_(F.coalesce("class", "id")).alias("class_id"), "n_shingles")
 

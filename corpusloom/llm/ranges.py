@@ -19,6 +19,13 @@ PER_CELL = 24
 OVERFULL = 1.5
 ROUNDS = 4
 LOWEST = -(2**63)
+#: Rows of a range on average, and how many ranges there are at least and at most (the driver holds a few numbers of each).
+ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 100_000, 256, 20_000
+
+
+def ranges_for(rows: int) -> int:
+    """How many ranges to divide so many rows into: each is one task's work in ``with_offsets``."""
+    return min(max(rows // ROWS_PER_RANGE, LEAST_RANGES), MOST_RANGES)
 
 
 def _packed(cols: Sequence[np.ndarray]) -> np.ndarray:
