@@ -36,26 +36,43 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 MOST_OWNERS = 2
 #: So is one that is in more repositories than this for each owner.
 MOST_REPOSITORIES = 100
+#: Matches whose positions are added up together.
+RUN = 128
 
 
 def _found(text: Column, pattern: str, kind: int) -> Column:
     """Array of struct(start, kind, end, value) for the leftmost non-overlapping matches: the text is split at the matches,
-    so the lengths of the gaps and matches before one add up to its start."""
+    so the lengths of the gaps and matches before one add up to its start. They are added up inside runs of RUN matches
+    and over the runs, since a running sum over all of them would copy what it has for each match."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    folded = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))),
-            ).cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    spans = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+    def span(start: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+    def run(parts: Column) -> Column:
+        """struct(at: length of the run, out: its spans, from the run's start)."""
+        return F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
+                F.concat(acc["out"], F.array(span(acc["at"] + F.length(x["gap"]), x["hit"]))).cast(spans).alias("out"),
+            ),
+        )
+
+    def upto(runs: Column) -> Column:
+        """The length of the text before each run."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(runs, start, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def moved(runs: Column) -> Column:
+        return F.flatten(F.zip_with(runs, upto(runs), lambda r, at: F.transform(r["out"], lambda x: span(x["start"] + at, x["value"]))))
+
+    # arrays of one element, so that what stands in them is made once
+    parts = F.array(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")))
+    runs = F.transform(parts, lambda z: F.transform(F.sequence(F.lit(0), F.size(z) - 1, F.lit(RUN)), lambda lo: run(F.slice(z, lo + 1, F.lit(RUN)))))
+    return F.when(text.rlike(pattern), F.transform(runs, moved)[0]).otherwise(F.array().cast(spans))
 
 
 def _joined(spans: Column) -> Column:

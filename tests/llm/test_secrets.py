@@ -71,3 +71,19 @@ def test_value_copied_many_times_within_one_source(spark):
     for r in scan_secrets(frame(spark, rows)).collect():
         assert (r.n_owned, r.n_example, r.n_live) == ((0, 1, 0) if r.doc_id < 200 else (1, 0, 0))
         assert ("owned" in r.spans) == (r.doc_id >= 200) and ("assign" in r.spans) == (r.doc_id < 200)
+
+
+def test_time_is_in_proportion_to_the_matches(spark):
+    """16 times the matches take far less than 256 times the seconds, and the spans stay right."""
+    import time
+
+    took = []
+    for n in (6_000, 96_000):
+        text = " ".join(f"token={i:06d}" for i in range(n))
+        df = frame(spark, [(1, text, "en", "s", 1)], parts=1)
+        run(df)
+        began = time.time()
+        (got,) = run(df)
+        took.append(time.time() - began)
+        assert got[1] == n and got[5].startswith("assign:0:12,assign:13:25") and got[5].endswith(f"assign:{13 * n - 13}:{13 * n - 1}")
+    assert took[1] < 60 * took[0]
