@@ -1,15 +1,17 @@
 """Language ID by segmentation-marginalised unigrams.
 
-Pieces come from a fixed public vocabulary (letters only, lower case, at most LONGEST letters; every letter is a piece as
-well). Each language has a probability for each piece. The probability of a word is the sum over all ways to cut it into
+Pieces come from a fixed public vocabulary (all that are letters only, in lower case; every letter is a piece as well). Each language has a probability for each piece. The probability of a word is the sum over all ways to cut it into
 pieces, by a forward pass; a text's is the product over its words. The pieces' probabilities are fitted by expectation
 maximisation over the same lattice on a bounded sample of labelled rows: PER_LANGUAGE rows of each language on average,
 drawn by a hash of doc_id from the rows that are not held out. Predictions use the text alone.
 
 Nulls, ties and odd input: lang_pred is 'und' and the score 0 if the text is null or has no letter, or if nothing was
 learned (no labelled rows); ties go to the first language by code point; repeated rows each get a row; an empty table gives
-no rows; only doc_id, text and (for the fit) lang are read. Words over LONGEST_WORD letters are scored in stretches of that
-many. A null doc_id counts as held out.
+no rows; only doc_id, text and (for the fit) lang are read. Words of any length are scored whole (long ones in logarithms);
+the fit reads words over LONGEST_WORD letters in stretches of that many. A null doc_id counts as held out.
+
+The score is the probability of the language among all, from the words' mean evidence: log-probabilities are divided by the
+root of the number of words, since words of one text are not independent and their plain sum is 0 or 1 for any long text.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, mixed, table
 
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST = 4
+#: Longer words go through the lattice in logarithms, as their probability could vanish.
 LONGEST_WORD = 32
 PER_LANGUAGE = 300
 ROUNDS = 4
@@ -34,7 +36,7 @@ ROUNDS = 4
 PRIOR, UNKNOWN = 0.02, 1e-7
 MOST_KNOWN = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BITS = 15
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattice:
@@ -50,21 +52,33 @@ class Lattice:
         out[[ord(c) for c in self.letters]] = list(self.letters.values())
         return out
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces))
+
     @cached_property
     def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length, the pieces' sorted keys and their numbers (from 1)."""
         out = []
-        for n in range(1, LONGEST + 1):
-            keyed = sorted((self._key([self.letters[c] for c in p]), i + 1) for i, p in enumerate(self.pieces) if len(p) == n)
-            out.append((np.array([k for k, _ in keyed] or [0], np.int64), np.array([i for _, i in keyed] or [0], np.int32)))
+        for n in range(1, self.longest + 1):
+            some = [i for i, p in enumerate(self.pieces) if len(p) == n]
+            keys = self.keys(self.codes([self.pieces[i] for i in some]), n)[:, 0] if some else np.zeros(1, np.uint64)
+            number = np.array([i + 1 for i in some] or [0], np.int32)
+            order = np.argsort(keys)
+            assert len(np.unique(keys)) == len(keys), "two pieces have one key"
+            out.append((keys[order], number[order]))
         return out
 
     @staticmethod
-    def _key(codes: list) -> int:
-        k = 0
-        for c in codes:
-            k = (k << _BITS) | c
-        return k
+    def keys(codes: np.ndarray, n: int) -> np.ndarray:
+        """64-bit keys of all runs of n letters; 0 where one is outside the vocabulary."""
+        m = codes.shape[1] - n + 1
+        key, known = np.zeros((len(codes), m), np.uint64), np.ones((len(codes), m), bool)
+        for j in range(n):
+            part = codes[:, j : j + m]
+            key = key * _BASE + part.astype(np.uint64)
+            known &= part > 0
+        return mixed(key) * known
 
     def codes(self, words: list[str]) -> np.ndarray:
         """Words of one length as a matrix of letter numbers, 0 for letters outside the vocabulary."""
@@ -72,44 +86,67 @@ class Lattice:
         return self.numbers[points].reshape(len(words), -1)
 
     def ids(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(end, length): each word's piece number there, 0 for none."""
+        """(end, length): each word's piece number there, 0 for none; only where some word has one, and for single letters."""
         out = {}
-        for end in range(1, codes.shape[1] + 1):
-            key = np.zeros(len(codes), np.int64)
-            for n in range(1, min(LONGEST, end) + 1):
-                key = key | (codes[:, end - n] << (_BITS * (n - 1)))
-                keys, number = self.tables[n - 1]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                out[end, n] = number[at] * (keys[at] == key)  # a letter 0 makes a key that no piece has
+        for n in range(1, min(self.longest, codes.shape[1]) + 1):
+            keys, number = self.tables[n - 1]
+            key = self.keys(codes, n)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = number[at] * (keys[at] == key) * (key > 0)
+            for i in range(found.shape[1]):
+                if n == 1 or found[:, i].any():
+                    out[i + n, n] = np.ascontiguousarray(found[:, i])
         return out
 
     @staticmethod
-    def by_length(p: np.ndarray) -> list[np.ndarray]:
-        """p for each length: no piece has no probability, but any letter may stand alone."""
-        alone = p.copy()
-        alone[0] = UNKNOWN
-        return [p, alone, *[p] * (LONGEST - 1)]
+    def alone(p: np.ndarray) -> np.ndarray:
+        """p for single letters: no piece has no probability, but any letter may stand alone."""
+        out = p.copy()
+        out[0] = UNKNOWN
+        return out
 
     def forward(self, codes: np.ndarray, p: np.ndarray, ids: dict | None = None) -> list[np.ndarray]:
         """Sums over all segmentations of each prefix; p: (pieces + 1) x languages, row 0 is zero."""
-        ids, of = self.ids(codes) if ids is None else ids, self.by_length(p)
+        ids, alone = self.ids(codes) if ids is None else ids, self.alone(p)
         alpha = [np.ones((len(codes), p.shape[1]))]
         for end in range(1, codes.shape[1] + 1):
-            a = np.zeros_like(alpha[0])
-            for n in range(1, min(LONGEST, end) + 1):
-                a += alpha[end - n] * of[n][ids[end, n]]
+            a = alpha[end - 1] * alone[ids[end, 1]]
+            for n in range(2, min(self.longest, end) + 1):
+                if (end, n) in ids:
+                    a += alpha[end - n] * p[ids[end, n]]
             alpha.append(a)
         return alpha
 
+    def log_forward(self, word: str, p: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum over all segmentations of one word, however long; p as in ``forward``."""
+        codes, most = self.codes([word]), self.longest
+        found = np.zeros((codes.shape[1] + 1, most), np.int32)  # [end, length - 1]: piece number
+        for n in range(1, min(most, codes.shape[1]) + 1):
+            keys, number = self.tables[n - 1]
+            key = self.keys(codes, n)[0]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found[n:, n - 1] = number[at] * (keys[at] == key) * (key > 0)
+        with np.errstate(divide="ignore"):
+            logs, alone = np.log(p), np.log(self.alone(p))
+        last = np.full((most, p.shape[1]), -np.inf)  # the prefixes' logarithms, the latest first
+        last[0] = 0
+        for end in range(1, codes.shape[1] + 1):
+            each = np.concatenate([alone[found[end, :1]], logs[found[end, 1:]]]) + last
+            top = each.max(0)
+            last = np.concatenate([(top + np.log(np.exp(each - top).sum(0)))[None], last[:-1]])
+        return last[0]
+
     def expected(self, codes: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, by forward and backward passes; p has one language."""
-        ids, length, of = self.ids(codes), codes.shape[1], self.by_length(p)
+        ids, length, alone = self.ids(codes), codes.shape[1], self.alone(p)
         alpha = self.forward(codes, p, ids)
         beta = [np.zeros_like(alpha[0]) for _ in range(length)] + [np.ones_like(alpha[0])]
         out = np.zeros(len(p))
         for end in range(length, 0, -1):
-            for n in range(1, min(LONGEST, end) + 1):
-                use = of[n][ids[end, n]] * beta[end]
+            for n in range(1, min(self.longest, end) + 1):
+                if (end, n) not in ids:
+                    continue
+                use = (alone if n == 1 else p)[ids[end, n]] * beta[end]
                 beta[end - n] += use
                 out += np.bincount(ids[end, n], (counts * (alpha[end - n] * use / alpha[length])[:, 0]), len(p))
         out[0] = 0
@@ -129,7 +166,7 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     pieces = (model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size()))
-    return [p for p in pieces if 0 < len(p) <= LONGEST and p.isalpha()]
+    return [p for p in pieces if p.isalpha()]
 
 
 class Model:
@@ -164,18 +201,15 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
-        cut = [(i, w[lo : lo + LONGEST_WORD]) for i, w in enumerate(words) for lo in range(0, len(w), LONGEST_WORD)]
         out = np.zeros((len(words), len(self.languages)))
-        parts = [w for _, w in cut]
-        for some in _by_length(parts).values():
+        for length, some in _by_length(words).items():
+            if length > LONGEST_WORD:
+                for i in some:
+                    out[i] = self.lattice.log_forward(words[i], self.p)
+                continue
             for lo in range(0, len(some), 20_000):
                 at = some[lo : lo + 20_000]
-                last = self.lattice.forward(self.lattice.codes([parts[i] for i in at]), self.p)[-1]
-                to = np.fromiter((cut[i][0] for i in at), np.int64, len(at))
-                if len(cut) == len(words):
-                    out[to] = np.log(last)
-                else:
-                    np.add.at(out, to, np.log(last))
+                out[at] = np.log(self.lattice.forward(self.lattice.codes([words[i] for i in at]), self.p)[-1])
         return out
 
 
@@ -205,7 +239,7 @@ class Scorer:
             total = self.logs[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0)
             best = int(total.argmax())
             lang.append(self.model.languages[best])
-            score.append(float(1 / np.exp(total - total[best]).sum()))
+            score.append(float(1 / np.exp((total - total[best]) / np.sqrt(len(ws))).sum()))
         return lang, score
 
 

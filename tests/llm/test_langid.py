@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpusloom.llm.langid import UNKNOWN, Lattice, Model, fit_model, identify
+from corpusloom.llm.langid import UNKNOWN, Lattice, Model, fit_model, identify, vocabulary
 
 from .fixtures import documents, frame, odd, with_clashes
 
@@ -25,10 +25,29 @@ def test_forward_sums_all_segmentations():
     p = np.random.default_rng(1).random((len(lattice.pieces) + 1, 2))
     p[0] = 0
     model = Model(lattice, ["x", "y"], p)
-    for w in ("a", "abab", "babba", "aabzab"):
+    for w in ("a", "abab", "babba", "aabzab", "z", "ababababab"):
         prob = lambda s, j: p[lattice.pieces.index(s) + 1, j] if s in lattice.pieces else UNKNOWN if len(s) == 1 else 0.0
         want = [math.log(sum(math.prod(prob(s, j) for s in parts) for parts in segmentations(w))) for j in range(2)]
         assert model.words([w])[0] == pytest.approx(want)
+        assert lattice.log_forward(w, p) == pytest.approx(want)
+
+
+def test_pieces_of_any_length_and_whole_long_words():
+    lattice = Lattice(["abcdefg", "hij", *"abcdefghij"])
+    p = np.full((len(lattice.pieces) + 1, 1), 0.01)
+    p[0] = 0
+    p[lattice.pieces.index("abcdefg") + 1] = 0.5
+    one = math.log(0.5 + 0.01**7)
+    model = Model(lattice, ["x"], p)
+    assert model.words(["abcdefg"])[0, 0] == pytest.approx(one)
+    # 28 letters are one piece four times; cut after 32 letters the fifth would fall apart
+    assert model.words(["abcdefg" * 4])[0, 0] == pytest.approx(4 * one)
+    assert model.words(["abcdefg" * 5, "abcdefg" * 400])[:, 0] == pytest.approx([5 * one, 400 * one])
+
+
+def test_whole_vocabulary():
+    pieces = vocabulary()
+    assert len(set(pieces)) > 20_000 and max(map(len, pieces)) > 12
 
 
 def test_expected_counts_are_posteriors():
