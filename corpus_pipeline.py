@@ -23,8 +23,8 @@ from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.nearest import near_duplicates
 from corpusloom.llm.sharding import shard_records
 
-#: Documents whose best language is less likely than this go, as do those without letters.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Documents whose best language is less likely than this go (little over chance for four languages), as do those without letters.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def _aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
