@@ -52,6 +52,7 @@ LEAST_BLOCK, MOST_BLOCK = 16_000, 2_000_000
 LAST = 2**63 - 1
 _C = np.uint64(0xD1342543DE82EF95)
 _TO_UNIT = 2.0**-64
+_hashes = WordHashes(150_000)
 
 
 def shingles(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -236,20 +237,16 @@ def linked_in_cell(keys: list[int], classes: np.ndarray, blocks: np.ndarray, set
 def _linked_in_buckets(left: DataFrame, packed: DataFrame, sizes: DataFrame, least: float, weighted: bool) -> DataFrame:
     """Links (a, b) between members (bucket, key, class) of a bucket in different classes; sizes: key, n_shingles."""
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(150_000)
-        for b in batches:
-            out = []
-            for z in b.column("packed").to_pylist():
-                h, n = shingles(zstandard.decompress(z).split(), hashes)
-                if weighted:  # the i-th occurrence of a shingle is an element of its own
-                    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    h = mixed(np.repeat(h, n) + i.astype(np.uint64) * _C)
-                out.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], ["key", "elements"])
+    def elements(z: bytes) -> np.ndarray:
+        h, n = shingles(zstandard.decompress(z).split(), _hashes)
+        if not weighted:
+            return h
+        # the i-th occurrence of a shingle is an element of its own
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return mixed(np.repeat(h, n) + i.astype(np.uint64) * _C)
 
     def link(t: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+        sets = [elements(z) for z in t.column("packed").to_pylist()]
         found = linked_in_cell(t.column("key").to_pylist(), t.column("class").to_numpy(), t.column("block").to_numpy(), sets, least)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -259,8 +256,8 @@ def _linked_in_buckets(left: DataFrame, packed: DataFrame, sizes: DataFrame, lea
     placed = left.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "class")
-    sets = packed.join(left.select("key").distinct(), "key", "left_semi").mapInArrow(elements, "key long, elements binary")
-    return cells.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct()
+    # a text is a third of its shingles' hashes, so texts travel and are cut into shingles in each cell
+    return cells.join(packed, "key").groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, classes: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ does not grow with the data. Ranges that turn out too full are divided again by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +37,36 @@ def _packed(cols: Sequence[np.ndarray]) -> np.ndarray:
     return out.view(f"S{8 * len(cols)}").ravel()
 
 
-def cell_column(splitters: list[tuple[int, ...]], keys: Sequence[str]) -> Column:
-    """The range of each row: how many splitters are at or below its key."""
-    bounds = _packed([np.array([s[j] for s in splitters], np.int64) for j in range(len(keys))]) if splitters else None
+def _in_order(low: Sequence[Column], high: Sequence[Column], strict: bool) -> Column:
+    """low < high (or <=), compared column by column."""
+    out = F.lit(not strict)
+    for x, y in reversed(list(zip(low, high, strict=True))):
+        out = (x < y) | ((x == y) & out)
+    return out
 
-    @F.pandas_udf("int")
-    def cell(*cols: pd.Series) -> pd.Series:
-        if bounds is None:
-            return pd.Series(np.zeros(len(cols[0]), np.int32))
-        return pd.Series(np.searchsorted(bounds, _packed([c.to_numpy() for c in cols]), "right").astype(np.int32))
 
-    return cell(*[F.col(k) for k in keys])
+def with_cells(df: DataFrame, splitters: list[tuple[int, ...]], keys: Sequence[str]) -> DataFrame:
+    """Adds _cell, the range of each row: how many splitters are at or below its key.
+
+    Ranges are looked up by a hash join on the high bits of the first key, so a row meets few of them; a range that
+    reaches over several values of those bits has a row for each.
+    """
+    if not splitters:
+        return df.withColumn("_cell", F.lit(0))
+    first, last = splitters[0][0], splitters[-1][0]
+    shift = next(n for n in range(64) if (last >> n) - (first >> n) <= 2 * len(splitters))
+    lowest, highest = first >> shift, last >> shift
+    bounds = [None, *splitters, None]
+    part = lambda s, end: end if s is None else s[0] >> shift
+    rows = [(v, i, low, high) for i, (low, high) in enumerate(pairwise(bounds)) for v in range(part(low, lowest), part(high, highest) + 1)]
+    table = {"_part": pa.array([r[0] for r in rows], pa.int64()), "_cell": pa.array([r[1] for r in rows], pa.int32())}
+    for k, name in ((2, "_lo"), (3, "_hi")):
+        table |= {f"{name}{j}": pa.array([r[k] and r[k][j] for r in rows], pa.int64()) for j in range(len(keys))}
+    ranges = F.broadcast(df.sparkSession.createDataFrame(pa.table(table)))  # at most MOST_RANGES and three times as many rows
+    key, low, high = ([F.col(x) for x in some] for some in (keys, [f"_lo{j}" for j in range(len(keys))], [f"_hi{j}" for j in range(len(keys))]))
+    inside = (low[0].isNull() | _in_order(low, key, False)) & (high[0].isNull() | _in_order(key, high, True))
+    at = F.least(F.greatest(F.shiftright(keys[0], shift), F.lit(lowest)), F.lit(highest))
+    return df.join(ranges, (at == F.col("_part")) & inside).drop("_part", *[f"{n}{j}" for n in ("_lo", "_hi") for j in range(len(keys))])
 
 
 def _drawn(df: DataFrame, keys: Sequence[str], weight: str, rate: float, seed: int) -> list[tuple]:
@@ -79,7 +99,7 @@ def sampled_splitters(df: DataFrame, keys: Sequence[str], weight: str, cells: in
     cut = lambda s: s if whole is None else (*s[:whole], *[LOWEST] * (len(keys) - whole))
     splitters = sorted({cut(s) for s in _quantiles(_drawn(df, keys, weight, cells * PER_CELL / total, seed), cells)})
     for turn in range(1, ROUNDS):
-        placed = df.select(*keys, weight, cell_column(splitters, keys).alias("_cell"))
+        placed = with_cells(df.select(*keys, weight), splitters, keys)
         full = {r[0]: r[1] for r in placed.groupBy("_cell").agg(F.sum(weight).alias("w")).where(F.col("w") > OVERFULL * share).collect()}
         if not full:
             break
@@ -99,14 +119,14 @@ def with_offsets(df: DataFrame, keys: Sequence[str], weight: str, splitters: lis
 
     Each range is one window partition; between ranges only one row of totals a range is added up.
     """
-    placed = df.withColumn("_cell", cell_column(splitters, keys))
+    placed = with_cells(df, splitters, keys)
     totals = {r[0]: (r[1], r[2]) for r in placed.groupBy("_cell").agg(F.count(F.lit(1)), F.sum(weight)).collect()}
     spark, rows, n, w = df.sparkSession, [], 0, 0
     for c in range(len(splitters) + 1):
         rows.append((c, n, w))
         n, w = n + totals.get(c, (0, 0))[0], w + totals.get(c, (0, 0))[1]
     # one row a range, and there are at most a few times as many ranges as were asked for
-    before = F.broadcast(spark.createDataFrame(rows, "_cell int, _n0 long, _w0 long"))
+    before = F.broadcast(spark.createDataFrame(pa.table({n: pa.array(c, t) for n, c, t in zip(("_cell", "_n0", "_w0"), zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)})))
     order = Window.partitionBy("_cell").orderBy(*keys)
     return (
         placed.withColumn("_i", F.row_number().over(order) - 1)

@@ -53,3 +53,17 @@ def test_offsets_are_exact_prefix_sums(spark):
     for i, (r, want) in enumerate(zip(sorted(got, key=lambda r: (r.a, r.b)), sorted(rows), strict=True)):
         assert (r._rank, r._offset) == (i, upto)
         upto += want[2]
+
+
+def test_ranges_are_those_of_a_binary_search(spark):
+    import random
+    from bisect import bisect_right
+
+    from corpusloom.llm.ranges import with_cells
+
+    rng, top = random.Random(3), 2**63 - 1
+    for keys in ([(rng.randint(-top, top), rng.randint(0, 3)) for _ in range(90)], [(rng.randint(0, 4), rng.randint(-9, 9)) for _ in range(60)], [(7, -top - 1)], [(-top - 1, 0), (top, top)], []):
+        splitters = sorted(set(keys))
+        rows = keys + [(a + x, b + y) for a, b in keys for x in (0, 1) for y in (-1, 0, 1) if -top <= a + x <= top and -top <= b + y <= top] + [(rng.randint(-top, top), 0) for _ in range(50)]
+        got = with_cells(spark.createDataFrame(rows, "a long, b long"), splitters, ("a", "b")).collect()
+        assert len(got) == len(rows) and all(r._cell == bisect_right(splitters, (r.a, r.b)) for r in got)
