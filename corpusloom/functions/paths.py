@@ -69,5 +69,5 @@ def is_noise(path: Column | str) -> Column:
 def path_class(path: Column | str) -> Column:
     p = col(path)
     return (
-        F.when(is_noise(p), "noise").when(p.rlike(r"(^|/)(archive|archived)/"), "archive").when(is_test(p), "test").when(is_source(p), "source").when(p.rlike(r"(^|/)(docs?|plans?|adr|rfcs?|prd)/"), "planning").otherwise("other")
+        F.when(p.rlike(r"(^|/)(archive|archived)/"), "archive").when(is_noise(p), "noise").when(is_test(p), "test").when(is_source(p), "source").when(p.rlike(r"(^|/)(docs?|plans?|adr|rfcs?|prd)/"), "planning").otherwise("other")
     )

@@ -9,6 +9,8 @@ from ..functions import paths
 from ..functions.text import STOP_WORDS, filled, tokens
 
 MOST_FILES, MOST_PAIRS = 32, 12
+#: A path from which more artifacts than this come is dense: what changes with it says less.
+DENSE = 12
 
 
 def usable_commits(files: DataFrame) -> DataFrame:
@@ -39,10 +41,15 @@ def cochange_totals(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def cochange_score(evidence: Column) -> tuple[Column, Column]:
-    """Weight and confidence by repetition."""
-    weight = F.when(evidence >= 4, 0.8).when(evidence == 3, 0.72).when(evidence == 2, 0.6).otherwise(0.4)
-    return weight, F.round(F.least(F.lit(0.95), 0.5 + 0.1 * evidence), 3)
+def history_shape(total: Column, shallow: Column) -> Column:
+    """full, single_commit or shallow, from the number of commits that are there and whether older ones are cut off."""
+    return F.when(total <= 0, "full").when(total == 1, "single_commit").when(shallow, "shallow").otherwise("full")
+
+
+def cochange_score(shape: Column, dense: Column, evidence: Column) -> tuple[Column, Column]:
+    """Weight and confidence by history shape, density of the paths and repetition."""
+    score = lambda other, dense_two, dense_one, two, one: F.when(shape != "full", other).when(dense & (evidence >= 2), dense_two).when(dense, dense_one).when(evidence >= 2, two).otherwise(one)
+    return score(0.36, 0.58, 0.42, 0.74, 0.56), score(0.48, 0.72, 0.56, 0.86, 0.64)
 
 
 def recently_changed(files: DataFrame, commits: DataFrame, most: int = 80) -> DataFrame:

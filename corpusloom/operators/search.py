@@ -1,7 +1,7 @@
 """Inverted-index search: postings, BM25, matching lanes and their ordered union.
 
-Postings are filtered to the query's terms before anything is joined; the terms of a query batch are a small side whose
-size the optimizer measures. Bodies are never joined with terms.
+Tokens are filtered to the terms of the query batch before they are grouped, so what is shuffled are hits, never the postings
+of the corpus. The terms are a small side whose size the optimizer measures.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, len of each document in tokens."""
-    return docs.select(key, F.size(tokens(text)).cast("long").alias("len"))
+def hits(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """key, term, tf, len (of the document in tokens) of each wanted term (terms: term, each once) of each document."""
+    each = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").cast("long").alias("len"), F.explode("_t").alias("term"))
+    return each.join(terms, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -29,21 +30,22 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def bm25(post: DataFrame, sizes: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
     """query_id, key, score (best first is highest) for queries (query_id, term)."""
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    wanted = post.join(queries, "term")
-    df = wanted.select("term", key).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    corpus = docs.select(F.size(tokens(text)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
+    found = hits(docs, key, text, queries.select("term").distinct())
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     tf = F.col("tf")
     weight = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
     # corpus is a single row: a scalar, not a growing side
-    return wanted.join(df, "term").join(sizes, key).join(F.broadcast(corpus)).groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = found.join(df, "term").join(F.broadcast(corpus)).select(key, "term", weight.alias("weight"))
+    return scored.join(queries, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
-def all_terms(post: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+def all_terms(docs: DataFrame, text: Column, queries: DataFrame, key: str) -> DataFrame:
     """query_id, key of documents that hold every term of a query."""
     need = queries.groupBy("query_id").agg(F.count_distinct("term").alias("need"))
-    return post.join(queries.distinct(), "term").groupBy("query_id", key).agg(F.count("*").alias("got")).join(need, "query_id").where("got = need").select("query_id", key)
+    return hits(docs, key, text, queries.select("term").distinct()).join(queries.distinct(), "term").groupBy("query_id", key).agg(F.count("*").alias("got")).join(need, "query_id").where("got = need").select("query_id", key)
 
 
 def lanes_union(lanes: list[DataFrame], key: str, most: int) -> DataFrame:

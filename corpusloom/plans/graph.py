@@ -21,7 +21,7 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MENTIONS = rf"""{T.ARTIFACTS}, f AS (SELECT artifact_id AS doc, unnest(list_filter(regexp_split_to_array(title, '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 5)) AS form FROM artifacts), mentions AS (SELECT doc, form, lower(form) AS concept FROM f), nn AS (SELECT count(*) AS n FROM documents)"""
-_STATS = f"{_MENTIONS}, stats AS (SELECT concept, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM (SELECT concept, count(DISTINCT doc) AS df FROM mentions GROUP BY 1), nn)"
+_STATS = f"{_MENTIONS}, stats AS (SELECT concept, df, strong, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM (SELECT concept, count(DISTINCT doc) AS df, bool_or(regexp_matches(form, '[0-9]|[a-z][A-Z]')) AS strong FROM mentions GROUP BY 1), nn)"
 
 
 def _stats(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
@@ -135,18 +135,18 @@ def overlap_coefficient(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (concept_idf, concept_noise, glossary, shared_concept_pairs, shared_concept_edges, layout_group_edges, path_edges, test_source_edges, merged_edges, edge_diagnostics, neighbour_expansion, edges_degree_capped, overlap_coefficient)}
 
-_PAIRS = f"""{_STATS}, rr AS (SELECT DISTINCT doc, concept, idf FROM mentions JOIN stats USING (concept) WHERE df BETWEEN 2 AND 6), pp AS (SELECT a.doc AS src, b.doc AS dst, concept, a.idf AS idf FROM rr a JOIN rr b USING (concept) WHERE a.doc < b.doc),
-pr AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY idf DESC, concept) AS r FROM pp),
-pairs AS (SELECT src, dst, count(*) AS shared, round(sum(idf) FILTER (WHERE r <= 5), 6) AS idf_sum, max(idf) AS idf_max, string_agg(concept, ',' ORDER BY r) FILTER (WHERE r <= 5) AS concepts FROM pr GROUP BY 1, 2)"""
+_PAIRS = f"""{_STATS}, rr AS (SELECT DISTINCT doc, concept, idf, strong FROM mentions JOIN stats USING (concept) WHERE df BETWEEN 2 AND 6), pp AS (SELECT a.doc AS src, b.doc AS dst, concept, a.idf AS idf, a.strong AS strong FROM rr a JOIN rr b USING (concept) WHERE a.doc < b.doc),
+pr AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY strong DESC, idf DESC, concept) AS r FROM pp),
+pairs AS (SELECT src, dst, count(*) AS shared, count(*) FILTER (WHERE r <= 5 AND strong) AS strong, count(*) FILTER (WHERE r <= 5 AND NOT strong) AS semantic, round(sum(idf) FILTER (WHERE r <= 5), 6) AS idf_sum, max(idf) FILTER (WHERE r <= 5) AS idf_max, string_agg(concept, ',' ORDER BY r) FILTER (WHERE r <= 5) AS concepts FROM pr GROUP BY 1, 2)"""
 _MERGED = f"{_EDGES}, merged AS (SELECT src, dst, type, count(*) AS evidence, round(max(weight), 6) AS weight, round(max(confidence), 6) AS confidence, min_by(explanation, seq) AS explanation FROM edges GROUP BY src, dst, type)"
 _FILE = f"{T.FILES}, f AS (SELECT path, regexp_replace(lower(split_part(split_part(path, '/', -1), '.', 1)), '_test$', '') AS stem, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path LIKE '%\\_test.go' ESCAPE '\\' AS is_test FROM files)"
 SQL = {
     "concept_idf": f"WITH {_STATS}, u AS (SELECT concept, list_sort(list_distinct(list(form)))[1:6] AS forms FROM mentions GROUP BY 1) SELECT concept, df, idf, array_to_string(forms, ',') AS forms FROM stats JOIN u USING (concept)",
-    "concept_noise": f"WITH {_STATS}, r AS (SELECT df, CASE WHEN df <= 1 THEN 'single' WHEN concept IN ('there', 'which') THEN 'stop_word' WHEN df / n > 0.35 AND n >= 10 THEN 'too_common' WHEN df > 6 THEN 'many' ELSE '' END AS reason FROM stats, nn) SELECT reason, count(*) AS n, max(df) AS most FROM r GROUP BY 1",
+    "concept_noise": f"WITH {_STATS}, r AS (SELECT df, CASE WHEN df < 2 THEN 'single_artifact' WHEN df > 6 THEN 'too_many_artifacts' WHEN concept IN ('there', 'which') THEN 'stop_word' WHEN df / n > 0.35 AND n >= 10 THEN 'high_document_frequency' ELSE '' END AS reason FROM stats, nn) SELECT reason, count(*) AS n, max(df) AS most FROM r GROUP BY 1",
     "glossary": f"""WITH {_MENTIONS}, m AS (SELECT DISTINCT concept, doc, kind, path FROM mentions JOIN artifacts ON doc = artifact_id), r AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY path) AS r FROM m)
 SELECT concept, count(*) AS df, count(*) FILTER (WHERE kind = 'plan') AS plans, count(*) FILTER (WHERE kind = 'decision') AS decisions, string_agg(path, ',' ORDER BY path) FILTER (WHERE r <= 4) AS paths FROM r GROUP BY concept HAVING count(*) >= 2""",
     "shared_concept_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
-    "shared_concept_edges": f"WITH {_PAIRS} SELECT src, dst, round(least(0.32::DOUBLE + 0.06::DOUBLE * shared + 0.04::DOUBLE * idf_max, CASE WHEN shared > 1 THEN 1.0 ELSE 0.84 END), 3) AS weight, round(least(0.56::DOUBLE + 0.04::DOUBLE * shared + 0.03::DOUBLE * idf_max, CASE WHEN shared > 1 THEN 1.0 ELSE 0.84 END), 3) AS confidence FROM pairs",
+    "shared_concept_edges": f"WITH {_PAIRS} SELECT src, dst, round(least(0.32::DOUBLE + 0.12::DOUBLE * strong + 0.06::DOUBLE * semantic + 0.04::DOUBLE * idf_max, 1.0), 3) AS weight, round(least(0.56::DOUBLE + 0.10::DOUBLE * strong + 0.04::DOUBLE * semantic + 0.03::DOUBLE * idf_max, CASE WHEN strong > 0 AND semantic > 0 THEN 1.0 ELSE 0.84 END), 3) AS confidence FROM pairs",
     "layout_group_edges": f"WITH {_FILE}, ok AS (SELECT dir FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8), p AS (SELECT dir, a.path AS src, b.path AS dst, row_number() OVER (PARTITION BY dir ORDER BY a.path, b.path) AS rank FROM f a JOIN f b USING (dir) JOIN ok USING (dir) WHERE a.path < b.path) SELECT * FROM p WHERE rank <= 24",
     "path_edges": f"WITH {T.ARTIFACTS}, w AS (SELECT artifact_id AS src, lead(artifact_id) OVER (PARTITION BY title ORDER BY artifact_id) AS dst, count(*) OVER (PARTITION BY title) AS n FROM artifacts) SELECT * FROM w WHERE n BETWEEN 2 AND 12 AND dst IS NOT NULL",
     "test_source_edges": f"WITH {_FILE}, p AS (SELECT t.path AS src, s.path AS dst, CAST(CASE WHEN t.dir = s.dir THEN 0.91 ELSE 0.86 END AS DOUBLE) AS weight FROM f t JOIN f s ON t.stem = s.stem AND t.is_test AND NOT s.is_test), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM p) SELECT src, dst, weight FROM r WHERE r <= 5",

@@ -14,13 +14,15 @@ from ..sources import tables as T
 def commit_size_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Commits by size class, and how many of their files large ones lose."""
     n = T.commit_files(spark, sf).groupBy("commit_id").agg(F.count_distinct("path").alias("n"))
-    size = F.when(F.col("n") > 4, "large").when(F.col("n") > 1, "medium").otherwise("small")
-    return n.groupBy(size.alias("size")).agg(F.count("*").alias("commits"), F.sum(F.greatest(F.col("n") - 4, F.lit(0).cast("long"))).alias("dropped"))
+    size = F.when(F.col("n") > H.MOST_FILES, "large").when(F.col("n") > 1, "medium").otherwise("small")
+    return n.groupBy(size.alias("size")).agg(F.count("*").alias("commits"), F.sum(F.greatest(F.col("n") - H.MOST_FILES, F.lit(0).cast("long"))).alias("dropped"))
 
 
 def history_shape(spark: SparkSession, sf: str) -> DataFrame:
-    c = T.commits(spark, sf).groupBy("author").agg(F.count("*").alias("commits"))
-    return c.select("author", "commits", F.when(F.col("commits") >= 20, "dense").when(F.col("commits") >= 5, "regular").otherwise("sparse").alias("shape"))
+    """Customers as repositories, their orders as commits; those with debts have an older history that is cut off."""
+    repos = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("author"), (F.col("c_acctbal") < 0).alias("cut"))
+    c = repos.join(T.commits(spark, sf).groupBy("author").agg(F.count("*").alias("commits")), "author", "left")
+    return c.select("author", F.coalesce("commits", F.lit(0).cast("long")).alias("commits"), H.history_shape(F.coalesce("commits", F.lit(0)), F.col("cut")).alias("shape"))
 
 
 def first_commit_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +37,10 @@ def cochange_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def cochange_scored(spark: SparkSession, sf: str) -> DataFrame:
     """The 250 best pairs with examples, weight and confidence."""
     t = H.cochange_totals(H.cochange_pairs(T.commit_files(spark, sf)), T.commits(spark, sf)).orderBy(F.desc("evidence"), F.desc("latest"), "left", "right").limit(250)
-    weight, confidence = H.cochange_score(F.col("evidence"))
+    n = T.commit_files(spark, sf).groupBy("path").agg(F.count("*").alias("n"))
+    side = lambda name: n.select(F.col("path").alias(name), (F.col("n") > H.DENSE).alias(f"{name}_dense"))
+    t = t.join(side("left"), "left").join(side("right"), "right")
+    weight, confidence = H.cochange_score(F.lit("full"), F.col("left_dense") | F.col("right_dense"), F.col("evidence"))
     return t.select("left", "right", "evidence", "latest", "examples", weight.alias("weight"), confidence.alias("confidence"))
 
 
@@ -91,13 +96,14 @@ ru AS (SELECT ref, count(DISTINCT commit_id) AS commits, count(DISTINCT path) AS
 refs AS (SELECT *, CASE WHEN commits >= 3 AND families >= 2 THEN 'trusted' WHEN commits >= 2 THEN 'likely' ELSE 'weak' END AS trust FROM ru)"""
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'into', 'are', 'was', 'how', 'what'))[1:4]"
 SQL = {
-    "commit_size_filter": f"WITH {_CF}, n AS (SELECT commit_id, count(*) AS n FROM df GROUP BY 1) SELECT CASE WHEN n > 4 THEN 'large' WHEN n > 1 THEN 'medium' ELSE 'small' END AS size, count(*) AS commits, CAST(sum(greatest(n - 4, 0)) AS BIGINT) AS dropped FROM n GROUP BY 1",
-    "history_shape": "SELECT o_custkey AS author, count(*) AS commits, CASE WHEN count(*) >= 20 THEN 'dense' WHEN count(*) >= 5 THEN 'regular' ELSE 'sparse' END AS shape FROM orders GROUP BY 1",
+    "commit_size_filter": f"WITH {_CF}, n AS (SELECT commit_id, count(*) AS n FROM df GROUP BY 1) SELECT CASE WHEN n > 32 THEN 'large' WHEN n > 1 THEN 'medium' ELSE 'small' END AS size, count(*) AS commits, CAST(sum(greatest(n - 32, 0)) AS BIGINT) AS dropped FROM n GROUP BY 1",
+    "history_shape": "SELECT c_custkey AS author, count(o_orderkey) AS commits, CASE WHEN count(o_orderkey) = 0 THEN 'full' WHEN count(o_orderkey) = 1 THEN 'single_commit' WHEN c_acctbal < 0 THEN 'shallow' ELSE 'full' END AS shape FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal",
     "first_commit_dates": f"WITH {_CF} SELECT path, min(committed_at) AS authored_at FROM commit_files JOIN commits USING (commit_id) WHERE change = 'A' GROUP BY path",
     "cochange_pairs": f'WITH {_PAIRS} SELECT "left", "right", count(*) AS evidence FROM pairs GROUP BY ALL HAVING count(*) >= 2',
     "cochange_scored": f"""WITH {_PAIRS}, l AS (SELECT "left", "right", sha, committed_at, row_number() OVER (PARTITION BY "left", "right" ORDER BY committed_at DESC, sha) AS r FROM pairs JOIN commits USING (commit_id)),
 t AS (SELECT "left", "right", count(*) AS evidence, max(committed_at) AS latest, string_agg(sha, ',' ORDER BY r) FILTER (WHERE r <= 3) AS examples FROM l GROUP BY 1, 2)
-SELECT *, CAST(CASE WHEN evidence >= 4 THEN 0.8 WHEN evidence = 3 THEN 0.72 WHEN evidence = 2 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS weight, round(CAST(least(0.95, 0.5 + 0.1 * evidence) AS DOUBLE), 3) AS confidence FROM t ORDER BY evidence DESC, latest DESC, "left", "right" LIMIT 250""",
+, den AS (SELECT path, count(*) > 12 AS dense FROM commit_files GROUP BY path), td AS (SELECT t.*, a.dense OR b.dense AS dense FROM t JOIN den a ON a.path = "left" JOIN den b ON b.path = "right")
+SELECT "left", "right", evidence, latest, examples, CAST(CASE WHEN dense AND evidence >= 2 THEN 0.58 WHEN dense THEN 0.42 WHEN evidence >= 2 THEN 0.74 ELSE 0.56 END AS DOUBLE) AS weight, CAST(CASE WHEN dense AND evidence >= 2 THEN 0.72 WHEN dense THEN 0.56 WHEN evidence >= 2 THEN 0.86 ELSE 0.64 END AS DOUBLE) AS confidence FROM td ORDER BY evidence DESC, latest DESC, "left", "right" LIMIT 250""",
     "recently_changed": f"WITH {_CF} SELECT path, count(DISTINCT commit_id) AS changes, max(committed_at) AS latest FROM commit_files JOIN commits USING (commit_id) GROUP BY path ORDER BY latest DESC, changes DESC, path LIMIT 80",
     "representative_paths": f"WITH {_CF}, n AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, count(*) AS commits FROM df GROUP BY 1), r AS (SELECT dir, path, commits, row_number() OVER (PARTITION BY dir ORDER BY commits DESC, path) AS rank FROM n) SELECT * FROM r WHERE rank <= 3",
     "workref_anchors": f"WITH {_REFS} SELECT * FROM refs",

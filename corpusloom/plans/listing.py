@@ -169,7 +169,7 @@ SELECT wanted, tier, min(artifact_id) AS artifact_id, count(*) > 1 AS ambiguous
     "ignored_paths": f"WITH {T.FILES} SELECT path, {_ignored_sql()} AS ignored FROM files",
     "path_classes": rf"""WITH {T.FILES}, p AS (SELECT path, split_part(path, '/', -1) AS base, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files),
 e AS (SELECT *, lower(regexp_extract(base, '\.([^.]+)$', 1)) AS ext FROM p)
-SELECT path, CASE WHEN regexp_matches(path, '(^|/)(vendor|node_modules|dist|build|generated|archive|\.git)/|\.(lock|min\.js|map)$|(^|/)(package-lock\.json|go\.sum)$') THEN 'noise' WHEN {_TEST} THEN 'test' WHEN ext = 'go' THEN 'source' ELSE 'other' END AS class,
+SELECT path, CASE WHEN regexp_matches(path, '(^|/)(archive|archived)/') THEN 'archive' WHEN regexp_matches(path, '(^|/)(vendor|node_modules|dist|build|generated|archive|\.git)/|\.(lock|min\.js|map)$|(^|/)(package-lock\.json|go\.sum)$') THEN 'noise' WHEN {_TEST} THEN 'test' WHEN ext = 'go' THEN 'source' ELSE 'other' END AS class,
   base, directory, ext, regexp_replace(lower(regexp_replace(base, '\.[^.]+$', '')), '^test[_-]|[._-](?:test|spec|tests)$', '', 'g') AS stem, CAST(len(string_split(path, '/')) AS BIGINT) AS depth, CASE ext WHEN 'go' THEN 'go' ELSE 'other' END AS language FROM e""",
     "hydration": f"""WITH {T.TODOS}, {T.COMMIT_FILES}, t AS (SELECT artifact_id, string_agg(text, '|' ORDER BY ordinal, text) AS todos FROM todos GROUP BY 1),
 f AS (SELECT commit_id AS artifact_id, string_agg(DISTINCT path, '|' ORDER BY path) AS paths FROM commit_files GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier_parts, ngrams, normalized, occurrences, query_terms, token_estimate, tokens
+from ..functions.text import STOP_WORDS, identifier_parts, ngrams, normalized, occurrences, query_terms, token_estimate, tokens
 from ..operators import search as S
 from ..sources import tables as T
 
@@ -15,11 +15,12 @@ MOST = 20
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, term: the search terms of each benchmark item."""
-    return T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.filter(F.array_distinct(tokens("text")), lambda t: F.octet_length(t) >= 5)).alias("term"))
+    """query_id, term: the search terms of each benchmark item: three bytes and more, no stop words."""
+    wanted = F.filter(F.array_distinct(tokens("text")), lambda t: (F.octet_length(t) >= 3) & ~t.isin(*STOP_WORDS))
+    return T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(wanted).alias("term"))
 
 
-_Q = f"q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({TOKENS.format('text')}, lambda t: strlen(t) >= 5)) AS term FROM benchmark)"
+_Q = f"q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({TOKENS.format('text')}, lambda t: strlen(t) >= 3 AND t NOT IN {STOP_WORDS})) AS term FROM benchmark)"
 
 
 def _post_sql(rel: str = "documents", key: str = "doc_id", text: str = "text") -> str:
@@ -36,8 +37,7 @@ _POST, _BM25 = _post_sql(), _bm25_sql()
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = T.table(spark, sf, "documents")
-    return S.bm25(S.postings(docs, "doc_id", F.col("text")), S.lengths(docs, "doc_id", F.col("text")), _queries(spark, sf), "doc_id")
+    return S.bm25(T.table(spark, sf, "documents"), "doc_id", F.col("text"), _queries(spark, sf))
 
 
 def bm25_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,24 +53,24 @@ def find_bm25_top20(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_sections(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over the lines of documents as sections."""
     s = T.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).select(F.concat_ws(":", "doc_id", "ordinal").alias("section"), "line")
-    scored = S.bm25(S.postings(s, "section", F.col("line")), S.lengths(s, "section", F.col("line")), _queries(spark, sf), "section")
+    scored = S.bm25(s, "section", F.col("line"), _queries(spark, sf))
     return S.top_per(scored, "query_id", [F.desc("score"), F.col("section")], 5)
 
 
 def fts_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    q = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tokens("text"), 1, 4)).alias("term"))
-    docs = T.table(spark, sf, "documents")
-    return S.all_terms(S.postings(docs, "doc_id", F.col("text")), q, "doc_id")
+    """Documents that hold all tokens of a benchmark text."""
+    q = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens("text")).alias("term"))
+    return S.all_terms(T.table(spark, sf, "documents"), F.col("text"), q, "doc_id")
 
 
 def fts_like_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """All-terms matches of each query; where there are none, documents with a word that begins like the text's first word."""
     q = T.table(spark, sf, "benchmark")
     docs = T.table(spark, sf, "documents")
-    post = S.postings(docs, "doc_id", F.col("text"))
-    fts = S.all_terms(post, q.select(F.col("item_id").alias("query_id"), F.explode(F.slice(tokens("text"), 1, 12)).alias("term")), "doc_id")
+    fts = S.all_terms(docs, F.col("text"), q.select(F.col("item_id").alias("query_id"), F.explode(tokens("text")).alias("term")), "doc_id")
     empty = q.select(F.col("item_id").alias("query_id"), F.substring(F.get(tokens("text"), F.lit(0)), 1, 5).alias("head")).join(fts.select("query_id").distinct(), "query_id", "left_anti")
-    like = post.select("doc_id", F.substring("term", 1, 5).alias("head")).distinct().join(empty, "head").select("query_id", "doc_id")
+    heads = docs.select("doc_id", F.explode(F.array_distinct(F.transform(tokens("text"), lambda t: F.substring(t, 1, 5)))).alias("head"))
+    like = heads.join(empty, "head").select("query_id", "doc_id")
     return fts.withColumn("lane", F.lit("fts")).unionByName(like.withColumn("lane", F.lit("like")))
 
 
@@ -86,8 +86,8 @@ def preselect_lanes(spark: SparkSession, sf: str) -> DataFrame:
 
 def baseline_any_term(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold any term of a query as a token, with how many of its terms."""
-    docs = T.table(spark, sf, "documents")
-    return S.postings(docs, "doc_id", F.col("text")).join(_queries(spark, sf), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("terms"))
+    q = _queries(spark, sf)
+    return S.hits(T.table(spark, sf, "documents"), "doc_id", F.col("text"), q.select("term").distinct()).join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("terms"))
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,9 +142,9 @@ SQL = {
     "bm25_docs": f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ranked) SELECT * FROM r WHERE rank <= {MOST}",
     "bm25_sections": f"""WITH secs AS (SELECT doc_id || ':' || (i - 1) AS section, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, range(1, len(l) + 1) t(i)), {_bm25_sql('secs', 'section', 'line')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section) AS rank FROM ranked) SELECT query_id, section, score, rank FROM r WHERE rank <= 5""",
-    "fts_all_terms": f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}[1:4]) AS term FROM benchmark), d AS (SELECT DISTINCT * FROM q), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
+    "fts_all_terms": f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark), d AS (SELECT DISTINCT * FROM q), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
 g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GROUP BY 1, 2) SELECT query_id, doc_id FROM g JOIN need USING (query_id) WHERE got = need""",
-    "fts_like_fallback": f"""WITH d AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}[1:12]) AS term FROM benchmark), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
+    "fts_like_fallback": f"""WITH d AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
 g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GROUP BY 1, 2), f AS (SELECT query_id, doc_id FROM g JOIN need USING (query_id) WHERE got = need)
 SELECT query_id, doc_id, 'fts' AS lane FROM f UNION ALL SELECT DISTINCT item_id, doc_id, 'like' FROM benchmark JOIN post ON substr(term, 1, 5) = substr({TOKENS.format('text')}[1], 1, 5) WHERE item_id NOT IN (SELECT query_id FROM f)""",
     "preselect_lanes": f"""WITH {_BM25}, {T.ARTIFACTS}, s AS (SELECT doc_id, max(score) AS score FROM ranked GROUP BY 1),

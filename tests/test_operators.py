@@ -105,3 +105,47 @@ def test_driver_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_history_shapes_and_cochange_scores(spark):
+    from corpusloom.operators import history
+
+    rows = [(0, True, False, 1), (1, True, False, 1), (2, True, True, 3), (2, False, True, 2), (2, False, True, 1), (9, False, False, 2), (9, False, False, 1)]
+    df = spark.createDataFrame(rows, "total int, shallow boolean, dense boolean, evidence int").withColumn("shape", history.history_shape(F.col("total"), F.col("shallow")))
+    weight, confidence = history.cochange_score(F.col("shape"), F.col("dense"), F.col("evidence"))
+    got = [tuple(r) for r in df.select("shape", weight, confidence).collect()]
+    assert got == [("full", 0.56, 0.64), ("single_commit", 0.36, 0.48), ("shallow", 0.36, 0.48), ("full", 0.58, 0.72), ("full", 0.42, 0.56), ("full", 0.74, 0.86), ("full", 0.56, 0.64)]
+
+
+def test_commits_of_more_files_than_the_limit_are_dropped(spark):
+    from corpusloom.operators import history
+
+    files = spark.createDataFrame([(c, f"src/{i}.go") for c, n in ((1, 32), (2, 33), (3, 2)) for i in range(n)], "commit_id long, path string")
+    assert {r.commit_id for r in history.usable_commits(files).select("commit_id").distinct().collect()} == {1, 3}
+
+
+def test_noise_reasons_in_their_order(spark):
+    rows = [("a", 1), ("the", 1), ("the", 7), ("the", 5), ("b", 6), ("c", 2)]
+    df = spark.createDataFrame(rows, "concept string, df long")
+    got = [r[0] for r in df.select(graph.noise_reason(F.col("df"), F.col("concept"), 12, ("the",))).collect()]
+    assert got == ["single_artifact", "single_artifact", "too_many_artifacts", "stop_word", "high_document_frequency", ""]
+
+
+def test_edge_scores_by_strong_and_semantic_concepts(spark):
+    df = spark.createDataFrame([(2, 1, 2.0), (0, 3, 5.0), (3, 0, 1.0), (5, 1, 9.0)], "strong long, semantic long, idf_max double")
+    got = [(round(r.weight, 3), round(r.confidence, 3)) for r in graph.edge_scores(df).collect()]
+    assert got == [(0.7, 0.86), (0.7, 0.83), (0.72, 0.84), (1.0, 1.0)]
+
+
+def test_archived_paths_have_a_class_of_their_own(spark):
+    from corpusloom.functions import paths
+
+    df = spark.createDataFrame([("archive/x.go",), ("docs/archived/y.md",), ("vendor/z.go",), ("src/a.go",)], "path string")
+    assert [r[0] for r in df.select(paths.path_class("path")).collect()] == ["archive", "archive", "noise", "source"]
+
+
+def test_search_shuffles_hits_only(spark, sf):
+    from corpusloom.plans import search
+
+    plan = search.find_bm25_top20(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 8 and "BroadcastHashJoin" in plan
