@@ -32,6 +32,8 @@ VOCABULARY = "piece_bpe_32k.model"
 LONGEST_WORD = 32
 PER_LANGUAGE = 300
 ROUNDS = 4
+#: Words that the fit passes through the lattice together, which bounds its memory on the driver.
+FIT_WORDS = 2_000
 #: Every piece has been seen so often before, and a letter outside the vocabulary has this probability.
 PRIOR, UNKNOWN = 0.02, 1e-7
 MOST_KNOWN = 100_000
@@ -187,7 +189,8 @@ class Model:
                 for lo in range(0, len(w), LONGEST_WORD):
                     words[w[lo : lo + LONGEST_WORD]] = words.get(w[lo : lo + LONGEST_WORD], 0) + c
             names = list(words)
-            groups = [(lattice.codes([names[i] for i in some]), np.array([words[names[i]] for i in some], float)) for some in _by_length(names).values()]
+            parts = [some[lo : lo + FIT_WORDS] for some in _by_length(names).values() for lo in range(0, len(some), FIT_WORDS)]
+            groups = [(lattice.codes([names[i] for i in some]), np.array([words[names[i]] for i in some], float)) for some in parts]
             own = np.full((n + 1, 1), 1 / n)
             own[0] = 0
             for _ in range(ROUNDS):

@@ -70,7 +70,6 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     keep = docs.columns if keep is None else keep
     hashed = _number(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    # rows that agree in source, size and doc_id are told apart by their texts, then by their place in the stored table
     base = docs.select(
         *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
         F.col("source"),
@@ -78,14 +77,15 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
         hashed.alias("_h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_id"),
         F.xxhash64("text").alias("_t"),
-        F.monotonically_increasing_id().alias("_place"),
     )
-    base = stored(base)
-    targets = stored(source_targets(base, weights, share, cap, seed))
-    rows = base.join(targets.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_one", F.lit(1).cast("long"))
-    keys = ("_source", "size", "_h", "_id", "_t", "_place")
-    splitters = sampled_splitters(rows, keys, "_one", ranges or ranges_for(base.count()))
-    ranked = with_offsets(rows, keys, "_one", splitters)
+    keys = ("_source", "size", "_h", "_id", "_t")
+    if "text" not in keep:  # ids and sizes are stored, and their place there tells equal rows apart; texts are not stored again
+        base, keys = stored(base.withColumn("_place", F.monotonically_increasing_id())), (*keys, "_place")
+    slim = base if "text" not in keep else stored(base.select("source", "size", "_h", "_id", "_t"))
+    targets = stored(source_targets(slim, weights, share, cap, seed))
+    keyed = lambda df: df.join(targets.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_one", F.lit(1).cast("long"))
+    splitters = sampled_splitters(keyed(slim), keys, "_one", ranges or ranges_for(slim.count()))
+    ranked = with_offsets(keyed(base), keys, "_one", splitters)
     upto = lambda i: F.floor(i * F.col("_per") + F.col("_u"))
     return (
         ranked.withColumn("_per", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
