@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 documents (the last one returns the shards). Between stages the rows are written as Parquet in the shared folder and read
 again, so a lost executor costs the work of one stage at most.
 
-Nulls, ties and odd input: near-dedup and decontamination decide about rows, not ids: each row gets a key of its own first,
-so rows without doc_id, or with one that repeats, are judged by their own texts. Of a group of near copies the row of least
+Nulls, ties and odd input: near-dedup and decontamination decide about rows and texts, not ids: the one gives each row a
+key of its own first, the other takes the text's digest, so rows without doc_id, or with one that repeats, are judged by their own texts. Of a group of near copies the row of least
 doc_id stays (null last, then the first stored). Null texts and texts without letters go in the first stage. Columns
 of documents other than those a stage needs are set aside under other names meanwhile, so none can clash. An empty table
 passes through all stages.
@@ -56,7 +56,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _keyed(docs)
+    """A text says whether it leaks, so texts are looked up by their digests; null texts stay."""
+    rows = docs.select(F.md5("text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     leaks = stored(find_leaks(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct())
     return rows.join(leaks, "key", "left_anti").select("row.*")
 
