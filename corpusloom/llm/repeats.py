@@ -2,8 +2,10 @@
 
 Every document is factored greedily against the documents before it (smaller doc_id). The reference is indexed in blocks:
 a block holds all phrase starts of the corpus whose hash falls into it, so each phrase meets every place where it occurs,
-in one block, wherever the two documents lie. A factor runs on as long as the phrases keep the same earliest source; where
-one ends, the phrases across the boundary have been looked up too, so that a repeat that changes its source is not lost.
+in one block, wherever the two documents lie, and gets the earliest of them: the document and the place in it. A factor
+(start, words, source, place) runs on as long as the next phrase of the document is the next phrase of the source too, so
+its words stand in the source at that place. Where one ends, the phrases across the boundary have been looked up as well,
+so that a repeat that changes its source or jumps in it is not lost; neighbouring factors overlap there.
 Factors of WINDOW words and more are duplicate spans; their words are removed. Windows are judged on the input.
 
 Two rounds keep what is moved small. First only anchors are sent (the least hash among the ANCHOR-word runs of each
@@ -12,8 +14,9 @@ they are sent, equal hashes are merged in each chunk or bucket, so a passage in
 a block, not one a document. Texts are shuffled once, compressed, into buckets by doc_id.
 
 Nulls, ties and odd input: a null text has no words; texts under WINDOW words stay whole; a null doc_id counts as the
-largest; rows that repeat a doc_id each get a row and never remove each other's words (only a smaller doc_id does); an
-empty table gives no rows; only doc_id and text are read. Windows are compared by 64-bit hashes within a block.
+largest; rows that repeat a doc_id each get a row and never remove each other's words (only a smaller doc_id does), and a
+factor with such a source may have its phrases in several of its rows; a phrase that its source repeats has its first
+place there; an empty table gives no rows; only doc_id and text are read. Windows are compared by 64-bit hashes within a block.
 """
 
 from __future__ import annotations
@@ -44,10 +47,11 @@ class Phrases:
         self.first = np.cumsum(self.lengths) - self.lengths
         self.h = np.concatenate([hashes.of(w) for w in self.words]) if texts else np.empty(0, np.uint64)
         own = np.repeat(np.arange(len(texts)), np.maximum(self.lengths - window + 1, 0))
-        # start of each window in the row of all words, and its document
+        # start of each window in its document and in the row of all words, and its document
         self.doc = own
         runs = np.maximum(self.lengths - window + 1, 0)
-        self.start = np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs) + self.first[own]
+        self.place = np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.start = self.place + self.first[own]
         self.window = window
 
     def hashes(self) -> np.ndarray:
@@ -89,8 +93,8 @@ def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table
 
 _ANCHORS = [("block", pa.int64()), ("known", pa.bool_()), ("hashes", pa.binary()), ("tags", pa.binary())]
 _SHARED = [("bucket", pa.int64()), ("hashes", pa.binary())]
-_WINDOWS = [("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())]
-_EARLIER = [("bucket", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())]
+_WINDOWS = [("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())]
+_EARLIER = [("bucket", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())]
 
 
 def _ddl(fields: list[tuple[str, pa.DataType]]) -> str:
@@ -148,34 +152,44 @@ def _texts(t: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def _candidates(bucket: int, docs: pa.Table, shared: pa.Table, blocks: int) -> pa.Table:
-    """Windows of a bucket whose anchor is shared, each once, with the first document of the bucket that has it."""
+    """Windows of a bucket whose anchor is shared, each once, with the first document of the bucket that has it and the
+    first place there."""
     if not len(docs) or not len(shared):
         return _table([], _WINDOWS)
     ids, texts, _ = _texts(docs)
     ph = Phrases(texts, WordHashes(300_000))
     at = np.flatnonzero(np.isin(ph.anchors(), np.unique(_u8(shared.column("hashes")))))
     h, first = np.unique(ph.hashes()[at], return_index=True)
-    return _table([(int(b), bucket, x.tobytes(), d.tobytes()) for b, x, d in _split(_block(h, blocks), h, ids[ph.doc[at[first]]])], _WINDOWS)
+    first = at[first]
+    parts = _split(_block(h, blocks), h, ids[ph.doc[first]], ph.place[first])
+    return _table([(int(b), bucket, x.tobytes(), d.tobytes(), p.tobytes()) for b, x, d, p in parts], _WINDOWS)
 
 
 def _match_windows(t: pa.Table) -> pa.Table:
-    """In one block: for each bucket, its windows that start in an earlier document elsewhere, with that document."""
-    h, d = _u8(t.column("hashes")), _u8(t.column("docs"), np.int64)
+    """In one block: for each bucket, its windows that start in an earlier document elsewhere, with that document and the
+    place in it."""
+    h, d, p = _u8(t.column("hashes")), _u8(t.column("docs"), np.int64), _u8(t.column("places"), np.int64)
     bucket = np.repeat(t.column("bucket").to_numpy(), [len(x) // 8 for x in t.column("hashes").to_pylist()])
-    order = np.lexsort((d, h))
-    h, d, bucket = h[order], d[order], bucket[order]
+    order = np.lexsort((p, d, h))
+    h, d, p, bucket = h[order], d[order], p[order], bucket[order]
     head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-    first = d[head][np.cumsum(head) - 1] if len(h) else d
+    group = np.cumsum(head) - 1
+    first, place = d[head][group], p[head][group]
     later = first < d
-    return _table([(int(b), x.tobytes(), s.tobytes()) for b, x, s in _split(bucket[later], h[later], first[later])], _EARLIER)
+    parts = _split(bucket[later], h[later], first[later], place[later])
+    return _table([(int(b), x.tobytes(), s.tobytes(), a.tobytes()) for b, x, s, a in parts], _EARLIER)
 
 
-def parse(source: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, source) from the earliest source of each window start of a document (LAST: none)."""
+def parse(source: np.ndarray, place: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, source, place) from the earliest source of each window start of a document (LAST:
+    none) and its place there: a factor takes the next window as long as it is the next one of its source."""
     if not len(source):
         return []
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(source)) + 1, [len(source)]])
-    return [(a, b - a + window - 1, s) for a, b, s in zip(cut[:-1].tolist(), cut[1:].tolist(), source[cut[:-1]].tolist(), strict=True) if s != LAST]
+    leaves = (np.diff(source) != 0) | (np.diff(place) != 1)
+    cut = np.concatenate([[0], np.flatnonzero(leaves) + 1, [len(source)]])
+    starts = cut[:-1]
+    found = zip(starts.tolist(), np.diff(cut).tolist(), source[starts].tolist(), place[starts].tolist(), strict=True)
+    return [(a, n + window - 1, s, p) for a, n, s, p in found if s != LAST]
 
 
 def _factored(docs: pa.Table, earlier: pa.Table) -> tuple[np.ndarray, list[tuple]]:
@@ -183,30 +197,34 @@ def _factored(docs: pa.Table, earlier: pa.Table) -> tuple[np.ndarray, list[tuple
     ph = Phrases(texts, WordHashes(300_000))
     h, own = ph.hashes(), ids[ph.doc]
     each, at, inv = np.unique(h, return_index=True, return_inverse=True)
-    first = own[at]  # documents are in order, so this is the first of the bucket
+    first, where = own[at], ph.place[at]  # documents are in order, so this is the first of the bucket
     if len(earlier) and len(each):
-        eh, ed = _u8(earlier.column("hashes")), _u8(earlier.column("docs"), np.int64)
-        i = np.searchsorted(each, eh)
-        np.minimum.at(first, i, ed)
+        eh, ed, ep = _u8(earlier.column("hashes")), _u8(earlier.column("docs"), np.int64), _u8(earlier.column("places"), np.int64)
+        i = np.searchsorted(each, eh)  # each hash is there once for a bucket
+        less = ed < first[i]
+        first[i[less]], where[i[less]] = ed[less], ep[less]
     source = np.where(first[inv] < own, first[inv], LAST)
+    place = where[inv]
     ends = np.cumsum(np.maximum(ph.lengths - WINDOW + 1, 0))
     rows = []
     for j, words in enumerate(ph.words):
-        factors = parse(source[ends[j - 1] if j else 0 : ends[j]])
+        mine = slice(ends[j - 1] if j else 0, ends[j])
+        factors = parse(source[mine], place[mine])
         gone = np.zeros(len(words), bool)
-        for a, n, _ in factors:
+        for a, n, *_ in factors:
             gone[a : a + n] = True
         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if factors else words
-        rows.append((len(words), int(gone.sum()), b" ".join(kept), [{"start": a, "words": n, "source": s} for a, n, s in factors]))
+        rows.append((len(words), int(gone.sum()), b" ".join(kept), [{"start": a, "words": n, "source": s, "place": p} for a, n, s, p in factors]))
     return ids, rows
 
 
-_FACTOR = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())])
+_FACTOR = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("place", pa.int64())])
 _OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("factors", pa.list_(_FACTOR))]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and factors (start, words, source doc_id)."""
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and factors (start, words, source doc_id,
+    place: the word of the source at which they stand)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -246,7 +264,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = found.groupBy("block").applyInArrow(_match_anchors, _ddl(_SHARED))
     windows = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(candidates, _ddl(_WINDOWS))
     earlier = windows.groupBy("block").applyInArrow(_match_windows, _ddl(_EARLIER))
-    out = texts.groupBy("bucket").cogroup(earlier.groupBy("bucket")).applyInArrow(factored, "doc_id long, n_words long, n_removed long, kept binary, factors array<struct<start:long,words:long,source:long>>")
+    out = texts.groupBy("bucket").cogroup(earlier.groupBy("bucket")).applyInArrow(factored, "doc_id long, n_words long, n_removed long, kept binary, factors array<struct<start:long,words:long,source:long,place:long>>")
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "factors")
 
 

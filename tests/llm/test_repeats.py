@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+
 from corpusloom.llm.repeats import parse, remove_repeats
 
 from .fixtures import documents, frame, odd, with_clashes, words
@@ -52,8 +54,27 @@ def test_empty(spark):
     assert run(frame(spark, [], parts=1)) == []
 
 
-def test_factors_name_source_and_length():
-    import numpy as np
-
+def test_parse_follows_the_places_of_the_source():
     last = 2**63 - 1
-    assert parse(np.array([last, 3, 3, 3, 5, last])) == [(1, 15, 3), (4, 13, 5)]
+    source, place = np.array([last, 3, 3, 3, 5, 5, last]), np.array([0, 7, 8, 2, 3, 4, 0])
+    assert parse(source, place) == [(1, 14, 3, 7), (3, 13, 3, 2), (4, 14, 5, 3)]
+
+
+def test_factors_stand_in_their_sources(spark):
+    w = [f"w{i}" for i in range(1, 41)]
+    jump = " ".join(w[:13] + [f"x{i}" for i in range(20)] + w[1:14])
+    rows = documents() + [(6000, jump, "en", "s", 1), (6001, " ".join(w[:14]), "en", "s", 1), (6002, " ".join(["a", *w[:14], "b", *w[1:14]]), "en", "s", 1)]
+    texts = {d: words(t) for d, t, *_ in rows}
+    first = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - N + 1):
+            first.setdefault(tuple(texts[d][i : i + N]), (d, i))
+    got = {r.doc_id: r.factors for r in remove_repeats(frame(spark, rows)).collect()}
+    assert [tuple(f) for f in got[6001]] == [(0, 13, 6000, 0), (1, 13, 6000, 33)]
+    assert sum(map(len, got.values())) > 10
+    for d, factors in got.items():
+        for a, n, s, p in map(tuple, factors):
+            assert s < d and n >= N and texts[d][a : a + n] == texts[s][p : p + n]
+            # the next window is not the next one of the source, or the source is not the earliest that has it
+            after = tuple(texts[d][a + n - N + 1 : a + n + 1])
+            assert len(after) < N or first[after] != (s, p + n - N + 1)
