@@ -2,14 +2,19 @@
 
 A text is cut into pre-tokens, each a run of spaces and the run of other characters after it. No piece of the vocabulary
 holds a space mark after another character (checked when the model is loaded), so no merge crosses these cuts and the
-counts add up. Each distinct pre-token is counted once by the tokenizer library, the counts are joined to the frequencies
-of the pre-tokens in each document, and summed; ids are dropped as soon as they are counted. The join is made inside each
-task over its distinct pre-tokens, not by a shuffle of all (document, pre-token) rows, which would move more than the
-whole text.
+counts add up. With a vocabulary of another kind a whole text is one pre-token.
+
+Texts are cut in blocks of at most BLOCK characters (but for one longer text). Pre-tokens that are pieces of the
+vocabulary, which is fixed and small, are counted once when the model is loaded and added up where they stand. Of all
+others a block gives one row for each distinct one, with its frequencies in the documents of the block. The distinct ones
+of the corpus are counted once each by the tokenizer library, joined to these rows, and the products are summed for each
+block. So a frequent pre-token has a row to a block, not to a document (adaptive execution splits such keys of the join),
+and no ids are kept. The texts are scanned twice rather than stored in between; a block is named by its task and its
+number in it, so docs should be a table or a plan whose rows come in the same order when a lost task runs again.
 
 Nulls, ties and odd input: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; an empty table
-gives no rows; only doc_id and text are read, so other columns cannot clash. Memory is bounded by one batch of texts and
-a table of at most MOST_KNOWN pre-tokens.
+gives no rows; only doc_id and text are read, so other columns cannot clash. Memory is bounded by a block, the vocabulary
+and, in the last step, the distinct pre-tokens of one block.
 """
 
 from __future__ import annotations
@@ -19,91 +24,145 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded_batches, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-MOST_KNOWN = 1_000_000
-#: A longer pre-token is counted, but not remembered.
-LONGEST_KNOWN = 64
+#: Characters and documents of a block, at most (but for one longer text).
+BLOCK, MOST_DOCS = 4_000_000, 60_000
 _MARK = "▁"
 _CUT = re.compile(r" *[^ ]+| +")
+_TIMES = np.dtype([("doc", "<u2"), ("times", "<u4")])
 
 
 class PieceCounter:
-    """Counts pieces of a sentencepiece model, once for each distinct pre-token while it is remembered."""
+    """Counts pieces of a sentencepiece model in pre-tokens."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         # then a text can be cut before each run of spaces
         self.cuts = not any(_MARK in p.lstrip(_MARK) for p in pieces) and self.model.normalize("  ﬁ ") == f"{_MARK * 3}ﬁ{_MARK}"
+        words = [p.lstrip(_MARK) for p in pieces]
+        self.known = dict(zip(words, self.counts(words), strict=True))
         # a space at the end of a text: a pre-token of which nothing is left without its first space
-        self.lone = len(self.model.encode("x ")) - len(self.model.encode("x"))
-        self.known: dict[str, int] = {"": self.lone}
+        self.known[""] = len(self.model.encode("x ")) - len(self.model.encode("x")) if self.cuts else 0
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens. The library puts one space before a text, so each later one stands without its first space."""
         if not self.cuts:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
+            return [text]
+        parts = _CUT.findall(text.replace(_MARK, " "))
+        return parts[:1] + [p[1:] for p in parts[1:]]
+
+    def counts(self, parts: list[str]) -> list[int]:
+        return [len(x) for lo in range(0, len(parts), 20_000) for x in self.model.encode(parts[lo : lo + 20_000], num_threads=1)]
+
+    def frequencies(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Pieces of each text in known pre-tokens; the other distinct pre-tokens, the first of the rows of each, and their
+        rows (document, times)."""
         cut: list[str] = []
-        ends = []
-        for t in texts:
-            # the library puts one space before a text, so each later pre-token is counted without its first
-            parts = _CUT.findall(t.replace(_MARK, " "))
-            cut += parts[:1]
-            cut += [p[1:] for p in parts[1:]]
-            ends.append(len(cut))
-        known = self.known
-        new = [p for p in set(cut) if p not in known]
-        if len(known) + len(new) > MOST_KNOWN:
-            known.clear()
-            known[""] = self.lone
-            new = list(set(cut) - {""})
-        far: dict[str, int] = {}
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for p, ids in zip(some, self.model.encode(some, num_threads=1), strict=True):
-                (known if len(p) <= LONGEST_KNOWN else far)[p] = len(ids)
-        known_or_far = known if not far else {**known, **far} if len(far) > 1000 else None
-        get = known_or_far.__getitem__ if known_or_far is not None else lambda p: known[p] if p in known else far[p]
-        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(get, cut), np.int64, len(cut)))])
-        at = np.array([0, *ends])
-        return (upto[at[1:]] - upto[at[:-1]]).tolist()
-
-
-def _batches(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    batch: list[str] = []
-    n = 0
-    for t in texts:
-        batch.append(t)
-        n += len(t)
-        if n > most:
-            yield batch
-            batch, n = [], 0
-    if batch:
-        yield batch
+        ends = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            cut += self.cut(t)
+            ends[i + 1] = len(cut)
+        get = self.known.get
+        n = np.fromiter((get(p, -1) for p in cut), np.int64, len(cut))
+        new = np.flatnonzero(n < 0)
+        n[new] = 0
+        upto = np.concatenate([[0], np.cumsum(n)])
+        code: dict[str, int] = {}
+        codes = np.fromiter((code.setdefault(cut[i], len(code)) for i in new.tolist()), np.int64, len(new))
+        doc = np.searchsorted(ends, new, side="right") - 1
+        pairs, times = np.unique(codes * len(texts) + doc, return_counts=True)
+        rows = np.empty(len(pairs), _TIMES)
+        rows["doc"], rows["times"] = pairs % max(len(texts), 1), times
+        return upto[ends[1:]] - upto[ends[:-1]], list(code), np.searchsorted(pairs, np.arange(len(code) + 1) * len(texts)), rows
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of at most BLOCK characters and MOST_DOCS rows (but for one longer text)."""
+    for f in batches:
+        size = np.array([len(t) for t in f.column("text").to_pylist()], np.int64)
+        lo = n = 0
+        for i, k in enumerate(size.tolist()):
+            if i > lo and (n + k > BLOCK or i - lo == MOST_DOCS):
+                yield f.slice(lo, i - lo)
+                lo, n = i, 0
+            n += k
+        if len(size):
+            yield f.slice(lo)
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. model: a sentencepiece file, by default MODEL."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    bounded_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType
+    arrow_kind = to_arrow_type(kind)
+    # a block is made of one Arrow batch, so batches are as large as blocks
+    bounded_batches(docs.sparkSession, rows=10_000, size=BLOCK)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counter() -> PieceCounter:
         import public_tokenizers
 
-        counter = PieceCounter(model or public_tokenizers.path(MODEL))
-        for f in batches:
-            n = np.array([x for b in _batches(f.column("text").to_pylist()) for x in counter.counts(b)], np.int64)
-            yield pa.RecordBatch.from_arrays([f.column("doc_id"), f.column("n_bytes"), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        return PieceCounter(model or public_tokenizers.path(MODEL))
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter()
+        for f in _blocks(batches):
+            parts = {p for t in f.column("text").to_pylist() for p in c.cut(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in parts if p not in c.known], pa.string())], ["part"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter()
+        for f in batches:
+            yield pa.RecordBatch.from_arrays([f.column("part"), pa.array(c.counts(f.column("part").to_pylist()), pa.int64())], ["part", "n"])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, task = counter(), TaskContext.get().partitionId()
+        for i, f in enumerate(_blocks(batches)):
+            block, m = f"{task} {i}", f.num_rows
+            base, parts, at, rows = c.frequencies(f.column("text").to_pylist())
+            # one row for the documents themselves, whose key no other row of the join has to meet
+            ids = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), f.column("doc_id").cast(arrow_kind))
+            sizes = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), f.column("n_bytes"))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block]), pa.array([base.astype(np.int64).tobytes()]), ids, sizes], _NAMES)
+            for lo in range(0, len(parts), 10_000):
+                some = parts[lo : lo + 10_000]
+                ends = at[lo : lo + len(some) + 1]
+                data = rows[ends[0] : ends[-1]].tobytes()
+                offsets = ((ends - ends[0]) * _TIMES.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                nulls = [pa.nulls(len(some), pa.list_(arrow_kind)), pa.nulls(len(some), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some, pa.string()), packed, *nulls], _NAMES)
+
+    def summed(t: pa.Table) -> pa.Table:
+        head = t.filter(pc.is_valid(t.column("ids")))
+        rest = t.filter(pc.is_null(t.column("ids")))
+        total = np.frombuffer(head.column("packed")[0].as_py(), np.int64).copy()
+        packed = rest.column("packed").to_pylist()
+        rows = np.frombuffer(b"".join(packed), _TIMES)
+        n = np.repeat(rest.column("n").to_numpy(), [len(x) // _TIMES.itemsize for x in packed])
+        np.add.at(total, rows["doc"], rows["times"].astype(np.int64) * n)
+        ids, sizes = (pc.list_flatten(head.column(k)) for k in ("ids", "sizes"))
+        return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total), "over_limit": pa.array(total > limit)})
+
+    name = kind.simpleString()
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    parts = rows.select("text").mapInArrow(distinct, "part string").distinct().mapInArrow(counted, "part string, n long")
+    found = rows.mapInArrow(frequencies, f"block string, part string, packed binary, ids array<{name}>, sizes array<long>")
+    return found.join(parts, "part", "left").groupBy("block").applyInArrow(summed, f"doc_id {name}, n_bytes long, n_tokens long, over_limit boolean")
+
+
+_NAMES = ["block", "part", "packed", "ids", "sizes"]
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

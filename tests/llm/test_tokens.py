@@ -20,14 +20,29 @@ def test_against_library(spark):
     assert any(r.over_limit for r in got)
 
 
-def test_memory_is_bounded(monkeypatch):
+def test_blocks_of_few_characters(spark, monkeypatch):
     import corpusloom.llm.tokens as m
 
-    monkeypatch.setattr(m, "MOST_KNOWN", 50)
+    monkeypatch.setattr(m, "BLOCK", 300)
+    monkeypatch.setattr(m, "MOST_DOCS", 3)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    hot = [(i, f"zqxv{i % 3} zqxv0 zqxv0 unseenword" * (i % 5), "en", "s", 1) for i in range(60)]
+    got = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, hot, parts=3)).collect()}
+    assert got == {d: len(lib.encode(t)) for d, t, *_ in hot}
+
+
+def test_frequencies_of_a_block():
     counter, lib = PieceCounter(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert counter.cuts
-    for _, t, *_ in documents()[:40]:
-        assert counter.counts([t, t + " x"]) == [len(lib.encode(t)), len(lib.encode(t + " x"))]
+    texts = [t for _, t, *_ in documents()[:40]] + ODD
+    base, parts, at, rows = counter.frequencies(texts)
+    n = dict(zip(parts, counter.counts(parts), strict=True))
+    assert len(set(parts)) == len(parts) and not set(parts) & set(counter.known)
+    for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True):
+        for doc, times in rows[lo:hi].tolist():
+            assert counter.cut(texts[doc]).count(p) == times
+            base[doc] += times * n[p]
+    assert base.tolist() == [len(lib.encode(t)) for t in texts]
 
 
 def test_empty(spark):
