@@ -6,25 +6,28 @@ counts add up. With a vocabulary of another kind a whole text is one pre-token.
 
 Texts are cut in blocks of at most BLOCK characters (but for one longer text). Pre-tokens that are pieces of the
 vocabulary, which is fixed and small, are counted once when the model is loaded and added up where they stand. Of all
-others a block gives one row for each distinct one, with its frequencies in the documents of the block. The distinct ones
-of the corpus are counted once each by the tokenizer library, joined to these rows, and the products are summed for each
-block. So a frequent pre-token has a row to a block, not to a document (adaptive execution splits such keys of the join),
-and no ids are kept. The texts are scanned twice rather than stored in between; a block is named by its task and its
-number in it, so docs should be a table or a plan whose rows come in the same order when a lost task runs again.
+others a block sends the distinct ones to slots by hash, packed. A slot counts each distinct pre-token of the corpus once
+and sends the counts back to the blocks that asked, where they are joined to the frequencies in each document and summed.
+So a frequent pre-token is sent once by a block, not by each document, its frequencies never meet in one task, and no ids
+are kept. The texts are scanned twice rather than stored in between; a block is named by its task and its number in it,
+so docs should be a table or a plan whose rows come in the same order when a lost task runs again (an error if not).
 
 Nulls, ties and odd input: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; an empty table
 gives no rows; only doc_id and text are read, so other columns cannot clash. Memory is bounded by a block, the vocabulary
-and, in the last step, the distinct pre-tokens of one block.
+and a slot, whose number grows with the texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +39,10 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Characters and documents of a block, at most (but for one longer text).
 BLOCK, MOST_DOCS = 4_000_000, 60_000
+#: Bytes of text for each slot.
+SLOT = 16_000_000
 _MARK = "▁"
 _CUT = re.compile(r" *[^ ]+| +")
-_TIMES = np.dtype([("doc", "<u2"), ("times", "<u4")])
 
 
 class PieceCounter:
@@ -66,9 +70,7 @@ class PieceCounter:
     def counts(self, parts: list[str]) -> list[int]:
         return [len(x) for lo in range(0, len(parts), 20_000) for x in self.model.encode(parts[lo : lo + 20_000], num_threads=1)]
 
-    def frequencies(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """Pieces of each text in known pre-tokens; the other distinct pre-tokens, the first of the rows of each, and their
-        rows (document, times)."""
+    def block(self, texts: list[str], slots: int) -> "Block":
         cut: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
@@ -81,11 +83,50 @@ class PieceCounter:
         upto = np.concatenate([[0], np.cumsum(n)])
         code: dict[str, int] = {}
         codes = np.fromiter((code.setdefault(cut[i], len(code)) for i in new.tolist()), np.int64, len(new))
+        slot = np.fromiter((xxhash.xxh3_64_intdigest(p) % slots for p in code), np.int64, len(code))
+        parts = pa.array(list(code), pa.large_string())
+        order = pc.sort_indices(pa.table({"slot": slot, "part": parts}), [("slot", "ascending"), ("part", "ascending")])
+        rank = np.empty(len(code), np.int64)
+        rank[order.to_numpy()] = np.arange(len(code))
         doc = np.searchsorted(ends, new, side="right") - 1
-        pairs, times = np.unique(codes * len(texts) + doc, return_counts=True)
-        rows = np.empty(len(pairs), _TIMES)
-        rows["doc"], rows["times"] = pairs % max(len(texts), 1), times
-        return upto[ends[1:]] - upto[ends[:-1]], list(code), np.searchsorted(pairs, np.arange(len(code) + 1) * len(texts)), rows
+        pairs, times = np.unique(rank[codes] * len(texts) + doc, return_counts=True)
+        per_part = np.bincount(pairs // max(len(texts), 1), minlength=len(code))
+        return Block(upto[ends[1:]] - upto[ends[:-1]], slot[order.to_numpy()], parts.take(order), per_part, pairs % max(len(texts), 1), times)
+
+
+class Block(NamedTuple):
+    """Pieces of each text in known pre-tokens; the other distinct pre-tokens by slot and name, each with its number of
+    (document, times) rows."""
+
+    base: np.ndarray
+    slot: np.ndarray
+    parts: pa.LargeStringArray
+    per_part: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+
+    def total(self, n: np.ndarray) -> np.ndarray:
+        """Pieces of each text, given those of each distinct pre-token."""
+        return self.base + np.bincount(self.doc, np.repeat(n, self.per_part) * self.times, len(self.base)).astype(np.int64)
+
+
+def _packed(a: np.ndarray, kind: type = np.uint32) -> bytes:
+    return zstandard.compress(a.astype(kind).tobytes(), 1)
+
+
+def _unpacked(b: bytes, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
+
+
+def _packed_strings(parts: pa.LargeStringArray) -> tuple[bytes, bytes]:
+    """Bytes of each string, and all strings in a row."""
+    raw = parts.cast(pa.large_binary())
+    return _packed(pc.binary_length(raw).to_numpy()), zstandard.compress(b"".join(raw.to_pylist()), 1)
+
+
+def _unpacked_strings(lengths: np.ndarray, data: list[bytes]) -> pa.LargeStringArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(map(zstandard.decompress, data)))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,65 +145,60 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. model: a sentencepiece file, by default MODEL."""
-    kind = docs.schema["doc_id"].dataType
-    arrow_kind = to_arrow_type(kind)
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    arrow_kind, name = to_arrow_type(kind), kind.simpleString()
     # a block is made of one Arrow batch, so batches are as large as blocks
-    bounded_batches(docs.sparkSession, rows=10_000, size=BLOCK)
+    bounded_batches(spark, rows=10_000, size=BLOCK)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    size = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLOT + 1)
 
     def counter() -> PieceCounter:
         import public_tokenizers
 
         return PieceCounter(model or public_tokenizers.path(MODEL))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter()
-        for f in _blocks(batches):
-            parts = {p for t in f.column("text").to_pylist() for p in c.cut(t)}
-            yield pa.RecordBatch.from_arrays([pa.array([p for p in parts if p not in c.known], pa.string())], ["part"])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter()
-        for f in batches:
-            yield pa.RecordBatch.from_arrays([f.column("part"), pa.array(c.counts(f.column("part").to_pylist()), pa.int64())], ["part", "n"])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, Block]]:
         c, task = counter(), TaskContext.get().partitionId()
         for i, f in enumerate(_blocks(batches)):
-            block, m = f"{task} {i}", f.num_rows
-            base, parts, at, rows = c.frequencies(f.column("text").to_pylist())
-            # one row for the documents themselves, whose key no other row of the join has to meet
-            ids = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), f.column("doc_id").cast(arrow_kind))
-            sizes = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), f.column("n_bytes"))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block]), pa.array([base.astype(np.int64).tobytes()]), ids, sizes], _NAMES)
-            for lo in range(0, len(parts), 10_000):
-                some = parts[lo : lo + 10_000]
-                ends = at[lo : lo + len(some) + 1]
-                data = rows[ends[0] : ends[-1]].tobytes()
-                offsets = ((ends - ends[0]) * _TIMES.itemsize).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                nulls = [pa.nulls(len(some), pa.list_(arrow_kind)), pa.nulls(len(some), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some, pa.string()), packed, *nulls], _NAMES)
-
-    def summed(t: pa.Table) -> pa.Table:
-        head = t.filter(pc.is_valid(t.column("ids")))
-        rest = t.filter(pc.is_null(t.column("ids")))
-        total = np.frombuffer(head.column("packed")[0].as_py(), np.int64).copy()
-        packed = rest.column("packed").to_pylist()
-        rows = np.frombuffer(b"".join(packed), _TIMES)
-        n = np.repeat(rest.column("n").to_numpy(), [len(x) // _TIMES.itemsize for x in packed])
-        np.add.at(total, rows["doc"], rows["times"].astype(np.int64) * n)
-        ids, sizes = (pc.list_flatten(head.column(k)) for k in ("ids", "sizes"))
-        return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total), "over_limit": pa.array(total > limit)})
+            yield f"{task} {i}", f, c.block(f.column("text").to_pylist(), slots)
 
-    name = kind.simpleString()
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    parts = rows.select("text").mapInArrow(distinct, "part string").distinct().mapInArrow(counted, "part string, n long")
-    found = rows.mapInArrow(frequencies, f"block string, part string, packed binary, ids array<{name}>, sizes array<long>")
-    return found.join(parts, "part", "left").groupBy("block").applyInArrow(summed, f"doc_id {name}, n_bytes long, n_tokens long, over_limit boolean")
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, b in blocks(batches):
+            each, at = np.unique(b.slot, return_index=True)
+            ends = [*at[1:].tolist(), len(b.slot)]
+            packed = [_packed_strings(b.parts.slice(lo, hi - lo)) for lo, hi in zip(at.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(each), "block": [key] * len(each), "lengths": pa.array([x for x, _ in packed], pa.binary()), "parts": pa.array([x for _, x in packed], pa.binary())})
+
+    def counted(t: pa.Table) -> pa.Table:
+        lengths = [_unpacked(x) for x in t.column("lengths").to_pylist()]
+        code = _unpacked_strings(np.concatenate(lengths), t.column("parts").to_pylist()).dictionary_encode()
+        n = np.array(counter().counts(code.dictionary.to_pylist()), np.int64)[code.indices.to_numpy()]
+        back = np.split(n, np.cumsum([len(x) for x in lengths])[:-1])
+        return pa.table({"block": t.column("block"), "slot": t.column("slot"), "n": pa.array(map(_packed, back), pa.binary())})
 
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, f, b in blocks(batches):
+            ends = pa.array([0, f.num_rows], pa.int32())
+            ids, sizes = pa.ListArray.from_arrays(ends, f.column("doc_id").cast(arrow_kind)), pa.ListArray.from_arrays(ends, f.column("n_bytes"))
+            packed = [_packed(b.base), _packed(b.per_part), _packed(b.doc, np.uint16), _packed(b.times)]
+            yield pa.RecordBatch.from_arrays([pa.array([key]), ids, sizes, *[pa.array([x], pa.binary()) for x in packed]], ["block", "ids", "sizes", "base", "per_part", "doc", "times"])
+
+    def summed(own: pa.Table, counts: pa.Table) -> pa.Table:
+        counts = counts.sort_by("slot")
+        n = np.concatenate([np.empty(0, np.uint32), *[_unpacked(x) for x in counts.column("n").to_pylist()]]).astype(np.int64)
+        base, per_part, doc, times = (_unpacked(own.column(k)[0].as_py(), t) for k, t in (("base", np.uint32), ("per_part", np.uint32), ("doc", np.uint16), ("times", np.uint32)))
+        if len(n) != len(per_part):
+            raise ValueError("the rows of docs came in another order in the second scan")
+        total = Block(base.astype(np.int64), np.empty(0), pa.array([], pa.large_string()), per_part, doc, times.astype(np.int64)).total(n)
+        ids, sizes = (pc.list_flatten(own.column(k)) for k in ("ids", "sizes"))
+        return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total), "over_limit": pa.array(total > limit)})
 
-_NAMES = ["block", "part", "packed", "ids", "sizes"]
+    counts = rows.mapInArrow(distinct, "slot long, block string, lengths binary, parts binary").groupBy("slot").applyInArrow(counted, "block string, slot long, n binary")
+    found = rows.mapInArrow(frequencies, f"block string, ids array<{name}>, sizes array<long>, base binary, per_part binary, doc binary, times binary")
+    joined = found.groupBy("block").cogroup(counts.groupBy("block"))
+    return joined.applyInArrow(summed, f"doc_id {name}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

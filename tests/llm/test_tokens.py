@@ -1,9 +1,11 @@
 """Token counts against the library on whole texts."""
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
-from corpusloom.llm.tokens import PieceCounter, count_tokens
+from corpusloom.llm.tokens import PieceCounter, _packed_strings, _unpacked, _unpacked_strings, count_tokens
 
 from .fixtures import documents, frame, odd, with_clashes
 
@@ -35,14 +37,18 @@ def test_frequencies_of_a_block():
     counter, lib = PieceCounter(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert counter.cuts
     texts = [t for _, t, *_ in documents()[:40]] + ODD
-    base, parts, at, rows = counter.frequencies(texts)
-    n = dict(zip(parts, counter.counts(parts), strict=True))
-    assert len(set(parts)) == len(parts) and not set(parts) & set(counter.known)
-    for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True):
-        for doc, times in rows[lo:hi].tolist():
-            assert counter.cut(texts[doc]).count(p) == times
-            base[doc] += times * n[p]
-    assert base.tolist() == [len(lib.encode(t)) for t in texts]
+    b = counter.block(texts, 4)
+    parts = b.parts.to_pylist()
+    assert len(set(parts)) == len(parts) and not set(parts) & set(counter.known) and (np.diff(b.slot) >= 0).all()
+    rows = zip(np.repeat(np.array(parts, object), b.per_part).tolist(), b.doc.tolist(), b.times.tolist(), strict=True)
+    assert all(counter.cut(texts[doc]).count(p) == times for p, doc, times in rows)
+    assert b.total(np.array(counter.counts(parts))).tolist() == [len(lib.encode(t)) for t in texts]
+
+
+def test_packed_strings():
+    parts = pa.array(["a", "", "é\x00", "日本"] * 3, pa.large_string()).slice(1, 10)
+    lengths, data = _packed_strings(parts)
+    assert _unpacked_strings(_unpacked(lengths), [data]).to_pylist() == parts.to_pylist()
 
 
 def test_empty(spark):
