@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import extraction, graph, packing, state
+from corpusloom.operators import extraction, graph, packing, selection, state
 from corpusloom.operators.classify import Model, Rule, classified
 from corpusloom.sources import files
 from corpusloom.streaming.incremental import checkpoint_counts, index_stream
@@ -149,3 +149,38 @@ def test_search_shuffles_hits_only(spark, sf):
 
     plan = search.find_bm25_top20(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 8 and "BroadcastHashJoin" in plan
+
+
+def test_two_tiers_give_each_item_its_least(spark):
+    rows = [("r", i, float((i * 7 + j * 13) % 50)) for i in range(6) for j in range(8)] + [("s", 1, 3.0), ("s", 1, 2.0)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "g string, item long, w double, n long")
+    ranked = {}
+    for n, (g, item, w) in enumerate(rows):
+        ranked.setdefault((g, item), []).append((-w, n))
+    for least, most in ((2, 20), (2, 9), (3, 100)):
+        want = set()
+        for g in "rs":
+            tiers = sorted((place >= least, *x) for k, v in ranked.items() if k[0] == g for place, x in enumerate(sorted(v)))
+            want |= {n for *_, n in tiers[:most]}
+        got = selection.two_tier(df, "g", "item", [F.desc("w"), F.col("n")], least, most, salts=3)
+        assert {r.n for r in got.collect()} == want
+
+
+def test_quotas_refill_with_the_best_of_the_rest(spark):
+    df = spark.createDataFrame([("a", i, 10 - i) for i in range(6)] + [("b", 10, 1), ("c", 11, 99)], "role string, k long, score long")
+    got = {(r.k, r.refill) for r in selection.quota_refill(df, "role", "k", [F.desc("score"), F.col("k")], {"a": 2, "b": 2}, 5).collect()}
+    assert got == {(0, False), (1, False), (10, False), (11, True), (2, True)}
+
+
+def test_labels_buckets_and_identities(spark):
+    one = spark.range(1)
+    label = lambda h, of: one.select(selection.heading_label(F.lit(h), of)).first()[0]
+    assert [label(h, selection.SECTION_KINDS) for h in ("Open Questions", "Risk and Decision", "Intro")] == ["risk", "decision", ""]
+    assert [label(h, selection.SECTION_ROLES) for h in ("Non-Goals", "Rollout plan", "x")] == ["product", "tasks", ""]
+    tag = lambda p: one.select(F.lit(p).alias("p")).select(selection.directory_tag("p")).first()[0]
+    assert [tag(p) for p in ("docs/plans/001-login/api/x.md", "x.md", "docs/x.md", "a/b/c.md")] == ["api", "", "", "a"]
+    assert [r[0] for r in spark.range(0, 600, 100).select(selection.count_bucket(F.col("id"))).collect()] == ["0", "51-100", "101-500", "101-500", "101-500", "101-500"]
+    assert one.select(selection.duration_bucket(F.lit(130_500))).first()[0] == "130s+"
+    a = spark.createDataFrame([("A/x.md#L3",), ("a/y.md#L3-L9",), ("a/z.md#Lx",)], "path string")
+    b = spark.createDataFrame([("a/x.md",), ("a/y.md#L4",), ("a\\z.md",), ("a/x.md#l3",)], "path string")
+    assert {tuple(r) for r in selection.identity_matches(a, b).collect()} == {("A/x.md#L3", "a/x.md"), ("A/x.md#L3", "a/x.md#l3")}
