@@ -139,6 +139,23 @@ def point_updates(rows: DataFrame, updates: DataFrame, key: str, columns: list[s
     return rows.join(new, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
+def numbered(df: DataFrame, pos: str, name: str, width: int = 65_536) -> DataFrame:
+    """Adds the row's number by the whole number pos (from 1, pos is unique): numbered within ranges of ``width``
+    positions, after the counts of the ranges before. Only one row a range meets in one task."""
+    rows = df.withColumn("_range", F.floor(F.col(pos) / width))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(pos))
+    return rows.join(starts, "_range").withColumn(name, (F.col("_start") + place).cast("long")).drop("_range", "_start")
+
+
+def histograms(df: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
+    """dimension, value, n: the counts of all dimensions from one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(c.cast("string"), F.lit("")).alias("value")) for d, c in dimensions.items()]))
+    return df.select(each.alias("e")).groupBy("e.dimension", "e.value").agg(F.count("*").alias("n"))
+
+
 def link_map(links: DataFrame, source: str) -> DataFrame:
     """source and links: a map from link_<type> to its distinct targets, one a line; blank types and targets are left out."""
     clean = links.select(source, F.trim("type").alias("type"), F.trim("target").alias("target")).where("type != '' AND target != ''")

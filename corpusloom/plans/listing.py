@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import glob_matches, glob_regex
+from ..operators.selection import numbered
 from ..sources import tables as T
 from ..sources.files import ignored, ignore_regexes
 
@@ -24,7 +25,7 @@ def ids_in_input_order(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a list of ids in the order of the list, each id once."""
     ids = T.table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("artifact_id"))
     first = ids.groupBy("artifact_id").agg(F.min("pos").alias("pos"))
-    return T.artifacts(spark, sf).join(first, "artifact_id").select("pos", "artifact_id", "title", F.row_number().over(Window.orderBy("pos")).cast("long").alias("place"))
+    return numbered(T.artifacts(spark, sf).join(first, "artifact_id").select("pos", "artifact_id", "title"), "pos", "place")
 
 
 def get_by_prefix(spark: SparkSession, sf: str) -> DataFrame:

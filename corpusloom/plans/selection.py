@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import selection as S
+from ..operators.evaluation import timing_stats
 from ..sources import tables as T
 from .graph import _MENTIONS, _PAIRS, _mentions, shared_concept_pairs
 
@@ -84,7 +85,28 @@ def links_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("src", F.col("links")["link_contains"].alias("contains"), F.col("links")["link_updated_by"].alias("updated_by"))
 
 
-QUERIES = {f.__name__: f for f in (pair_scores, mentions_capped, source_quotas, bundle_recall, identity_joins, directory_tags, section_labels, usage_buckets, status_updates, links_by_type)}
+def phase_timings(spark: SparkSession, sf: str) -> DataFrame:
+    """Timings by phase and, where there is one, adapter; durations of 0 do not count."""
+    adapter = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("adapter"), (F.col("user_id") % 10).cast("string")))
+    e = T.table(spark, sf, "events").select(F.concat_ws(":", "event_type", adapter).alias("phase"), F.floor("value").alias("ms")).where("ms > 0")
+    return timing_stats(e, "phase", "ms")
+
+
+def fact_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits and changed files of each author, each table counted by itself."""
+    c = T.commits(spark, sf)
+    files = T.commit_files(spark, sf).groupBy("commit_id").agg(F.count("*").alias("files"))
+    both = c.select("author", "commit_id").join(files, "commit_id", "left")
+    return both.groupBy("author").agg(F.count("*").alias("commits"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+
+
+def path_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    root = F.get(F.split("path", "/"), F.lit(0))
+    role = F.when(paths.is_test("path"), "test").when(paths.is_noise("path"), "ignored").otherwise("source")
+    return S.histograms(T.files(spark, sf), {"language": paths.language("path"), "role": role, "root": root})
+
+
+QUERIES = {f.__name__: f for f in (pair_scores, mentions_capped, source_quotas, bundle_recall, identity_joins, directory_tags, section_labels, usage_buckets, status_updates, links_by_type, phase_timings, fact_counts, path_histograms)}
 
 
 def _label_sql(labels: Mapping[str, tuple[str, ...]]) -> str:
@@ -118,6 +140,13 @@ SELECT {_label_sql(S.SECTION_KINDS)} AS kind, {_label_sql(S.SECTION_ROLES)} AS r
 SELECT CASE WHEN n <= 0 THEN '0' WHEN n <= 10 THEN '1-10' WHEN n <= 50 THEN '11-50' WHEN n <= 100 THEN '51-100' WHEN n <= 500 THEN '101-500' ELSE '501+' END AS events,
   CASE WHEN ms < 100 THEN '<100ms' WHEN ms < 500 THEN '100-499ms' WHEN ms < 1000 THEN '500-999ms' WHEN ms < 5000 THEN '1-4s' WHEN ms < 30000 THEN '5-29s' WHEN ms < 120000 THEN '30-119s' ELSE (ms // 1000) || 's+' END AS longest, count(*) AS users FROM u GROUP BY 1, 2""",
     "status_updates": f"WITH {T.ARTIFACTS} SELECT artifact_id, kind, coalesce(CASE WHEN toxic = 1 THEN 'superseded' WHEN quality = 1 THEN 'accepted' END, status) AS status FROM artifacts LEFT JOIN labels ON artifact_id = doc_id",
+    "phase_timings": """WITH e AS (SELECT event_type || CASE WHEN user_id % 2 = 0 THEN ':adapter' || (user_id % 10) ELSE '' END AS phase, CAST(floor(value) AS BIGINT) AS ms FROM events)
+SELECT phase, CAST(sum(ms) AS BIGINT) AS total, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS most, count(*) AS n FROM e WHERE ms > 0 GROUP BY 1""",
+    "fact_counts": f"""WITH {T.COMMITS}, {T.COMMIT_FILES}, a AS (SELECT author, count(*) AS commits FROM commits GROUP BY 1), b AS (SELECT author, count(*) AS files FROM commits JOIN commit_files USING (commit_id) GROUP BY 1)
+SELECT author, commits, coalesce(files, 0) AS files FROM a LEFT JOIN b USING (author)""",
+    "path_histograms": f"""WITH {T.FILES}, f AS (SELECT path, path LIKE '%\\_test.go' ESCAPE '\\' AS test FROM files),
+d AS (SELECT 'language' AS dimension, CASE WHEN path LIKE '%.go' THEN 'go' ELSE 'other' END AS value FROM f UNION ALL SELECT 'role', CASE WHEN test THEN 'test' WHEN starts_with(path, 'vendor/') THEN 'ignored' ELSE 'source' END FROM f UNION ALL SELECT 'root', split_part(path, '/', 1) FROM f)
+SELECT dimension, value, count(*) AS n FROM d GROUP BY ALL""",
     "links_by_type": """WITH l AS (SELECT DISTINCT l_partkey AS src, l_returnflag = 'R' AS updated, 's' || l_suppkey AS target FROM lineitem)
 SELECT src, string_agg(target, chr(10) ORDER BY target) FILTER (WHERE NOT updated) AS contains, string_agg(target, chr(10) ORDER BY target) FILTER (WHERE updated) AS updated_by FROM l GROUP BY src""",
 }

@@ -184,3 +184,9 @@ def test_labels_buckets_and_identities(spark):
     a = spark.createDataFrame([("A/x.md#L3",), ("a/y.md#L3-L9",), ("a/z.md#Lx",)], "path string")
     b = spark.createDataFrame([("a/x.md",), ("a/y.md#L4",), ("a\\z.md",), ("a/x.md#l3",)], "path string")
     assert {tuple(r) for r in selection.identity_matches(a, b).collect()} == {("A/x.md#L3", "a/x.md"), ("A/x.md#L3", "a/x.md#l3")}
+
+
+def test_numbers_go_on_across_ranges(spark):
+    at = [3, 0, 17, 5, 99, 42, 41, 40, -7]
+    got = selection.numbered(spark.createDataFrame([(i,) for i in at], "pos long"), "pos", "n", width=10).collect()
+    assert sorted((r.n, r.pos) for r in got) == list(enumerate(sorted(at), 1))
