@@ -128,3 +128,18 @@ markdown AS (SELECT artifact_id, '---' || chr(10) || 'title: Order ' || o_orderk
   || 'See [customer](customers/' || o_custkey || '.md) and docs/plans/' || (o_custkey % 97) || '.md.' || chr(10) || chr(10) || '## Tasks' || chr(10) || '```' || chr(10) || '- [ ] not a task' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10)
   || items || chr(10) || chr(10) || '## Acceptance criteria' || chr(10) || '- [x] priority ' || lower(o_orderpriority) || chr(10) || '### Notes' || chr(10) || 'Done by ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) AS body
   FROM orders JOIN items ON o_orderkey = artifact_id)"""
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, body: parts as test files of Go, Python or JavaScript, with imports, comments and two tests each."""
+    k, name, kind, pack = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    go = F.concat(F.lit('package unit\n\nimport "fmt"\nimport lib/unit'), k, F.lit("\n// TODO handle "), kind, F.lit("\n// and "), name, F.lit("\nfunc TestUnit"), k, F.lit("(t *testing.T) {\n}\n/* "), pack, F.lit("\n * must never be empty\n */\nfunc TestMore(t *testing.T) {}\nfunc helper() {}\n"))
+    py = F.concat(F.lit("import os\nfrom src.unit"), k, F.lit(" import unit\n# because "), name, F.lit("\n# x\nclass TestUnit"), k, F.lit(":\n    def test_first(self):\n        pass\n    def test_"), k, F.lit("(self):\n        pass\n"))
+    js = F.concat(F.lit("import x from './lib/unit"), k, F.lit("'\nconst y = require('react')\n// for now "), name, F.lit("\ndescribe('"), kind, F.lit("', () => {\n  it('holds "), name, F.lit("', f)\n  test.only(\"more\", g)\n})\n"))
+    of = lambda a, b, c: F.when(F.col("p_size") % 3 == 0, a).when(F.col("p_size") % 3 == 1, b).otherwise(c)
+    path = of(F.concat(F.lit("pkg/unit"), k, F.lit("_test.go")), F.concat(F.lit("tests/test_unit"), k, F.lit(".py")), F.concat(F.lit("web/unit"), k, F.lit(".spec.js")))
+    return table(spark, sf_dir, "part").select(path.alias("path"), of(go, py, js).alias("body"))
+
+
+CODE_FILES = """code_files AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS name, p_type AS kind, p_brand AS pack, CASE p_size % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'javascript' END AS language,
+  CASE p_size % 3 WHEN 0 THEN 'pkg/unit' || p_partkey || '_test.go' WHEN 1 THEN 'tests/test_unit' || p_partkey || '.py' ELSE 'web/unit' || p_partkey || '.spec.js' END AS path FROM part)"""
