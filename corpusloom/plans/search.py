@@ -34,6 +34,7 @@ ranked AS (SELECT query_id, {key}, round(sum(greatest(ln((n - df + 0.5) / (df +
 
 
 _POST, _BM25 = _post_sql(), _bm25_sql()
+_SECTION_SCORES = f"secs AS (SELECT doc_id || ':' || (i - 1) AS section, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, range(1, len(l) + 1) t(i)), {_bm25_sql('secs', 'section', 'line')}"
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,11 +51,14 @@ def find_bm25_top20(spark: SparkSession, sf: str) -> DataFrame:
     return best.orderBy(F.desc("score"), "doc_id").limit(MOST)
 
 
-def bm25_sections(spark: SparkSession, sf: str) -> DataFrame:
+def _section_scores(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over the lines of documents as sections."""
     s = T.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).select(F.concat_ws(":", "doc_id", "ordinal").alias("section"), "line")
-    scored = S.bm25(s, "section", F.col("line"), _queries(spark, sf))
-    return S.top_per(scored, "query_id", [F.desc("score"), F.col("section")], 5)
+    return S.bm25(s, "section", F.col("line"), _queries(spark, sf))
+
+
+def bm25_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return S.top_per(_section_scores(spark, sf), "query_id", [F.desc("score"), F.col("section")], 5)
 
 
 def fts_all_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +83,8 @@ def preselect_lanes(spark: SparkSession, sf: str) -> DataFrame:
     scores = _scores(spark, sf).groupBy("doc_id").agg(F.max("score").alias("score"))
     lane = lambda df, *order: df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     one = lane(scores.orderBy(F.desc("score"), "doc_id").limit(40), F.desc("score"), "doc_id")
-    two = lane(T.table(spark, sf, "labels").where("quality = 1").orderBy("doc_id").limit(60), "doc_id").select("doc_id", "pos")
+    sections = _section_scores(spark, sf).groupBy(F.substring_index("section", ":", 1).cast("long").alias("doc_id")).agg(F.max("score").alias("score"))
+    two = lane(sections.orderBy(F.desc("score"), "doc_id").limit(60), F.desc("score"), "doc_id")
     three = lane(T.artifacts(spark, sf).where(F.lower("title").contains("tion")).select(F.col("artifact_id").alias("doc_id")).orderBy("doc_id").limit(80), "doc_id")
     return S.lanes_union([one, two, three], "doc_id", 120)
 
@@ -140,7 +145,7 @@ _STOP = ", ".join(f"'{w}'" for w in ("the", "and", "for", "with", "from", "that"
 SQL = {
     "find_bm25_top20": f"WITH {_BM25} SELECT doc_id, max(score) AS score, count(*) AS queries FROM ranked GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {MOST}",
     "bm25_docs": f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ranked) SELECT * FROM r WHERE rank <= {MOST}",
-    "bm25_sections": f"""WITH secs AS (SELECT doc_id || ':' || (i - 1) AS section, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, range(1, len(l) + 1) t(i)), {_bm25_sql('secs', 'section', 'line')},
+    "bm25_sections": f"""WITH {_SECTION_SCORES},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section) AS rank FROM ranked) SELECT query_id, section, score, rank FROM r WHERE rank <= 5""",
     "fts_all_terms": f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark), d AS (SELECT DISTINCT * FROM q), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
 g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GROUP BY 1, 2) SELECT query_id, doc_id FROM g JOIN need USING (query_id) WHERE got = need""",
@@ -148,7 +153,8 @@ g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GRO
 g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GROUP BY 1, 2), f AS (SELECT query_id, doc_id FROM g JOIN need USING (query_id) WHERE got = need)
 SELECT query_id, doc_id, 'fts' AS lane FROM f UNION ALL SELECT DISTINCT item_id, doc_id, 'like' FROM benchmark JOIN post ON substr(term, 1, 5) = substr({TOKENS.format('text')}[1], 1, 5) WHERE item_id NOT IN (SELECT query_id FROM f)""",
     "preselect_lanes": f"""WITH {_BM25}, {T.ARTIFACTS}, s AS (SELECT doc_id, max(score) AS score FROM ranked GROUP BY 1),
-one AS (SELECT doc_id, 0 AS lane, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM s ORDER BY pos LIMIT 40), two AS (SELECT doc_id, 1, row_number() OVER (ORDER BY doc_id) AS pos FROM labels WHERE quality = 1 ORDER BY pos LIMIT 60),
+one AS (SELECT doc_id, 0 AS lane, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM s ORDER BY pos LIMIT 40), x AS (WITH {_SECTION_SCORES} SELECT CAST(split_part(section, ':', 1) AS BIGINT) AS doc_id, max(score) AS score FROM ranked GROUP BY 1),
+two AS (SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM x ORDER BY pos LIMIT 60),
 three AS (SELECT artifact_id, 2, row_number() OVER (ORDER BY artifact_id) AS pos FROM artifacts WHERE contains(lower(title), 'tion') ORDER BY pos LIMIT 80), u AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
 m AS (SELECT doc_id, min((lane, pos)) AS f FROM u GROUP BY 1), r AS (SELECT doc_id, f[1] AS lane, f[2] AS pos FROM m) SELECT doc_id, CAST(lane AS INT) AS lane, CAST(pos AS BIGINT) AS pos, row_number() OVER (ORDER BY lane, pos, doc_id) AS rank FROM r ORDER BY rank LIMIT 120""",
     "baseline_any_term": f"WITH {_Q}, {_POST} SELECT query_id, doc_id, count(*) AS terms FROM post JOIN q USING (term) GROUP BY 1, 2",

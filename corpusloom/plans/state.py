@@ -12,11 +12,11 @@ from ..streaming.incremental import checkpoint_counts
 
 
 def upsert_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as a table that lacks every third row, and as a scan that lacks every fifth and changed every seventh."""
-    d = T.table(spark, sf, "documents")
-    current = d.where("doc_id % 3 != 0").select("doc_id", content_hash("text").alias("digest"))
-    incoming = d.where("doc_id % 5 != 0").select("doc_id", content_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("digest"))
-    return S.upsert_states(current, incoming, "doc_id", "digest")
+    """Customers by the digest of their last order: the table holds what finished orders say, the scan what all others say."""
+    o = T.table(spark, sf, "orders")
+    last = F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey"))
+    version = lambda df: df.groupBy("o_custkey").agg(content_hash(last).alias("digest"))
+    return S.upsert_states(version(o.where("o_orderstatus = 'F'")), version(o.where("o_orderstatus != 'F'")), "o_custkey", "digest")
 
 
 def last_write(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,11 +31,9 @@ def insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replace_scope(spark: SparkSession, sf: str) -> DataFrame:
-    """The edges of one kind are replaced by those of a new run, the others stay."""
-    line = T.table(spark, sf, "lineitem")
-    current = line.where("l_linenumber = 1").select("l_returnflag", "l_orderkey", F.lit(1).alias("run"))
-    incoming = line.where("l_linenumber = 2 AND l_returnflag = 'N'").select("l_returnflag", "l_orderkey", F.lit(2).alias("run"))
-    return S.replace_scope(current, incoming, ["l_returnflag"])
+    """The edges of one kind (order lines flagged N) are replaced by those of a new run, the others stay."""
+    line = T.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return S.replace_scope(line.withColumn("run", F.lit(1)), line.where("l_returnflag = 'N'").withColumn("run", F.lit(2)), ["l_returnflag"])
 
 
 def latest_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,11 +95,11 @@ def refresh_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (upsert_states, last_write, insert_or_ignore, replace_scope, latest_checkpoints, next_slice, terminal_states, completeness, audit_surface, confidence_by_count, risk_cards, checkpoint_windows, refresh_plan)}
 SQL = {
-    "upsert_states": """WITH c AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS new FROM documents WHERE doc_id % 5 <> 0)
-SELECT doc_id, CASE WHEN text IS NULL THEN 'new' WHEN new IS NULL THEN 'missing' WHEN text = new THEN 'unchanged' ELSE 'updated' END AS state FROM c FULL JOIN i USING (doc_id)""",
+    "upsert_states": """WITH c AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS old FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), i AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS new FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+SELECT o_custkey, CASE WHEN old IS NULL THEN 'new' WHEN new IS NULL THEN 'missing' WHEN old = new THEN 'unchanged' ELSE 'updated' END AS state FROM c FULL JOIN i USING (o_custkey)""",
     "last_write": "WITH r AS (SELECT user_id, event_type, event_id, ts, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_type, event_id, ts, value FROM r WHERE r = 1",
     "insert_or_ignore": "SELECT p_brand, p_type, CASE WHEN bool_or(p_size % 2 = 0) THEN 'old' ELSE 'new' END AS origin FROM part GROUP BY 1, 2",
-    "replace_scope": "SELECT l_returnflag, l_orderkey, 1 AS run FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'N' UNION ALL SELECT l_returnflag, l_orderkey, 2 FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'N'",
+    "replace_scope": "SELECT l_returnflag, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 2 ELSE 1 END AS run FROM lineitem",
     "latest_checkpoints": f"WITH {T.CHECKPOINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY created_at DESC, checkpoint_id DESC) AS r, count(*) OVER (PARTITION BY target) AS checkpoints FROM checkpoints) SELECT target, created_at, checkpoint_id, stage, score, checkpoints FROM r WHERE r = 1",
     "next_slice": f"""WITH {T.TODOS}, r AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY done, ordinal, text) AS r FROM todos), g AS (SELECT artifact_id, count(*) FILTER (WHERE NOT done) AS open, count(*) AS total FROM todos GROUP BY 1)
 SELECT artifact_id, CASE WHEN NOT done THEN CAST(ordinal AS BIGINT) END AS ordinal, CASE WHEN NOT done THEN text END AS text, open, total FROM r JOIN g USING (artifact_id) WHERE r = 1""",
