@@ -6,12 +6,11 @@ all documents is dropped as noise before any pair is built, by the same rule at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .greedy import greedy_capped, slot
+
 MOST_SHARED = 6
 NOISY_SHARE, NOISY_FROM = 0.35, 10
 #: Forms with a digit or an inner capital are identifiers (strong concepts); other words are phrases of one word (weak ones).
@@ -84,23 +83,10 @@ def neighbours(edges: DataFrame, seeds: DataFrame, per_type: int, least: float)
 def degree_capped(edges: DataFrame, group: str, most: int, per_node: int) -> DataFrame:
     """Greedy choice of edges (group, src, dst, score) in order of score: at most ``most`` a group and ``per_node`` a node.
 
-    The order decides, so each group is visited in one task, as a stream of edges sorted by the engine; a task remembers
-    the degrees of one group. Groups are repositories; their candidate edges are bounded by the caps upstream.
+    The degrees are filled in rounds. The cap of the group only ends the loop, so it is the first ``most`` of what the
+    degrees leave; Spark cuts each task's part of a group to that number before it shuffles.
     """
-    ordered = edges.select(group, "src", "dst", "score").repartition(group).sortWithinPartitions(group, F.desc("score"), "src", "dst")
-
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, taken, degree = None, 0, {}
-        for f in frames:
-            keep = []
-            for g, s, d in zip(f[group], f["src"], f["dst"], strict=True):
-                if g != now:
-                    now, taken, degree = g, 0, {}
-                ok = taken < most and degree.get(s, 0) < per_node and degree.get(d, 0) < per_node
-                if ok:
-                    taken += 1
-                    degree[s], degree[d] = degree.get(s, 0) + 1, degree.get(d, 0) + 1
-                keep.append(ok)
-            yield f[keep]
-
-    return ordered.mapInPandas(pick, ordered.schema)
+    order = [F.desc("score"), F.col("src"), F.col("dst")]
+    kept = greedy_capped(edges.select(group, "src", "dst", "score"), order, [slot("node", per_node, group, "src"), slot("node", per_node, group, "dst")])
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return kept.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")

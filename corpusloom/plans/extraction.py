@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, derived_id, shortened, token_estimate
 from ..operators import extraction as X
+from ..operators.greedy import greedy_capped, slot
 from ..operators.state import short_ids
 from ..sources import tables as T
 
@@ -52,12 +53,12 @@ def link_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_reference_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Plans that mention the path of the same plan: at most four targets a source and 32 sources a target."""
+    """Plans that mention the path of another plan, by target and source: a source has four places and a target 32, and a
+    full target takes none of its source's places."""
     refs = T.markdown(spark, sf).select(F.col("artifact_id").alias("src"), F.explode(X.path_references("body")).alias("path"))
     known = T.table(spark, sf, "orders").select(F.concat(F.lit("docs/plans/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.col("o_orderkey").alias("dst"))
-    hit = refs.join(known, "path").where("src != dst")
-    a = hit.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where("r <= 4")
-    return a.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).where("r <= 32").select("src", "dst")
+    hit = refs.join(known, "path").where("src != dst").select("src", "dst")
+    return greedy_capped(hit, [F.col("dst"), F.col("src")], [slot("source", 4, "src"), slot("target", 32, "dst")])
 
 
 def sections_html(spark: SparkSession, sf: str) -> DataFrame:

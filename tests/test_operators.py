@@ -24,6 +24,22 @@ def test_degree_caps_against_a_plain_loop(spark):
     assert got == want
 
 
+def test_two_caps_are_filled_together(spark):
+    from corpusloom.operators.greedy import greedy_capped, slot
+
+    rows = sorted({((i * 7) % 13, (i * i * 3 + i) % 9) for i in range(200)}) + [(5, 2), (None, 1), (3, None)]
+    df = spark.createDataFrame(rows, "src long, dst long")
+    got = greedy_capped(df, [F.col("dst"), F.col("src")], [slot("s", 2, "src"), slot("t", 4, "dst")]).collect()
+    key = lambda r: (r[1] is not None, r[1] or 0, r[0] is not None, r[0] or 0)
+    want, places = [], {}
+    for s, d in sorted(rows, key=key):
+        if places.get(("s", s), 0) < 2 and places.get(("t", d), 0) < 4:
+            want.append((s, d))
+            places["s", s], places["t", d] = places.get(("s", s), 0) + 1, places.get(("t", d), 0) + 1
+    assert sorted(map(tuple, got), key=key) == want
+    assert greedy_capped(df.limit(0), [F.col("src")], [slot("s", 2, "src")]).isEmpty()
+
+
 def test_first_fit_keeps_the_first_row_if_none_fits(spark):
     rows = [("a", 1, 50), ("a", 2, 70), ("a", 3, 40), ("b", 1, 500), ("b", 2, 300), ("c", 1, 200), ("c", 2, 90)]
     got = sorted(map(tuple, packing.first_fit(spark.createDataFrame(rows, "g string, rank long, n long"), "g", "n", 100).collect()))
