@@ -131,7 +131,7 @@ def ngram_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_terms(spark: SparkSession, sf: str) -> DataFrame:
     b = T.table(spark, sf, "benchmark")
-    return b.select("item_id", F.array_join(query_terms("text"), " ").alias("terms"), normalized(F.substring("text", 1, 40)).alias("head"))
+    return b.select("item_id", F.array_join(query_terms("text"), " ").alias("terms"), normalized("text").alias("phrase"))
 
 
 def identifier_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +164,7 @@ m AS (SELECT doc_id, min((lane, pos)) AS f FROM u GROUP BY 1), r AS (SELECT doc_
     "noisy_terms": f"WITH {_POST}, v AS (SELECT term, count(*) AS df FROM post GROUP BY 1) SELECT term, df, round(df / n, 6) AS share FROM v, corpus WHERE df >= 8 AND df / n >= 0.2",
     "ngram_phrases": f"WITH t AS (SELECT item_id, {TOKENS.format('text')} AS w FROM benchmark), p AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS phrase FROM t, range(1, len(w)) x(i)) SELECT phrase, count(*) AS n, count(DISTINCT item_id) AS items FROM p GROUP BY 1 HAVING count(*) >= 2",
     "search_terms": rf"""WITH r AS (SELECT item_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_.-]+') AS w FROM benchmark), d AS (SELECT item_id, text, list_filter(w, lambda t, i: list_position(w, t) = i) AS w FROM r)
-SELECT item_id, array_to_string(list_filter(w, lambda t: strlen(t) >= 3 AND t NOT IN ({_STOP}))[1:12], ' ') AS terms, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS head FROM d""",
+SELECT item_id, array_to_string(list_filter(w, lambda t: strlen(t) >= 3 AND t NOT IN ({_STOP}))[1:12], ' ') AS terms, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS phrase FROM d""",
     "identifier_split": r"""WITH s AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(regexp_replace(replace(p_name, ' ', '') || '_' || p_type || '-v2', '([\p{Ll}\p{Nd}])(\p{Lu})', '\1 \2', 'g')), '[\s_./-]+'), lambda t: t <> '') AS w FROM part)
 SELECT p_partkey, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), '|') AS parts FROM s""",
 }
