@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, media, mixing, nearest, periodic, repeats, resampling, secrets, sharding, tokens
+from . import decontaminate, embeddings, htmltext, langid, media, mixing, nearest, periodic, repeats, resampling, secrets, sharding, tokens
 
-_MODULES = (repeats, sharding, secrets, htmltext, media, langid, decontaminate, nearest, tokens, mixing, resampling, periodic)
+_MODULES = (repeats, sharding, secrets, htmltext, media, langid, decontaminate, nearest, tokens, mixing, resampling, periodic, embeddings)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
