@@ -5,11 +5,11 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """(queries by name, SQL by name) of every plan module."""
-    from . import classification, code, evaluation, extraction, graph, history, listing, ranking, search, selection, state
+    from . import classification, code, evaluation, extraction, find, graph, history, listing, ranking, search, selection, state
 
     queries: dict = {}
     sql: dict = {}
-    for m in (listing, search, extraction, classification, ranking, graph, history, evaluation, state, selection, code):
+    for m in (listing, search, extraction, classification, ranking, graph, history, evaluation, state, selection, code, find):
         queries |= m.QUERIES
         sql |= m.SQL
     return queries, sql
