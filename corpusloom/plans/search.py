@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, identifier_parts, ngrams, normalized, occurrences, query_terms, token_estimate, tokens
+from ..operators import positions as P
 from ..operators import search as S
 from ..sources import tables as T
 
@@ -68,16 +69,25 @@ def fts_all_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_like_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """All-terms matches of each query; where there are none, documents with a word that begins like the text's first word."""
-    q = T.table(spark, sf, "benchmark")
-    docs = T.table(spark, sf, "documents")
-    fts = S.all_terms(docs, F.col("text"), q.select(F.col("item_id").alias("query_id"), F.explode(tokens("text")).alias("term")), "doc_id")
-    empty = q.select(F.col("item_id").alias("query_id"), F.substring(F.get(tokens("text"), F.lit(0)), 1, 5).alias("head")).join(fts.select("query_id").distinct(), "query_id", "left_anti")
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.transform(tokens("text"), lambda t: F.substring(t, 1, 5)))).alias("head"))
-    like = heads.join(empty, "head").select("query_id", "doc_id")
+    """Each benchmark text, every second one cut inside its words at both ends: all-terms matches, and where there are none,
+    the artifacts whose title, path or body hold the text itself."""
+    cut = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.expr("substring(text, 3, length(text) - 5)"))
+    q = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), cut.alias("text"))
+    fts = S.all_terms(T.table(spark, sf, "documents"), F.col("text"), q.select("query_id", F.explode(tokens("text")).alias("term")), "doc_id")
+    rest = q.join(fts.select("query_id").distinct(), "query_id", "left_anti")
+    like = P.holding(T.artifacts(spark, sf), "artifact_id", [F.col(c) for c in ("title", "path", "body")], rest).select("query_id", F.col("artifact_id").alias("doc_id"))
     return fts.withColumn("lane", F.lit("fts")).unionByName(like.withColumn("lane", F.lit("like")))
 
 
+def fts_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries of a quoted phrase, a word and a prefix from each benchmark text, over title, path and body."""
+    word = lambda i: F.get(F.col("w"), F.lit(i))
+    phrase = F.concat(F.lit('"'), F.array_join(F.slice("w", 1, 3), " "), F.lit('"'))
+    text = F.concat_ws(" ", phrase, word(5), F.concat(F.left(word(7), F.lit(3)), F.lit("*")))
+    q = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tokens("text").alias("w")).select("query_id", text.alias("text"))
+    return P.matches(T.artifacts(spark, sf), "artifact_id", {c: F.col(c) for c in ("title", "path", "body")}, q)
+
+
 def preselect_lanes(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered union of three lanes (documents by score, documents by a line's score, titles), first wins."""
     scores = _scores(spark, sf).groupBy("doc_id").agg(F.max("score").alias("score"))
@@ -139,7 +149,7 @@ def identifier_split(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(identifier_parts(F.concat(F.regexp_replace("p_name", " ", ""), F.lit("_"), "p_type", F.lit("-v2"))), "|").alias("parts"))
 
 
-QUERIES = {f.__name__: f for f in (find_bm25_top20, bm25_docs, bm25_sections, fts_all_terms, fts_like_fallback, preselect_lanes, baseline_any_term, token_stats, vocab_idf, local_terms_top30, noisy_terms, ngram_phrases, search_terms, identifier_split)}
+QUERIES = {f.__name__: f for f in (find_bm25_top20, bm25_docs, bm25_sections, fts_all_terms, fts_like_fallback, fts_phrases, preselect_lanes, baseline_any_term, token_stats, vocab_idf, local_terms_top30, noisy_terms, ngram_phrases, search_terms, identifier_split)}
 
 _STOP = ", ".join(f"'{w}'" for w in ("the", "and", "for", "with", "from", "that", "this", "into", "are", "was", "how", "what"))
 SQL = {
@@ -149,9 +159,16 @@ SQL = {
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section) AS rank FROM ranked) SELECT query_id, section, score, rank FROM r WHERE rank <= 5""",
     "fts_all_terms": f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark), d AS (SELECT DISTINCT * FROM q), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
 g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GROUP BY 1, 2) SELECT query_id, doc_id FROM g JOIN need USING (query_id) WHERE got = need""",
-    "fts_like_fallback": f"""WITH d AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
+    "fts_like_fallback": f"""WITH {T.ARTIFACTS}, c AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE substr(text, 3, length(text) - 5) END AS text FROM benchmark),
+d AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS term FROM c), need AS (SELECT query_id, count(*) AS need FROM d GROUP BY 1), {_POST},
 g AS (SELECT query_id, doc_id, count(*) AS got FROM post JOIN d USING (term) GROUP BY 1, 2), f AS (SELECT query_id, doc_id FROM g JOIN need USING (query_id) WHERE got = need)
-SELECT query_id, doc_id, 'fts' AS lane FROM f UNION ALL SELECT DISTINCT item_id, doc_id, 'like' FROM benchmark JOIN post ON substr(term, 1, 5) = substr({TOKENS.format('text')}[1], 1, 5) WHERE item_id NOT IN (SELECT query_id FROM f)""",
+SELECT query_id, doc_id, 'fts' AS lane FROM f UNION ALL SELECT query_id, artifact_id, 'like' FROM c, artifacts WHERE query_id NOT IN (SELECT query_id FROM f) AND (contains(lower(title), lower(text)) OR contains(lower(path), lower(text)) OR contains(lower(body), lower(text)))""",
+    "fts_phrases": f"""WITH {T.ARTIFACTS}, w AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS w FROM benchmark),
+f AS (SELECT artifact_id, field, {TOKENS.format('words')} AS t FROM (SELECT artifact_id, unnest([{{'field': 'title', 'words': title}}, {{'field': 'path', 'words': path}}, {{'field': 'body', 'words': body}}], recursive := true) FROM artifacts)),
+pos AS (SELECT artifact_id, field, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM f),
+three AS (SELECT query_id, a.artifact_id FROM w JOIN pos a ON a.term = w[1] JOIN pos b ON b.artifact_id = a.artifact_id AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = w[2] JOIN pos c ON c.artifact_id = a.artifact_id AND c.field = a.field AND c.pos = a.pos + 2 AND c.term = w[3]),
+p AS (SELECT query_id, artifact_id, count(*) AS n FROM three GROUP BY 1, 2), o AS (SELECT query_id, artifact_id, count(*) AS n FROM w JOIN pos ON term = w[6] GROUP BY 1, 2), s AS (SELECT query_id, artifact_id, count(*) AS n FROM w JOIN pos ON starts_with(term, w[8][1:3]) GROUP BY 1, 2)
+SELECT query_id, artifact_id, CAST(p.n + o.n + s.n AS BIGINT) AS hits FROM p JOIN o USING (query_id, artifact_id) JOIN s USING (query_id, artifact_id)""",
     "preselect_lanes": f"""WITH {_BM25}, {T.ARTIFACTS}, s AS (SELECT doc_id, max(score) AS score FROM ranked GROUP BY 1),
 one AS (SELECT doc_id, 0 AS lane, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM s ORDER BY pos LIMIT 40), x AS (WITH {_SECTION_SCORES} SELECT CAST(split_part(section, ':', 1) AS BIGINT) AS doc_id, max(score) AS score FROM ranked GROUP BY 1),
 two AS (SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM x ORDER BY pos LIMIT 60),
