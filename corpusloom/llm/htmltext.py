@@ -39,15 +39,20 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style title textarea noscript template svg iframe object select button canvas audio video datalist".split())
+#: Elements whose text runs to their own closing tag or to the page's end, whatever stands in it; the other raw ones nest, and
+#: one that is never closed ends before the next block.
+RUN_ON = frozenset(("script", "style", "textarea", "title"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption li dd dt html body".split())
 SCOPE = {"li": ("li", frozenset(("ul", "ol"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table")))}
 BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion promoted popup modal overlay cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login register nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets related recommended recommendations share sharing social follow footer foot copyright legal colophon header masthead branding topbar toolbar search form comment comments commentlist reply replies respond disqus discussion responses outbrain taboola teaser skip hidden none contentinfo complementary dialog".split()
 )
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion promoted teaser".split())
 GOOD = frozenset("article articlebody content main post entry story body text hentry blog prose markdown maincontent".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS, key=len, reverse=True))})\b", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.,;:!?]")
@@ -61,6 +66,7 @@ class Page:
     def __init__(self, html: str):
         self.name, self.parent, self.tokens, self.text, self.linked = ["html"], [-1], [frozenset()], [""], [0]
         self._stack, self._run, self._links, self._in_link = [0], [], 0, False
+        self._ends: dict[str, dict[int, int]] = {}
         self._read(html)
 
     def _add(self, name: str, tokens: frozenset = frozenset(), text: str = "", linked: int = 0) -> int:
@@ -87,6 +93,24 @@ class Page:
             if n in stop:
                 return
 
+    def _after_raw(self, html: str, at: int, name: str) -> int:
+        """Where the raw element ends whose opening tag ends at ``at``."""
+        if name in RUN_ON:
+            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            return close.end() if close else len(html)
+        if name not in self._ends:  # all elements of this name, found once
+            ends, opened = self._ends.setdefault(name, {}), []
+            for m in re.finditer(rf"<(/?){name}\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>", html, re.I):
+                if not m[1]:
+                    opened.append(m.end())
+                elif opened:
+                    ends[opened.pop()] = m.end()
+        close = self._ends[name].get(at)
+        if close is None:
+            block = _BLOCK.search(html, at)
+            close = block.start() if block else len(html)
+        return close
+
     def _read(self, html: str) -> None:
         at, quiet = 0, ""
         for m in _TAG.finditer(html):
@@ -100,8 +124,7 @@ class Page:
                 continue
             end, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
             if name in RAW and not end and not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                at = self._after_raw(html, at, name)
             elif name == "br":
                 self._run.append(" ")
             elif name == "a":
@@ -149,18 +172,28 @@ class Page:
             t = self.text[i]
             if self.name[i] == "#":
                 chars[i], links[i], words[i], leaves[i], punct[i] = len(t), self.linked[i], t.count(" ") + 1, 1, len(_PUNCT.findall(t))
+                chars[parent[i]] += chars[i]
+        for i in range(n - 1, 0, -1):
+            if self.name[i] != "#":
+                chars[parent[i]] += chars[i]
+        names = list(self.name)
+        for i in range(n):
             p = parent[i]
             own_bad[i], own_good[i] = len(self.tokens[i] & BAD), len(self.tokens[i] & GOOD)
+            if 2 * chars[i] > chars[0]:  # what holds most of a page is no form and no advert, and what is called one says nothing
+                names[i] = "div" if names[i] == "form" else names[i]
+                if self.tokens[i] & ADVERTS:
+                    own_bad[i] = own_good[i] = 0
             if p >= 0:
                 depth[i], index[i] = depth[p] + 1, kids[p]
                 kids[p] += 1
                 bad[i], good[i] = bad[p] + own_bad[i], good[p] + own_good[i]
-                name = self.name[i]
+                name = names[i]
                 # nearest telling ancestor: 1 article or main, 2 navigation, footer, aside or form, 3 header outside an article
                 inside[i] = 1 if name in ("article", "main") else 2 if name in ("nav", "footer", "aside", "form") else 3 if name == "header" and inside[p] != 1 else inside[p]
         for i in range(n - 1, 0, -1):
             p = parent[i]
-            for c in (chars, links, words, leaves, punct):
+            for c in (links, words, leaves, punct):
                 c[p] += c[i]
             nodes[p] += nodes[i] + 1
         total = max(chars[0], 1)
@@ -173,7 +206,7 @@ class Page:
                 np.log1p(chars[i]), links[i] / max(chars[i], 1), chars[i] / (nodes[i] + 1), words[i] / max(leaves[i], 1), punct[i] / max(words[i], 1), chars[i] / total, depth[i], index[i], siblings[i],
                 own_bad[i], own_good[i], bad[i], good[i], inside[i], chars[i] / max(chars[p], 1), links[p] / max(chars[p], 1),
             )
-            k = _NAME.get(self.name[i])
+            k = _NAME.get(names[i])
             if k:
                 row[16 + NAMES.index(k)] = 1
         return out

@@ -65,3 +65,31 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     fitted = BoostedTrees().fit(x[:3000], y[:3000])
     assert ((fitted.logits(x[3000:]) > 0) == y[3000:]).mean() > 0.95
+
+
+BODY = " ".join(f"word{i} of the story, told at some length." for i in range(12))
+
+
+def one(html):
+    return main_text([html], model())[0]
+
+
+def test_raw_elements_that_are_never_closed_end_before_the_next_block():
+    for opened in ("<button>Go", "<object data=x>", "<svg><path d='M0'>", "<select><option>a", "<iframe src=x>", "<video src=y>", "<template>", "<canvas>", "<audio>"):
+        assert one(f"<article><p>{BODY}</p>{opened}<p>Second paragraph, {BODY}</p></article>") == f"{BODY}\nSecond paragraph, {BODY}", opened
+    assert one(f"<article><p>{BODY}</p></article><script>var a = '<p>no</p>'") == BODY
+    assert one(f"<article><p>{BODY}</p></article><style>p {{}}<p>no</p>") == BODY
+
+
+def test_raw_elements_nest():
+    assert one(f"<article><p>{BODY}</p><object><object></object>tail</object><p>{BODY} end.</p></article>") == f"{BODY}\n{BODY} end."
+    assert one(f"<article><p>{BODY}</p><button title='a>b'>x<button>y</button>z</button><p>{BODY} end.</p></article>") == f"{BODY}\n{BODY} end."
+    assert one(f"<article><p>{BODY}</p>" + "<button>" * 20_000 + f"<p>{BODY} end.</p></article>") == f"{BODY}\n{BODY} end."
+
+
+def test_a_form_or_an_odd_class_round_the_whole_page():
+    page = f"<header><ul><li><a href=x>Home</a></li></ul></header><article><h1>Title of it</h1><p>{BODY}</p><p>{BODY} end.</p></article><footer>&copy; x</footer>"
+    want = f"Title of it\n{BODY}\n{BODY} end."
+    assert one(f"<body><form action=x>{page}<input type=hidden></form></body>") == want
+    assert one(f"<body><div class='promo-story main-ad-free'>{page}</div></body>") == want
+    assert BODY not in one(f"<body>{page}<form><p>{BODY}</p></form></body>").removeprefix(want)
