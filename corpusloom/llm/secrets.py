@@ -75,6 +75,28 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), F.transform(runs, moved)[0]).otherwise(F.array().cast(spans))
 
 
+def _outside(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span, in order: starts of base spans and ends of tokens are swept in one sorted row,
+    with the furthest end of a base span so far (first by runs of RUN, then inside a run)."""
+    event = lambda at, what, other, x: F.struct(at.alias("at"), F.lit(what).alias("what"), other.alias("other"), x.alias("span"))
+    row = F.array_sort(F.concat(F.transform(base, lambda b: event(b["start"], 1, b["end"], b)), F.transform(tokens, lambda x: event(x["end"], 0, x["start"], x))))
+    furthest = lambda part: F.coalesce(F.array_max(F.transform(F.filter(part, lambda e: e["what"] == 1), lambda e: e["other"])), F.lit(0))
+
+    def upto(runs: Column) -> Column:
+        """The furthest end before each run."""
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(runs, start, lambda acc, r: F.struct(F.greatest(acc["end"], furthest(r)).alias("end"), F.concat(acc["out"], F.array(acc["end"])).alias("out")), lambda acc: acc["out"])
+
+    def free(run: Column, before: Column) -> Column:
+        open_ = lambda e, i: (e["what"] == 0) & (F.greatest(before, furthest(F.slice(run, 1, i))) <= e["other"])
+        return F.transform(F.filter(run, open_), lambda e: e["span"])
+
+    # arrays of one element, so that what stands in them is made once
+    runs = F.transform(F.array(row), lambda z: F.transform(F.sequence(F.lit(0), F.size(z) - 1, F.lit(RUN)), lambda lo: F.slice(z, lo + 1, F.lit(RUN))))
+    swept = F.transform(runs, lambda r: F.array_sort(F.flatten(F.zip_with(r, upto(r), free))))[0]
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), swept).otherwise(tokens)
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -106,7 +128,7 @@ def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "d
             "_repo",
             *[F.size(c).cast("long").alias(n) for n, c in (("n_assign", "a"), ("n_access", "k"), ("n_hex", "h"))],
             "base",
-            F.filter("t", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))).alias("more"),
+            _outside(F.col("t"), F.col("base")).alias("more"),
         )
     )
     secret = F.when(F.col("c.kind") == 0, F.regexp_extract(F.col("c.value"), ASSIGN, 2)).otherwise(F.col("c.value"))

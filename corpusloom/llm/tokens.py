@@ -10,7 +10,8 @@ others a block sends the distinct ones to slots by hash, packed. A slot counts e
 and sends the counts back to the blocks that asked, where they are joined to the frequencies in each document and summed.
 So a frequent pre-token is sent once by a block, not by each document, its frequencies never meet in one task, and no ids
 are kept. The texts are scanned twice rather than stored in between; a block is named by its task and its number in it,
-so docs should be a table or a plan whose rows come in the same order when a lost task runs again (an error if not).
+so docs should be a table or a plan whose rows come in the same order when a lost task runs again (an error if not: digests
+of each block's pre-tokens by slot are sent with the counts and compared).
 
 Nulls, ties and odd input: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; an empty table
 gives no rows; only doc_id and text are read, so other columns cannot clash. Memory is bounded by a block, the vocabulary
@@ -130,25 +131,40 @@ def _unpacked_strings(lengths: np.ndarray, data: list[bytes]) -> pa.LargeStringA
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of at most BLOCK characters and MOST_DOCS rows (but for one longer text)."""
+    """The rows again, in batches of at most BLOCK characters and MOST_DOCS rows (but for one longer text), however the
+    batches that come are cut."""
+    held: list[pa.RecordBatch] = []
+    n = rows = 0
     for f in batches:
-        size = np.array([len(t) for t in f.column("text").to_pylist()], np.int64)
-        lo = n = 0
-        for i, k in enumerate(size.tolist()):
-            if i > lo and (n + k > BLOCK or i - lo == MOST_DOCS):
-                yield f.slice(lo, i - lo)
-                lo, n = i, 0
-            n += k
-        if len(size):
-            yield f.slice(lo)
+        lo = 0
+        for i, t in enumerate(f.column("text").to_pylist()):
+            if rows and (n + len(t) > BLOCK or rows == MOST_DOCS):
+                yield _one([*held, f.slice(lo, i - lo)])
+                held, lo, n, rows = [], i, 0, 0
+            n, rows = n + len(t), rows + 1
+        if lo < len(f):
+            held.append(f.slice(lo))
+    if rows:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _digest(parts: pa.LargeStringArray) -> int:
+    """Names the strings of an array in their order (63 bits)."""
+    raw = parts.cast(pa.large_binary())
+    h = xxhash.xxh3_64(pc.binary_length(raw).to_numpy().tobytes())
+    h.update(b"".join(raw.to_pylist()))
+    return h.intdigest() >> 1
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. model: a sentencepiece file, by default MODEL."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     arrow_kind, name = to_arrow_type(kind), kind.simpleString()
-    # a block is made of one Arrow batch, so batches are as large as blocks
-    bounded_batches(spark, rows=10_000, size=BLOCK)
+    bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     size = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -168,35 +184,39 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
         for key, _, b in blocks(batches):
             each, at = np.unique(b.slot, return_index=True)
             ends = [*at[1:].tolist(), len(b.slot)]
-            packed = [_packed_strings(b.parts.slice(lo, hi - lo)) for lo, hi in zip(at.tolist(), ends, strict=True)]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(each), "block": [key] * len(each), "lengths": pa.array([x for x, _ in packed], pa.binary()), "parts": pa.array([x for _, x in packed], pa.binary())})
+            slices = [b.parts.slice(lo, hi - lo) for lo, hi in zip(at.tolist(), ends, strict=True)]
+            packed = list(map(_packed_strings, slices))
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(each), "block": [key] * len(each), "digest": pa.array(map(_digest, slices), pa.int64()), "lengths": pa.array([x for x, _ in packed], pa.binary()), "parts": pa.array([x for _, x in packed], pa.binary())})
 
     def counted(t: pa.Table) -> pa.Table:
         lengths = [_unpacked(x) for x in t.column("lengths").to_pylist()]
         code = _unpacked_strings(np.concatenate(lengths), t.column("parts").to_pylist()).dictionary_encode()
         n = np.array(counter().counts(code.dictionary.to_pylist()), np.int64)[code.indices.to_numpy()]
         back = np.split(n, np.cumsum([len(x) for x in lengths])[:-1])
-        return pa.table({"block": t.column("block"), "slot": t.column("slot"), "n": pa.array(map(_packed, back), pa.binary())})
+        return pa.table({"block": t.column("block"), "slot": t.column("slot"), "digest": t.column("digest"), "n": pa.array(map(_packed, back), pa.binary())})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, f, b in blocks(batches):
             ends = pa.array([0, f.num_rows], pa.int32())
             ids, sizes = pa.ListArray.from_arrays(ends, f.column("doc_id").cast(arrow_kind)), pa.ListArray.from_arrays(ends, f.column("n_bytes"))
-            packed = [_packed(b.base), _packed(b.per_part), _packed(b.doc, np.uint16), _packed(b.times)]
-            yield pa.RecordBatch.from_arrays([pa.array([key]), ids, sizes, *[pa.array([x], pa.binary()) for x in packed]], ["block", "ids", "sizes", "base", "per_part", "doc", "times"])
+            _, at = np.unique(b.slot, return_index=True)
+            digests = [_digest(b.parts.slice(lo, hi - lo)) for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(b.slot)], strict=True)]
+            packed = [_packed(b.base), _packed(b.per_part), _packed(b.doc, np.uint16), _packed(b.times), _packed(np.array(digests, np.int64), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([key]), ids, sizes, *[pa.array([x], pa.binary()) for x in packed]], ["block", "ids", "sizes", "base", "per_part", "doc", "times", "digests"])
 
     def summed(own: pa.Table, counts: pa.Table) -> pa.Table:
         counts = counts.sort_by("slot")
         n = np.concatenate([np.empty(0, np.uint32), *[_unpacked(x) for x in counts.column("n").to_pylist()]]).astype(np.int64)
         base, per_part, doc, times = (_unpacked(own.column(k)[0].as_py(), t) for k, t in (("base", np.uint32), ("per_part", np.uint32), ("doc", np.uint16), ("times", np.uint32)))
-        if len(n) != len(per_part):
+        # the two scans have to have found the same pre-tokens in the same order, slot by slot
+        if len(n) != len(per_part) or counts.column("digest").to_pylist() != _unpacked(own.column("digests")[0].as_py(), np.int64).tolist():
             raise ValueError("the rows of docs came in another order in the second scan")
         total = Block(base.astype(np.int64), np.empty(0), pa.array([], pa.large_string()), per_part, doc, times.astype(np.int64)).total(n)
         ids, sizes = (pc.list_flatten(own.column(k)) for k in ("ids", "sizes"))
         return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total), "over_limit": pa.array(total > limit)})
 
-    counts = rows.mapInArrow(distinct, "slot long, block string, lengths binary, parts binary").groupBy("slot").applyInArrow(counted, "block string, slot long, n binary")
-    found = rows.mapInArrow(frequencies, f"block string, ids array<{name}>, sizes array<long>, base binary, per_part binary, doc binary, times binary")
+    counts = rows.mapInArrow(distinct, "slot long, block string, digest long, lengths binary, parts binary").groupBy("slot").applyInArrow(counted, "block string, slot long, digest long, n binary")
+    found = rows.mapInArrow(frequencies, f"block string, ids array<{name}>, sizes array<long>, base binary, per_part binary, doc binary, times binary, digests binary")
     joined = found.groupBy("block").cogroup(counts.groupBy("block"))
     return joined.applyInArrow(summed, f"doc_id {name}, n_bytes long, n_tokens long, over_limit boolean")
 

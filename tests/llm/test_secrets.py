@@ -87,3 +87,40 @@ def test_time_is_in_proportion_to_the_matches(spark):
         took.append(time.time() - began)
         assert got[1] == n and got[5].startswith("assign:0:12,assign:13:25") and got[5].endswith(f"assign:{13 * n - 13}:{13 * n - 1}")
     assert took[1] < 60 * took[0]
+
+
+def test_time_is_in_proportion_to_base_spans_and_tokens_together(spark):
+    import time
+
+    took = []
+    for n in (2_000, 32_000):
+        text = " ".join(f"token={i:06d} Aa{i:06d}bbbbbbbbbbbbbbbb" for i in range(n))
+        df = frame(spark, [(1, text, "en", "s", 1)], parts=1)
+        run(df)
+        began = time.time()
+        (got,) = run(df)
+        took.append(time.time() - began)
+        assert got[1] == n and got[5].count("owned") == n
+    assert took[1] < 60 * took[0]
+
+
+def test_tokens_outside_base_spans(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.secrets import _outside
+
+    rng = random.Random(6)
+    span = "struct<start:int,kind:int,end:int,value:string>"
+    rows = []
+    for i in range(200):
+        base = sorted((s, 0, s + rng.randrange(1, 30), "b") for s in rng.sample(range(900), rng.randrange(0, 200 if i % 3 else 4)))
+        tokens, at = [], 0
+        while (at := at + rng.randrange(0, 12)) < 900 and rng.random() < 0.99:
+            tokens.append((at, 3, at + rng.randrange(1, 6), f"t{at}"))
+            at = tokens[-1][2]
+        rows.append((i, base, tokens))
+    got = spark.createDataFrame(rows, f"id int, base array<{span}>, t array<{span}>").select("id", _outside(F.col("t"), F.col("base")).alias("free")).collect()
+    want = {i: [x for x in t if not any(b[0] < x[2] and x[0] < b[2] for b in base)] for i, base, t in rows}
+    assert {r.id: [tuple(x) for x in r.free] for r in got} == want

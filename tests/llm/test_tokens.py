@@ -53,3 +53,29 @@ def test_packed_strings():
 
 def test_empty(spark):
     assert count_tokens(frame(spark, [], parts=1)).count() == 0
+
+
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    import corpusloom.llm.tokens as m
+
+    monkeypatch.setattr(m, "BLOCK", 50)
+    monkeypatch.setattr(m, "MOST_DOCS", 6)
+    texts = ["x" * (7 * i % 23) for i in range(60)] + ["y" * 500, ""] + ["z"] * 20
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    cuts = [[b.column("doc_id").to_pylist() for b in m._blocks(whole.slice(lo, n) for lo in range(0, len(texts), n))] for n in (1, 3, 7, 1000)]
+    assert cuts[0] == cuts[1] == cuts[2] == cuts[3] and sum(cuts[0], []) == list(range(len(texts)))
+    assert all(len(c) == 1 or (sum(len(texts[i]) for i in c) <= 50 and len(c) <= 6) for c in cuts[0]) and not list(m._blocks(iter([])))
+
+
+def test_rows_in_another_order_are_an_error(spark):
+    """Blocks of the second scan hold other pre-tokens, as many as before: each text here is a block."""
+    import pytest
+
+    def turned(batches):
+        rows = pa.Table.from_batches(batches)
+        yield from rows.take(pa.array(np.random.default_rng().permutation(len(rows)))).to_batches(max_chunksize=1)
+
+    rows = [(i, f"zqxv{i:03d}k " * 280_000, "en", "s", 1) for i in range(7)]
+    docs = frame(spark, rows, parts=1).select("doc_id", "text").mapInArrow(turned, "doc_id long, text string")
+    with pytest.raises(Exception, match="another order"):
+        count_tokens(docs).collect()
