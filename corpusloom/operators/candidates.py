@@ -458,3 +458,9 @@ def ranked(found: DataFrame) -> DataFrame:
     """The best of each query, as many as it asks for, by score and path: adds rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
     return found.withColumn("rank", rank.cast("long")).where("rank <= 8").where("rank <= most")
+
+
+def top_rows(scored_rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The best rows of each query by score and key: adds rank."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored_rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
