@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors as A
 from ..operators import candidates as C
+from ..operators import family as P
 from ..sources import tables as T
 from .find import _KIND, _NAME, _PATH, _SHAPES, _SUBTYPE, CUES, _list, candidates, queries
 
@@ -86,3 +87,59 @@ SQL = {
     "anchor_scores": f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_id) AS rank FROM s)
 SELECT query_id, artifact_id, score, array_to_string(list_filter(ms, lambda x, i: list_position(ms, x) = i), '|') AS matches, array_to_string(list_sort(list_distinct(fields)), '|') AS fields, strong, rank FROM r WHERE rank <= 8""",
 }
+
+
+# --- packs ------------------------------------------------------------------------------------------------------------
+
+
+def _pack(spark: SparkSession, sf: str, by_rarity: bool) -> DataFrame:
+    """The best sixteen candidates of each query by anchors, as a pack with families and scores."""
+    a = candidates(spark, sf)
+    s = A.scores(anchor_queries(spark, sf), a, "artifact_id", _fields(F.col("subtype")))
+    best = C.top_rows(s.select("query_id", "artifact_id", "score"), "artifact_id", 16).drop("score")
+    pack = best.join(a.select("artifact_id", "path", "title", "subtype"), "artifact_id").withColumn("reasons", F.lit(""))
+    return P.pack_rows(pack, anchor_queries(spark, sf), by_rarity)
+
+
+def family_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Families and scores of the rows of packs, by the rarity of terms in their pack."""
+    return _pack(spark, sf, True).select("query_id", "artifact_id", "class", "family", "score")
+
+
+def family_primary(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rows of each pack are primary."""
+    return P.primary(_pack(spark, sf, False), "artifact_id").select("query_id", "artifact_id", "family", "score", "primary")
+
+
+QUERIES |= {f.__name__: f for f in (family_scores, family_primary)}
+
+_COMPACTED = r"regexp_replace(lower({}), '[^\p{{L}}\p{{Nd}}]+', '', 'g')"
+_BARE_PATH, _FIELD = "regexp_extract(path, '^([^#]*)', 1)", r"regexp_split_to_array({}, '[_.\-]')"
+_FIELDS_OF = f"list_filter({_FIELD.format('t')}, lambda y: y <> '')"
+_FTERMS = rf"list_distinct(list_filter(flatten(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}_.\-]+'), lambda t: [{_COMPACTED.format('t')}] || CASE WHEN len({_FIELDS_OF}) > 1 THEN list_transform({_FIELDS_OF}, lambda y: {_COMPACTED.format('y')}) ELSE [] END)), lambda t: strlen(t) >= 3 AND t NOT IN {_list(P.STOP)}))"
+_STEM = _COMPACTED.format(r"regexp_replace(regexp_replace(regexp_replace(split_part(bare, '/', -1), '\.[^.]*$', ''), '(?:[.](?:test|spec)|[_-]test)+$', ''), '^test_', '')")
+_FOLDERS = f"list_filter(string_split(bare, '/')[1:-2], lambda d: d <> '' AND {_COMPACTED.format('d')} NOT IN {_list(P.TEST_FOLDERS)})"
+
+
+def _worth(points: dict[str, float]) -> str:
+    return f"CASE WHEN t = stem THEN {points['stem']} WHEN list_contains(tokens, t) THEN {points['token']} WHEN contains(cpath, t) THEN {points['path']} WHEN contains(ctitle, t) THEN {points['title']} ELSE 0.0 END"
+
+
+_PACK = rf"""{_SCORES}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_id) AS rank FROM s),
+pk AS (SELECT b.query_id, artifact_id, rank, path, {_BARE_PATH} AS bare, {_COMPACTED.format('path')} AS cpath, {_COMPACTED.format('title')} AS ctitle, subtype, {_FTERMS} AS terms FROM best b JOIN c1 USING (artifact_id) JOIN aq USING (query_id) WHERE rank <= 16),
+pf AS (SELECT *, {_STEM} AS stem, array_to_string({_FOLDERS}[-3:], '/') AS parent0, flatten(list_transform(string_split(lower(path), '/'), lambda x: regexp_split_to_array(x, '[^\p{{L}}\p{{Nd}}]+'))) || list_transform(string_split(lower(path), '/'), lambda x: {_COMPACTED.format('x')}) AS tokens,
+  CASE WHEN regexp_matches(lower(bare), '{P.TESTS}') OR subtype = 'test_case' THEN 'test' WHEN regexp_extract(lower(bare), '\.([^./]*)$', 1) IN {_list(P.SOURCES)} THEN 'source' ELSE 'other' END AS class FROM pk),
+fam AS (SELECT *, lower(parent0) AS parent, CASE WHEN list_contains(terms, stem) THEN 'stem:' || stem WHEN parent0 = '' THEN class || ':' || CASE WHEN stem = '' THEN 'unknown' ELSE stem END WHEN stem = '' THEN lower(parent0) ELSE lower(parent0) || '/' || stem END AS family FROM pf)"""
+_ROW_SCORE = f"round(coalesce((SELECT sum(CAST({_worth(P.POINTS)} AS DOUBLE)) FROM (SELECT unnest(terms) AS t)), 0) + greatest({P.RANK_POINTS} - rank * {P.RANK_STEP}, 0) + CASE WHEN class = 'test' THEN {P.TEST_POINTS} ELSE 0 END, 6)"
+SQL |= {
+    "family_scores": f"""WITH {_PACK}, e AS (SELECT *, {_worth(P.RARE_POINTS)} AS w FROM (SELECT *, unnest(terms) AS t FROM fam)), h AS (SELECT query_id, t, count(*) AS df FROM e WHERE w > 0 GROUP BY 1, 2), n AS (SELECT query_id, count(*) AS n FROM fam GROUP BY 1),
+x AS (SELECT query_id, artifact_id, sum(CAST(w AS DOUBLE) * CASE WHEN df <= 1 THEN 2.4 WHEN df <= 2 THEN 2.0 WHEN df <= 4 THEN 1.6 WHEN df / n <= 0.35 THEN 1.25 WHEN df / n >= 0.7 THEN 0.45 ELSE 0.8 END) AS w FROM e JOIN h USING (query_id, t) JOIN n USING (query_id) GROUP BY 1, 2)
+SELECT query_id, artifact_id, class, family, round(CAST(coalesce(w, 0) + greatest({P.RARE_RANK_POINTS} - rank * {P.RARE_RANK_STEP}, 0) + CASE WHEN class = 'test' THEN {P.RARE_TEST_POINTS} ELSE 0 END AS DOUBLE), 6) AS score FROM fam LEFT JOIN x USING (query_id, artifact_id)""",
+    "family_primary": f"""WITH {_PACK}, e AS (SELECT query_id, artifact_id, sum(CAST({_worth(P.POINTS)} AS DOUBLE)) AS w FROM (SELECT *, unnest(terms) AS t FROM fam) GROUP BY 1, 2),
+sc AS (SELECT fam.*, round(CAST(coalesce(w, 0) + greatest({P.RANK_POINTS} - rank * {P.RANK_STEP}, 0) + CASE WHEN class = 'test' THEN {P.TEST_POINTS} ELSE 0 END AS DOUBLE), 6) AS score FROM fam LEFT JOIN e USING (query_id, artifact_id)),
+fb AS (SELECT *, max(score) OVER (PARTITION BY query_id, family) AS fbest, row_number() OVER (PARTITION BY query_id, family ORDER BY score DESC, rank, path, artifact_id) AS inf, row_number() OVER (PARTITION BY query_id, family, class ORDER BY score DESC, rank, path, artifact_id) AS inc,
+  class IN ('source', 'test') AND NOT regexp_matches(lower(bare), '{P.WEAK}') AND (rank <= 2 OR score >= {P.SAFE_SCORE}) AS safe FROM sc),
+fr AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY fbest DESC, family) AS fam_no, row_number() OVER (PARTITION BY query_id, safe ORDER BY rank, score DESC, path, artifact_id) AS safe_no FROM fb),
+st AS (SELECT *, CASE WHEN safe AND safe_no <= {P.PROTECTED} THEN [0, safe_no, 0] WHEN fam_no <= {P.STRONG_FAMILIES} AND inc = 1 AND class IN ('source', 'test') THEN [1, fam_no, CASE class WHEN 'test' THEN 1 ELSE 0 END] WHEN score >= {P.LEAST_SCORE} THEN [2, fam_no, inf] ELSE [3, fam_no, inf] END AS place FROM fr),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM st) SELECT query_id, artifact_id, family, score, n <= CASE WHEN place[1] < 3 THEN {P.MOST_PROTECTED_MODE} ELSE {P.FLOOR} END AS "primary" FROM nn""",
+}
