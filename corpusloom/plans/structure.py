@@ -10,6 +10,7 @@ from ..functions.text import tokens
 from ..operators import areas as A
 from ..operators import code as C
 from ..operators import imports as I
+from ..operators import symbols as S
 from ..operators.excerpts import MOST, excerpt
 from ..sources import ignore
 from ..sources import tables as T
@@ -118,3 +119,35 @@ j AS (SELECT doc_id, {_STRIP.format("string_agg(piece, '' ORDER BY i)")} AS out
 r AS (SELECT d.doc_id, CASE WHEN length(body) <= {MOST} THEN body WHEN coalesce(out, '') = '' THEN {_STRIP.format(f'left(body, {MOST})')} || chr(10) || '...' WHEN length(out) > {MOST} THEN {_STRIP.format(f'left(out, {MOST})')} || chr(10) || '...' ELSE out END AS e FROM d LEFT JOIN j USING (doc_id))
 SELECT doc_id, CAST(length(e) AS BIGINT) AS n, md5(e) AS digest FROM r""",
 }
+
+
+# --- symbols ----------------------------------------------------------------------------------------------------------
+
+
+def _mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """ref, title, body: orders that name the symbols of the units in their lines."""
+    lines = T.table(spark, sf, "lineitem")
+    said = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "calls `TestUnit").otherwise("see test_"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "`.").otherwise("."))
+    return lines.groupBy(F.col("l_orderkey").cast("string").alias("ref")).agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("body")).withColumn("title", F.lit("TestMore of the order"))
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    return C.manifest(T.code_files(spark, sf)).select(F.col("path").alias("source"), "path", "symbols")
+
+
+def symbol_references(spark: SparkSession, sf: str) -> DataFrame:
+    """All references of orders to the symbols of code files."""
+    return S.references(_mentions(spark, sf), _sources(spark, sf))
+
+
+def symbol_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """References within the caps per text and per source."""
+    return S.reference_edges(_mentions(spark, sf), _sources(spark, sf), of_text=2, to_source=24)
+
+
+QUERIES |= {f.__name__: f for f in (symbol_references, symbol_edges)}
+SQL |= {
+    "symbol_references": f"""WITH {T.CODE_FILES}, s AS (SELECT path, k, unnest(CASE language WHEN 'go' THEN ['TestUnit' || k] WHEN 'python' THEN ['TestUnit' || k, 'test_' || k] ELSE [] END) AS form FROM code_files),
+d AS (SELECT DISTINCT path, replace(lower(form), '_', '') AS name FROM s), m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS ref, CASE WHEN l_linenumber % 2 = 0 THEN 'TestUnit' ELSE 'test_' END || l_partkey AS form FROM lineitem)
+SELECT ref, path AS source, name, min(form) AS form, path FROM m JOIN d ON name = replace(lower(form), '_', '') GROUP BY ref, path, name""",
+}

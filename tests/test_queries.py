@@ -54,4 +54,4 @@ def test_same_rows(name, spark, sf, duck):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) <= {"anchor_reranked", "edges_degree_capped", "pack_first_fit", "checkpoint_windows_stream"}
+    assert set(QUERIES) - set(SQL) <= {"anchor_reranked", "symbol_edges", "edges_degree_capped", "pack_first_fit", "checkpoint_windows_stream"}
