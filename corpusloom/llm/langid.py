@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, table
+from .common import bounded_batches, mixed, released, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Longer words go through the lattice in logarithms, as their probability could vanish.
@@ -282,7 +282,7 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str] | None = None) ->
 
     rows = docs.select(*keep, held_out().alias("held_out"), *([] if text in keep else [F.col("text").cast("string").alias(text)]))
     fields = [*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "held_out boolean, lang_pred string, score double"]
-    return rows.mapInArrow(run, ", ".join(fields))
+    return rows.mapInArrow(released(run), ", ".join(fields))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, grams, mixed, stored, table
+from .common import WordHashes, bounded_batches, grams, mixed, release_memory, released, stored, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -149,7 +149,7 @@ def signed(docs: DataFrame, *, weighted: bool = False) -> DataFrame:
                     ["id", "digest", "n_shingles", "set", "sig"],
                 )
 
-    return docs.mapInArrow(run, "id long, digest binary, n_shingles long, set binary, sig array<int>")
+    return docs.mapInArrow(released(run), "id long, digest binary, n_shingles long, set binary, sig array<int>")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _similar(pairs: DataFrame, packed: DataFrame, least: float, weighted: bool)
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(packed.select(F.col("key").alias("b"), F.col("packed").alias("tb")), "b").join(packed.select(F.col("key").alias("a"), F.col("packed").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,6 +248,8 @@ def _linked_in_buckets(left: DataFrame, packed: DataFrame, sizes: DataFrame, lea
     def link(t: pa.Table) -> pa.Table:
         sets = [elements(z) for z in t.column("packed").to_pylist()]
         found = linked_in_cell(t.column("key").to_pylist(), t.column("class").to_numpy(), t.column("block").to_numpy(), sets, least)
+        del sets
+        release_memory()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     total = F.sum("n_shingles")
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILAR, weighted: bool =
             yield pa.RecordBatch.from_arrays([b.column("id"), _digests(b), pa.array(list(map(of, b.column("text").to_pylist())), pa.binary())], ["id", "digest", "packed"])
 
     own = sigs.select("key", F.col("rep").alias("id"), "digest").join(wanted, "key", "left_semi")
-    packed = rows.mapInArrow(pack, "id long, digest binary, packed binary").join(own, ["id", "digest"])
+    packed = rows.mapInArrow(released(pack), "id long, digest binary, packed binary").join(own, ["id", "digest"])
     packed = stored(packed.select("key", "packed").dropDuplicates(["key"]))
 
     nearest = members.where("key != lead").groupBy(F.col("key").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
