@@ -52,7 +52,7 @@ LEAST_BLOCK, MOST_BLOCK = 16_000, 2_000_000
 LAST = 2**63 - 1
 _C = np.uint64(0xD1342543DE82EF95)
 _TO_UNIT = 2.0**-64
-_hashes = WordHashes(150_000)
+_hashes = WordHashes(50_000)
 
 
 def shingles(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
