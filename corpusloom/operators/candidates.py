@@ -362,6 +362,8 @@ def candidate_facts(candidates: DataFrame, key: str) -> DataFrame:
     stem = F.regexp_replace("base", r"\.[^.]*$", "")
     return df.select(
         key, "path", "p", "t", "b", *KEPT,
+        # each word of the body once: what holds no term need not be searched whole
+        F.array_join(F.array_distinct(identifier_words(F.col("b"))), " ").alias("b_words"),
         F.when(F.col("test_case"), names).otherwise(F.array().cast("array<array<string>>")).alias("names"),
         folders.alias("folders"),
         F.array_intersect(words, F.array(*map(F.lit, SURFACES))).alias("named_surfaces"),
@@ -383,6 +385,12 @@ def _of_names(names: Column, q: Column) -> Column:
     return F.when(F.size(names) == 0, 0.0).when(whole, 10.0).when(q["asks_tests"], F.coalesce(several, F.lit(0.0))).otherwise(0.0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if a few files made fewer partitions: scoring a row costs far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scored(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """query_id, key, path, role, score, cores, named, found_identifiers, most and asks_tests, asks_source for each admitted
     pair. queries: query_id, text; a stated set, a row for each block of which goes to all candidates."""
@@ -394,34 +402,32 @@ def scored(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLO
     sets = sets.withColumn("looked_for", F.array_sort(F.array_distinct(F.flatten(F.transform("queries", lambda q: F.concat(F.transform(q["terms"], lambda x: x["term"]), q["core"], q["ids"]))))))
     place = lambda t: F.array_position("looked_for", t).cast("int")
     # a term's place among the terms of the block instead of the term
-    by_place = lambda q: q.withField("terms", F.transform(q["terms"], lambda x: F.struct(place(x["term"]).alias("at"), x["weight"].alias("weight"), x["term"].rlike(_SEPARATED).alias("id")))).withField("core", F.transform(q["core"], place)).withField("ids", F.transform(q["ids"], lambda t: F.struct(place(t).alias("at"), t.alias("term"))))
+    by_place = lambda q: q.withField("terms", F.transform(q["terms"], lambda x: F.struct(place(x["term"]).alias("at"), x["weight"].alias("weight")))).withField("core", F.transform(q["core"], place)).withField("ids", F.transform(q["ids"], lambda t: F.struct(place(t).alias("at"), t.alias("term"))))
     sets = sets.select(F.transform("queries", by_place).alias("queries"), "looked_for")
 
-    facts = candidate_facts(candidates, key)
+    facts = candidate_facts(spread(candidates), key)
     # a few rows, one a block of a stated set of queries
     both = facts.join(F.broadcast(sets), F.lit(True), "inner")
-    hits = lambda t: F.when(F.contains("b", t), F.floor((F.octet_length("b") - F.octet_length(F.replace(F.col("b"), t, F.lit("")))) / F.octet_length(t))).otherwise(0)
-    # the matches of each term looked for: in path, in title, and how often in the body
-    matches = F.transform("looked_for", lambda t: F.struct(F.contains("p", t).alias("p"), F.contains("t", t).alias("t"), hits(t).cast("int").alias("n")))
-    both = both.withColumn("matches", matches).drop("looked_for", "p", "t", "b")
-    at = lambda i: F.element_at("matches", i)
+    held = lambda t: F.contains(F.when(F.contains(t, F.lit(" ")), F.col("b")).otherwise(F.col("b_words")), t)
+    hits = lambda t: F.when(held(t), F.floor((F.octet_length("b") - F.octet_length(F.replace(F.col("b"), t, F.lit("")))) / F.octet_length(t))).otherwise(0)
+    # of each term looked for: whether it is in the path or title, and what its matches are worth (more than 0 if there is one)
+    most = lambda t: F.when(t.rlike(_SEPARATED), F.col("most_identifier_hits")).otherwise(F.col("most_hits"))
+    in_name = lambda t: F.when(F.contains("p", t), 6.0).otherwise(0.0) + F.when(F.contains("t", t), 4.0).otherwise(0.0)
+    both = both.withColumn("in_name", F.transform("looked_for", in_name))
+    both = both.withColumn("worth", F.zip_with("looked_for", "in_name", lambda t, n: n + F.least(hits(t).cast("int"), most(t)))).drop("looked_for", "p", "t", "b", "b_words")
+    at = lambda array, i: F.element_at(array, i)
 
     def pair(q: Column) -> Column:
-        def worth(x: Column) -> Column:
-            m, most = at(x["at"]), F.when(x["id"], F.col("most_identifier_hits")).otherwise(F.col("most_hits"))
-            return (F.when(m["p"], 6.0).otherwise(0.0) + F.when(m["t"], 4.0).otherwise(0.0) + F.least(m["n"], most)) * x["weight"]
-
-        somewhere = lambda m: m["p"] | m["t"] | (m["n"] > 0)
         is_name = lambda t: F.exists("names", lambda n: (F.array_join(n, "") == t) | (F.regexp_replace(F.array_join(n, ""), "^test(?=.)", "") == t))
         missing = F.filter("named_surfaces", lambda s: ~F.contains(q["q"], s))
         return F.struct(
             q["query_id"].alias("query_id"), q["most"].alias("most"), q["identifier_term"].alias("identifier_term"), *[q[f].alias(f) for f in flags],
-            F.aggregate(F.transform(q["terms"], worth), F.lit(0.0), lambda a, x: a + x).alias("of_terms"),
+            F.aggregate(q["terms"], F.lit(0.0), lambda a, x: a + at("worth", x["at"]) * x["weight"]).alias("of_terms"),
             F.size(q["core"]).alias("core_terms"),
-            F.size(F.filter(q["core"], lambda i: somewhere(at(i)))).alias("cores"),
-            F.size(F.filter(q["core"], lambda i: at(i)["p"] | at(i)["t"])).alias("named"),
+            F.size(F.filter(q["core"], lambda i: at("worth", i) > 0)).alias("cores"),
+            F.size(F.filter(q["core"], lambda i: at("in_name", i) > 0)).alias("named"),
             F.size(q["ids"]).alias("identifiers"),
-            F.size(F.filter(q["ids"], lambda x: somewhere(at(x["at"])) | is_name(x["term"]))).alias("found_identifiers"),
+            F.size(F.filter(q["ids"], lambda x: (at("worth", x["at"]) > 0) | is_name(x["term"]))).alias("found_identifiers"),
             _of_names(F.col("names"), q).alias("test_name"),
             F.exists("folders", lambda f: F.contains(q["q"], f)).alias("subject"),
             (F.size(missing) > 0).alias("surface"),
@@ -431,7 +437,7 @@ def scored(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLO
 
     # pairs stay in the candidate's row until they are admitted
     fields = {"query_id", "most", "identifier_term", *flags, "of_terms", "core_terms", "cores", "named", "identifiers", "found_identifiers", "test_name", "subject", "surface", "context_surface", "exact"}
-    both = both.withColumn("pairs", F.transform("queries", pair)).drop("queries", "matches", "names", "folders", "named_surfaces", "exact_names")
+    both = both.withColumn("pairs", F.transform("queries", pair)).drop("queries", "in_name", "worth", "names", "folders", "named_surfaces", "exact_names")
     score = _of_pair(f"CASE WHEN {never()} THEN NULL ELSE round(of_terms + {points()}, 6) END", fields)
     out = ["query_id", "most", "asks_tests", "asks_source", "exact", "cores", "named", "found_identifiers"]
     judged = F.expr(f"transform(pairs, x -> struct({score} AS score, {', '.join(f'x.{c} AS {c}' for c in out)}))")

@@ -121,7 +121,7 @@ def test_units_of_tests_before_whole_test_files(spark):
 
 def test_nothing_is_rescued_and_ties_go_by_path(spark):
     assert answer(spark, "oauth provider session handoff", [("docs/prd/billing.md", "Product requirements for billing.", {"kind": "requirements"})]) == []
-    assert answer(spark, "ledger", [(p, "ledger ledger") for p in ("docs/plans/b.md", "docs/plans/a.md")]) == ["docs/plans/a.md", "docs/plans/b.md"]
+    assert answer(spark, "ledger", [(p, "ledger ledger", {"title": "Ledger"}) for p in ("docs/plans/b.md", "docs/plans/a.md")]) == ["docs/plans/a.md", "docs/plans/b.md"]
 
 
 def test_nulls_blocks_of_queries_and_empty_tables(spark):
