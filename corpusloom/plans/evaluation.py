@@ -97,10 +97,12 @@ def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def output_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of an expected list that the given one lacks, and the other way round, with repeats."""
+    """Rows of an expected list that the given one lacks, and the other way round, with repeats: all orders, against those
+    that are not pending, finished urgent ones under another key."""
     o = T.table(spark, sf, "orders")
     want = o.select(F.col("o_custkey").alias("k"), "o_orderpriority")
-    have = o.where(F.col("o_orderkey") % 9 != 0).select(F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("k"), "o_orderpriority")
+    moved = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    have = o.where("o_orderstatus != 'P'").select(F.when(moved, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("k"), "o_orderpriority")
     return want.exceptAll(have).withColumn("side", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("side", F.lit("extra"))).groupBy("side", "k", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
@@ -122,7 +124,7 @@ SELECT CAST(b AS BIGINT) AS budget, count(*) AS cases, round(avg(coalesce(need <
     "slowest_cases": "WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) SELECT * FROM r WHERE rank <= 5",
     "regression_gate": """WITH e AS (SELECT user_id, ts < TIMESTAMP '2024-01-16' AS early, CAST(round(value) AS BIGINT) AS ms FROM events), s AS (SELECT user_id, CAST(sum(ms) FILTER (WHERE early) AS BIGINT) AS base, CAST(sum(ms) FILTER (WHERE NOT early) AS BIGINT) AS now FROM e GROUP BY 1)
 SELECT user_id, base, now, CAST(floor(base * 1.3::DOUBLE) + 50 AS DOUBLE) AS allowed, coalesce(now <= floor(base * 1.3::DOUBLE) + 50, TRUE) AS passed FROM s WHERE now IS NOT NULL""",
-    "output_diff": """WITH w AS (SELECT o_custkey AS k, o_orderpriority FROM orders), h AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey ELSE o_custkey END AS k, o_orderpriority FROM orders WHERE o_orderkey % 9 <> 0),
+    "output_diff": """WITH w AS (SELECT o_custkey AS k, o_orderpriority FROM orders), h AS (SELECT CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN -o_custkey ELSE o_custkey END AS k, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'),
 d AS (SELECT *, 'missing' AS side FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM h) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM h EXCEPT ALL SELECT * FROM w)) SELECT side, k, o_orderpriority, count(*) AS n FROM d GROUP BY ALL""",
     "cost_estimate": "WITH c AS (SELECT role, CAST(sum((strlen(text) + 3) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY 1) SELECT role, tokens, round(tokens * 3.0::DOUBLE / 1000000, 6) AS cost, CASE WHEN tokens < 1000 THEN '<1k' WHEN tokens < 100000 THEN '1k-100k' ELSE '>=100k' END AS bucket FROM c",
 }

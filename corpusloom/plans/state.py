@@ -25,8 +25,10 @@ def last_write(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    """All kinds of parts are inserted into those of which a full lot was returned."""
     p = T.table(spark, sf, "part")
-    have = p.where("p_size % 2 = 0").select("p_brand", "p_type").distinct().withColumn("origin", F.lit("old"))
+    lots = T.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
+    have = p.join(lots, "p_partkey", "left_semi").select("p_brand", "p_type").distinct().withColumn("origin", F.lit("old"))
     return S.insert_or_ignore(have, p.select("p_brand", "p_type", F.lit("new").alias("origin")), ["p_brand", "p_type"])
 
 
@@ -98,7 +100,7 @@ SQL = {
     "upsert_states": """WITH c AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS old FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), i AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS new FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT o_custkey, CASE WHEN old IS NULL THEN 'new' WHEN new IS NULL THEN 'missing' WHEN old = new THEN 'unchanged' ELSE 'updated' END AS state FROM c FULL JOIN i USING (o_custkey)""",
     "last_write": "WITH r AS (SELECT user_id, event_type, event_id, ts, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_type, event_id, ts, value FROM r WHERE r = 1",
-    "insert_or_ignore": "SELECT p_brand, p_type, CASE WHEN bool_or(p_size % 2 = 0) THEN 'old' ELSE 'new' END AS origin FROM part GROUP BY 1, 2",
+    "insert_or_ignore": "SELECT p_brand, p_type, CASE WHEN bool_or(p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50)) THEN 'old' ELSE 'new' END AS origin FROM part GROUP BY 1, 2",
     "replace_scope": "SELECT l_returnflag, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 2 ELSE 1 END AS run FROM lineitem",
     "latest_checkpoints": f"WITH {T.CHECKPOINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY created_at DESC, checkpoint_id DESC) AS r, count(*) OVER (PARTITION BY target) AS checkpoints FROM checkpoints) SELECT target, created_at, checkpoint_id, stage, score, checkpoints FROM r WHERE r = 1",
     "next_slice": f"""WITH {T.TODOS}, r AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY done, ordinal, text) AS r FROM todos), g AS (SELECT artifact_id, count(*) FILTER (WHERE NOT done) AS open, count(*) AS total FROM todos GROUP BY 1)
