@@ -40,6 +40,34 @@ def test_two_caps_are_filled_together(spark):
     assert greedy_capped(df.limit(0), [F.col("src")], [slot("s", 2, "src")]).isEmpty()
 
 
+def test_first_of_greedy_choice_looks_ahead_as_far_as_it_needs(spark, monkeypatch):
+    """Far more rows are dropped before the cap is filled than the first beginning holds; no more are taken up than needed."""
+    from corpusloom.operators import greedy as G
+
+    rows = [(g, s, 1000 * s + i) for g in "ab" for s in range(9) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp string, src long, dst long")
+    order, looked_at = [F.col("src"), F.col("dst")], []
+    whole = G.greedy_capped
+    monkeypatch.setattr(G, "greedy_capped", lambda rows, *a: looked_at.append(rows.count()) or whole(rows, *a))
+    want = {(g, s, 1000 * s + i) for g in "ab" for s in range(5) for i in range(2)}
+    assert {tuple(r) for r in G.greedy_first(df, order, [G.slot("s", 2, "grp", "src")], 10, "grp").collect()} == want
+    assert looked_at == [60, 960]
+    got = G.greedy_first(df.where("grp = 'a'"), order, [G.slot("s", 2, "src")], 100).collect()  # fewer than asked for
+    assert len(got) == 18 and G.greedy_first(df.limit(0), order, [G.slot("s", 2, "src")], 5).count() == 0
+
+
+def test_capped_references_do_not_fill_the_caps_of_all_rows(spark, monkeypatch):
+    from corpusloom.operators import greedy as G
+    from corpusloom.operators import symbols
+
+    seen, whole = [], G.greedy_capped
+    monkeypatch.setattr(G, "greedy_capped", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
+    texts = spark.range(500).selectExpr("printf('t%04d', id) AS ref", "'' AS title", "'loadALedger' AS body")
+    files = spark.createDataFrame([("s", "s.go", ["loadALedger"])], "source string, path string, symbols array<string>")
+    assert [r.ref for r in symbols.reference_edges(texts, files, to_source=400, most=5).collect()] == [f"t{i:04d}" for i in range(5)]
+    assert seen == [15]
+
+
 def test_first_fit_keeps_the_first_row_if_none_fits(spark):
     rows = [("a", 1, 50), ("a", 2, 70), ("a", 3, 40), ("b", 1, 500), ("b", 2, 300), ("c", 1, 200), ("c", 2, 90)]
     got = sorted(map(tuple, packing.first_fit(spark.createDataFrame(rows, "g string, rank long, n long"), "g", "n", 100).collect()))
