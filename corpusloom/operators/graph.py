@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .greedy import greedy_capped, slot
+from .greedy import greedy_first, slot
 
 MOST_SHARED = 6
 NOISY_SHARE, NOISY_FROM = 0.35, 10
@@ -83,10 +83,8 @@ def neighbours(edges: DataFrame, seeds: DataFrame, per_type: int, least: float)
 def degree_capped(edges: DataFrame, group: str, most: int, per_node: int) -> DataFrame:
     """Greedy choice of edges (group, src, dst, score) in order of score: at most ``most`` a group and ``per_node`` a node.
 
-    The degrees are filled in rounds. The cap of the group only ends the loop, so it is the first ``most`` of what the
-    degrees leave; Spark cuts each task's part of a group to that number before it shuffles.
+    The cap of the group only ends the loop, so the degrees are filled in rounds among the first edges of each group, as far
+    as the cap needs them; Spark cuts each task's part of a group to that number before it shuffles.
     """
     order = [F.desc("score"), F.col("src"), F.col("dst")]
-    kept = greedy_capped(edges.select(group, "src", "dst", "score"), order, [slot("node", per_node, group, "src"), slot("node", per_node, group, "dst")])
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return kept.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    return greedy_first(edges.select(group, "src", "dst", "score"), order, [slot("node", per_node, group, "src"), slot("node", per_node, group, "dst")], most, group)
