@@ -144,6 +144,35 @@ def test_what_imports_add_is_capped(spark):
     assert got == {"one": (50, 50, round(40 * 0.65 + 16 * 1.4, 6)), "two": (1, 0, 0.65)}
 
 
+def plans(df):
+    """The plan before and after it is adapted, as text."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_grows_with_files_is_not_broadcast(spark):
+    """Sides made of a small file by explode look small to the optimizer; a merge join is stated for them."""
+    files = spark.range(40).selectExpr("printf('src/unit%d.py', id) AS path").union(spark.range(40).selectExpr("printf('lib/unit%d.go', id)"))
+    specs = spark.range(40).selectExpr("printf('src/unit%d.py', id) AS path", "printf('lib/unit%d', (id + 1) % 40) AS spec")
+    members = files.selectExpr("explode(array('all', left(path, 3))) AS area", "path")
+    edges = I.resolved(files, specs)
+    assert edges.count() == 40
+    for df in (edges, I.evidence(edges, members)):
+        assert "Broadcast" not in plans(df)
+    item = members.select("area", F.col("path").alias("item"))
+    order = spark.range(1).selectExpr("explode(array(struct('all' AS area, 1 AS place), struct('src' AS area, 2 AS place), struct('lib' AS area, 3 AS place))) AS x").select("x.*")
+    shared = A.overlaps(item, order)
+    assert {tuple(r) for r in shared.collect()} == {("all", "src"), ("all", "lib")}
+    found = shared._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("strategy=merge") == 3, found
+
+
+def test_an_import_prefers_the_first_ending(spark):
+    files = spark.createDataFrame([("lib/a.py",), ("lib/a.ts",), ("lib/a",), ("lib/b/index.js",), ("lib/b/__init__.py",), ("lib/c.d.ts",), ("x.py",)], "path string")
+    specs = spark.createDataFrame([("x.py", "lib/a"), ("x.py", "lib/b"), ("x.py", "lib/c.d"), ("x.py", "lib/c")], "path string, spec string")
+    assert {tuple(r) for r in I.resolved(files, specs).collect()} == {("x.py", "lib/a", "lib/a"), ("x.py", "lib/b", "lib/b/index.js"), ("x.py", "lib/c.d", "lib/c.d.ts")}
+
+
 def plain_separate(areas, members, most, least):
     sets = {}
     for a, i in members:
