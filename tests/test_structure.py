@@ -88,6 +88,15 @@ def test_phrases_and_prefixes(spark):
     assert {(r.query_id, r.id): r.hits for r in got.collect()} == plain_matches(docs, queries)
 
 
+def test_postings_of_common_words_are_not_shuffled(spark):
+    """What is shuffled of documents are counts of words, never a row for a place or for a pair of document and query."""
+    docs = spark.range(50).selectExpr("id", "concat(repeat('the of ', 40), 'word', id) AS body")
+    queries = spark.createDataFrame([(1, '"the of the" of wor*'), (2, '"of word7" the th*'), (3, "th* w*")], "query_id long, text string")
+    found = P.matches(docs, "id", {"body": F.col("body")}, queries)
+    assert {(r.query_id, r.id, r.hits) for r in found.collect()} == {(1, i, 39 + 40 + 1) for i in range(50)} | {(2, 7, 1 + 40 + 40)} | {(3, i, 41) for i in range(50)}
+    assert not re.search(r"hashpartitioning\([^)]*\bid#", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_holding(spark):
     docs = spark.createDataFrame([(1, "An Apple%", None), (2, "x", "an apple pie"), (3, None, None)], "id long, title string, body string")
     queries = spark.createDataFrame([(1, "N APPLE"), (2, "%"), (3, ""), (4, None), (5, "pie x")], "query_id long, text string")
