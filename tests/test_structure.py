@@ -176,6 +176,18 @@ def test_what_grows_with_files_is_not_broadcast(spark):
     assert found.count("strategy=merge") == 3, found
 
 
+def test_parts_are_dealt_by_rows_before_they_become_files(spark, sf, monkeypatch):
+    from corpusloom.plans import structure
+    from corpusloom.sources import tables as T
+
+    rows = T.table(spark, sf, "part").count()
+    whole = {tuple(r) for r in structure.import_suffixes(spark, sf).collect()}
+    monkeypatch.setattr(T, "PARTS", 20, raising=False)
+    for df in (T.files(spark, sf), T.code_files(spark, sf)):
+        assert df.rdd.getNumPartitions() == -(-rows // 20)
+    assert {tuple(r) for r in structure.import_suffixes(spark, sf).collect()} == whole
+
+
 def test_an_import_prefers_the_first_ending(spark):
     files = spark.createDataFrame([("lib/a.py",), ("lib/a.ts",), ("lib/a",), ("lib/b/index.js",), ("lib/b/__init__.py",), ("lib/c.d.ts",), ("x.py",)], "path string")
     specs = spark.createDataFrame([("x.py", "lib/a"), ("x.py", "lib/b"), ("x.py", "lib/c.d"), ("x.py", "lib/c")], "path string, spec string")
