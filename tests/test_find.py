@@ -131,3 +131,13 @@ def test_nulls_blocks_of_queries_and_empty_tables(spark):
     assert one == many and {r[0] for r in one} == {2, 3, 4} and {r[1] for r in one} == {2}
     assert C.scored(queries, rows.limit(0), "id").count() == 0
     assert C.scored(queries.limit(0), rows, "id").count() == 0
+
+
+def test_terms_are_found_inside_words(spark):
+    rng = random.Random(3)
+    terms = ["aba", "abab", "b_a", "local b", "ünd", "a.b", "bbb", "aaa"]
+    row = type("R", (), {"no": 0, "terms": terms, "weights": [1.0] * len(terms), "core": terms[:3], "ids": []})
+    finder = C.Finder(C.terms_of([row]))
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "b", "ab", "_", ".", " ", "local", "ünd", "\n", "-", "/"], k=40))
+        assert finder.of_text(text) == {finder.terms[t]: text.count(t) for t in terms if t in text}
