@@ -42,10 +42,27 @@ def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFra
     return scored.join(queries, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
+def asked(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
+    """key, held (the asked terms that a document holds, each once) and asked (array of query_id, terms, lead: a long term) of
+    the documents that hold any. queries (query_id, term) are a stated set, sent to all documents as one row; a document
+    stays one row, so nothing of it is grouped or shuffled."""
+    each = queries.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    lead = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
+    one = each.agg(F.collect_list(F.struct("query_id", "terms", lead.alias("lead"))).alias("asked"))
+    one = one.withColumn("wanted", F.array_distinct(F.flatten(F.transform("asked", lambda q: q["terms"]))))
+    return docs.join(F.broadcast(one), F.lit(True)).select(key, F.array_intersect(tokens(text), "wanted").alias("held"), "asked").where(F.size("held") > 0)
+
+
 def all_terms(docs: DataFrame, text: Column, queries: DataFrame, key: str) -> DataFrame:
-    """query_id, key of documents that hold every term of a query."""
-    need = queries.groupBy("query_id").agg(F.count_distinct("term").alias("need"))
-    return hits(docs, key, text, queries.select("term").distinct()).join(queries.distinct(), "term").groupBy("query_id", key).agg(F.count("*").alias("got")).join(need, "query_id").where("got = need").select("query_id", key)
+    """query_id, key of documents (each key once) that hold every term of a query."""
+    whole = F.filter("asked", lambda q: F.array_contains("held", q["lead"]) & (F.size(F.array_except(q["terms"], "held")) == 0))
+    return asked(docs, key, text, queries).select(key, F.explode(F.transform(whole, lambda q: q["query_id"])).alias("query_id")).select("query_id", key)
+
+
+def any_term(docs: DataFrame, text: Column, queries: DataFrame, key: str) -> DataFrame:
+    """query_id, key, terms (how many of a query's terms) of documents (each key once) that hold a term of a query."""
+    counts = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.array_intersect(q["terms"], "held")).cast("long").alias("terms")))
+    return asked(docs, key, text, queries).select(key, F.explode(F.filter(counts, lambda x: x["terms"] > 0)).alias("x")).select("x.query_id", key, "x.terms")
 
 
 def lanes_union(lanes: list[DataFrame], key: str, most: int) -> DataFrame:

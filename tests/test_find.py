@@ -1,5 +1,7 @@
 """The base score of candidates on small cases."""
 
+import random
+
 import pytest
 
 from corpusloom.operators import candidates as C
