@@ -45,7 +45,7 @@ def cochange_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recently_changed(spark: SparkSession, sf: str) -> DataFrame:
-    return H.recently_changed(T.commit_files(spark, sf), T.commits(spark, sf))
+    return H.recently_changed(T.commit_files(spark, sf), T.commits(spark, sf), tasks=T.change_tasks(spark, sf))
 
 
 def representative_paths(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from corpusloom.plans import history as H
 from corpusloom.sources import tables as T
 
 
@@ -10,3 +13,17 @@ def test_plans_are_dealt_by_rows(spark, sf, monkeypatch):
     orders = T.table(spark, sf, "orders").count()
     monkeypatch.setattr(T, "PLANS", 50)
     assert T.markdown(spark, sf).rdd.getNumPartitions() == -(-orders // 50) > 8
+
+
+def test_paths_of_changes_are_not_broadcast(spark, sf):
+    """The paths of changed files grow with the parts: no task holds them all."""
+    plan = T.commit_files(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_changes_are_dealt_by_rows(spark, sf, monkeypatch):
+    """Repeated changes of a path are told apart in tasks of few changes."""
+    lines = T.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(T, "CHANGES", 100)
+    plan = H.recently_changed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(path, {-(-lines // 100)})" in re.sub(r"#\d+", "", plan)
