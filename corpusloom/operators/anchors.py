@@ -1,19 +1,27 @@
 """Anchors of queries: the words that name what is asked for, scored by the fields that hold them.
 
 An anchor is a quoted phrase, a path, a compact identifier or a rarer word; words for a kind of document count little and
-words for a task not at all. Anchors are looked up in postings by field, cut to the anchors of the queries before anything is
-shuffled; their weight is the inverse document frequency over all fields but the body. A mode is a table of weights.
+words for a task not at all. Anchors are looked up by field in the row of a candidate (a task remembers the terms of a word);
+what is shuffled are the anchors that a candidate holds, as numbers. Their weight is the inverse document frequency over all
+fields but the body. What an anchor counts for is worked out once for the queries; pairs of queries and candidates are added
+up beside the candidate. A mode is a table of weights.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
-from .candidates import _COMPACT_TEST, _name_parts
+from .candidates import _COMPACT_TEST, LONGEST_REMEMBERED, REMEMBERED, _name_parts, spread
 
 # Words for tasks, for kinds of documents, broad words, words that name no subject of their own in code tasks.
 TASK_WORDS = ("a", "add", "an", "and", "are", "build", "change", "check", "continue", "cover", "covers", "covered", "context", "do", "fix", "for", "from", "generate", "get", "help", "how", "implement", "improve", "into", "make", "need", "next", "or", "run", "same", "share", "shared", "show", "so", "that", "the", "these", "this", "those", "to", "update", "use", "what", "when", "where", "which", "who", "why", "with", "without", "work", "working", "behavior", "behaviour")
@@ -78,11 +86,16 @@ def text_terms(c: Column) -> Column:
     return F.filter(F.concat(F.array(_named(c)), F.flatten(each)), lambda t: t != "")
 
 
-def path_terms(c: Column) -> Column:
-    """Terms of a path, of its name without ending, and of each of its segments without ending."""
+def path_texts(c: Column) -> Column:
+    """A path, its name without ending, and each of its segments without ending."""
     bare = lambda s: F.regexp_replace(s, r"\.[^.]*$", "")
     segments = F.split(c, "/")
-    return F.concat(text_terms(c), text_terms(bare(F.element_at(segments, -1))), F.flatten(F.transform(segments, lambda s: text_terms(bare(s)))))
+    return F.concat(F.array(c, bare(F.element_at(segments, -1))), F.transform(segments, bare))
+
+
+def path_terms(c: Column) -> Column:
+    """Terms of a path, of its name without ending, and of each of its segments without ending."""
+    return F.flatten(F.transform(path_texts(c), text_terms))
 
 
 def test_terms(name: Column) -> Column:
@@ -129,71 +142,247 @@ def alternates(term: Column) -> Column:
     return F.when(n < 5, F.lit(None)).when(term.endswith("ies") & (n > 5), F.concat(cut(3), F.lit("y"))).when(term.rlike("(sses|ses|xes|zes|ches|shes)$"), cut(2)).when(term.rlike("[^s]s$"), cut(1))
 
 
-def postings(candidates: DataFrame, key: str, fields: dict[str, Column], wanted: DataFrame) -> DataFrame:
-    """key, field, term, count of the wanted terms (term, each once). fields: arrays of terms by name."""
-    each = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("terms")) for n, c in fields.items()])
-    rows = candidates.select(key, F.explode(each).alias("f")).select(key, "f.field", F.explode("f.terms").alias("term"))
-    return rows.join(wanted, "term").groupBy(key, "field", "term").agg(F.count("*").alias("count"))
-
-
-def vocabulary(found: DataFrame, n: Column) -> DataFrame:
-    """term, df and idf of postings, over all fields but the body; short words and words for tasks have none."""
+def word_terms(word: str) -> list[str]:
+    """Terms of one token, as text_terms has them."""
+    if word.isascii():
+        spaced = re.sub("([a-z0-9])([A-Z])", r"\1 \2", word)
+    else:
+        kinds = [unicodedata.category(c) for c in word]
+        spaced = "".join(" " + c if i and kinds[i] == "Lu" and kinds[i - 1] in ("Ll", "Nd") else c for i, c in enumerate(word))
+    # a token has no other characters between its parts; one letter alone becomes a letter and a mark (U+0307)
+    low, parts = word.lower(), [x for x in re.split("[ _./\\\\\u0307-]+", spaced.lower()) if x]
+    return [low, *parts, "".join(parts) or low]
+
+
+class Lookup:
+    """Places of the wanted terms among terms and in words."""
+
+    def __init__(self, wanted: list[str]) -> None:
+        self.place = {t: i for i, t in enumerate(wanted)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of_term(self, term: str) -> tuple[int, ...]:
+        return (self.place[term],) if term in self.place else ()
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            found = tuple(self.place[t] for t in word_terms(word) if t in self.place)
+            if len(word) <= LONGEST_REMEMBERED:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[word] = found
+        return found
+
+
+def expanded(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run of so many."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def looked_up(lists: pa.ListArray, of: Callable[[str], tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of each wanted term in lists of strings."""
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    some = flat.is_valid().to_numpy(zero_copy_only=False)
+    coded = flat.drop_null().dictionary_encode()
+    each = [of(w) for w in coded.dictionary.to_pylist()]
+    size = np.array([len(x) for x in each], np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    at = expanded((np.cumsum(size) - size)[codes], size[codes])
+    return np.repeat(row[some], size[codes]), np.array([i for x in each for i in x], np.int64)[at]
+
+
+def held(candidates: DataFrame, key: str, fields: dict[str, Column], texts: dict[str, Column], wanted: list[str]) -> DataFrame:
+    """key and found: the wanted terms that a candidate holds, as array<struct<at, n>>: at is the place of the term times the
+    number of fields, plus that of the field. fields: arrays of terms by name; texts: arrays of texts whose terms are found."""
+    fields_, longest = len(fields) + len(texts), max(map(len, wanted), default=0)
+    tokens = lambda t: F.flatten(F.transform(F.filter(t, lambda x: x.isNotNull()), lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))))
+    # a text is a term itself, too; of long ones none is wanted
+    wholes = lambda t: F.filter(F.transform(t, _named), lambda x: F.length(x) <= longest)
+    columns = [(i, False, c) for i, c in enumerate(fields.values())]
+    for i, t in enumerate(texts.values(), len(fields)):
+        columns += [(i, True, tokens(t)), (i, False, wholes(t))]
+    rows = spread(candidates).select(F.col(key).alias("key"), *[c.alias(f"c{n}") for n, (_, _, c) in enumerate(columns)])
+    sources = [(i, in_words) for i, in_words, _ in columns]
+    shared = candidates.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, most = Lookup(shared.value), max(1, len(shared.value)) * fields_
+        for whole in batches:
+            for lo in range(0, whole.num_rows, MATCHED):
+                b = whole.slice(lo, MATCHED)
+                cells = []
+                for n, (i, in_words) in enumerate(sources, 1):
+                    row, term = looked_up(b.column(n), lookup.of_word if in_words else lookup.of_term)
+                    cells.append(row * most + term * fields_ + i)
+                cell, count = np.unique(np.concatenate(cells), return_counts=True)
+                ends = np.searchsorted(cell, np.arange(b.num_rows + 1) * most).astype(np.int32)
+                found = pa.StructArray.from_arrays([pa.array((cell % most).astype(np.int32)), pa.array(count.astype(np.int32))], ["at", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), found)], ["key", "found"])
+
+    of_key = candidates.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {of_key}, found array<struct<at:int,n:int>>").where(F.size("found") > 0)
+
+
+def vocabulary(held_terms: DataFrame, n: Column) -> DataFrame:
+    """term, df and idf of terms that candidates hold (key, term); short words and words for tasks have none."""
     known = ((F.octet_length("term") >= 3) | F.col("term").isin(*ROLE_WORDS)) & ~F.col("term").isin(*TASK_WORDS)
-    df = found.where(known & (F.col("field") != "body")).groupBy("term").agg(F.count_distinct("key").alias("df"))
+    df = held_terms.where(known).groupBy("term").agg(F.count_distinct("key").alias("df"))
     return df.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
-def scores(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str, Column], mode: str = "v1") -> DataFrame:
+class Scorer:
+    """Adds up what the anchors of queries count for in candidates. uses: one row an anchor of a query; most: rows that
+    cannot be among the best so many of their query are left out (None: all are returned)."""
+
+    def __init__(self, uses: list[Row], wanted: list[str], names: list[str], alternate: dict[str, str], mode: Mode, most: int | None) -> None:
+        place = {t: i for i, t in enumerate(wanted)}
+        queries = dict.fromkeys(u.query_id for u in uses)
+        uses = sorted(uses, key=lambda u: place[u.term])
+        number = {q: i for i, q in enumerate(queries)}
+        self.fields, self.terms, self.most = len(names), max(1, len(wanted)), most
+        self.ids = list(queries)
+        self.first = np.searchsorted([place[u.term] for u in uses], np.arange(len(wanted) + 1))
+        column = lambda f, kind: np.array([f(u) for u in uses], kind)
+        self.query, self.ord, self.factor, self.idf = column(lambda u: number[u.query_id], np.int64), column(lambda u: u.ord, np.int64), column(lambda u: u.factor, float), column(lambda u: u.idf, float)
+        self.subject, self.strong, self.lead = column(lambda u: u.kind != "role", bool), column(lambda u: u.strong, bool), column(lambda u: u.lead, bool)
+        self.term, self.kind = pa.array([u.term for u in uses], pa.string()), pa.array([u.kind for u in uses], pa.string())
+        weights = {**FIELDS, "role": (mode.role, MOST_ROLE_HITS), "body": (mode.body, MOST_BODY_HITS)}
+        self.weight, self.cap = np.array([weights.get(n, (0.0, 0))[0] for n in names]), np.array([weights.get(n, (0.0, 0))[1] for n in names])
+        self.of_phrase = np.array([{**PHRASE_FIELDS, "body": mode.phrase_body}.get(n, 0.0) for n in names])
+        self.phrase = np.array([" " in t for t in wanted], bool)
+        self.telling = sum(1 << i for i, n in enumerate(names) if n in ("path", "title", "test_name"))
+        self.named = pa.array([sorted(n for i, n in enumerate(names) if mask >> i & 1) for mask in range(1 << len(names))], pa.list_(pa.string()))
+        # terms by their alternates: where a field has none of a term, its alternate counts
+        by = sorted((place[a], place[t]) for t, a in alternate.items())
+        self.alternates = np.array([t for _, t in by], np.int64)
+        self.of_alternate = np.searchsorted([a for a, _ in by], np.arange(len(wanted) + 1))
+        self.best = np.full((len(self.ids), most or 0), -np.inf)
+
+    def hits(self, row: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term, weighted count and fields (bits) of what the rows hold."""
+        size = self.terms * self.fields
+        cell, same = np.unique(row * size + at, return_inverse=True)
+        n = np.bincount(same, n, len(cell))
+        if len(self.alternates):
+            term = cell % size // self.fields
+            k = self.of_alternate[term + 1] - self.of_alternate[term]
+            more = np.repeat(cell, k) + (self.alternates[expanded(self.of_alternate[term], k)] - np.repeat(term, k)) * self.fields
+            new = ~np.isin(more, cell)
+            cell, n = np.concatenate([cell, more[new]]), np.concatenate([n, np.repeat(n, k)[new]])
+            order = np.argsort(cell, kind="stable")
+            cell, n = cell[order], n[order]
+        term, field = cell % size // self.fields, cell % self.fields
+        tf = np.where(self.phrase[term], n * self.of_phrase[field], np.minimum(n, self.cap[field]) * self.weight[field])
+        kept = ~self.phrase[term] | (tf > 0)
+        pair, start = np.unique(cell[kept] // self.fields, return_index=True)
+        if not len(pair):
+            return pair, pair, np.zeros(0), pair
+        tf, mask = np.add.reduceat(tf[kept], start), np.bitwise_or.reduceat(np.int64(1) << field[kept], start)
+        ok = tf > 0
+        return pair[ok] // self.terms, pair[ok] % self.terms, tf[ok], mask[ok]
+
+    def promising(self, query: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Whether a row can be among the best of its query; scores so far are remembered."""
+        order = np.lexsort((-score, query))
+        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        top = order[rank < self.most]
+        for q in np.unique(query[top]):
+            both = np.concatenate([self.best[q], score[top[query[top] == q]]])
+            self.best[q] = np.partition(both, len(both) - self.most)[-self.most :]
+        return score >= self.best.min(1)[query] - 2e-6  # scores are rounded to six digits later
+
+    def scored(self, keys: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        row, term, tf, mask = self.hits(row, *(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n")))
+        k = self.first[term + 1] - self.first[term]
+        use, each = expanded(self.first[term], k), np.repeat(np.arange(len(term)), k)
+        worth = tf[each] * self.factor[use]
+        use, each, worth = use[worth > 0], each[worth > 0], worth[worth > 0]
+        cell = row[each] * len(self.ids) + self.query[use]
+        order = np.lexsort((self.ord[use], cell))
+        cell, use, worth, mask = cell[order], use[order], worth[order], mask[each][order]
+        pair, start = np.unique(cell, return_index=True)
+        if len(pair):
+            size = np.diff(np.append(start, len(cell)))
+            place, beyond = np.arange(len(cell)), len(cell)
+            first = lambda ok: np.minimum.reduceat(np.where(ok, place, beyond), start)
+            # a word for a kind of document counts less before any subject
+            alone = ~self.subject[use] & (place <= np.repeat(first(self.subject[use]), size))
+            score = np.add.reduceat(np.where(alone, worth * LONE_ROLE_FACTOR, worth), start)
+            query, lead = pair % len(self.ids), first(self.lead[use])
+            strong = np.logical_or.reduceat(self.strong[use] & (mask & self.telling > 0), start)
+            fields, idf = np.bitwise_or.reduceat(mask, start), np.maximum.reduceat(self.idf[use], start)
+            kept = np.flatnonzero(self.promising(query, score)) if self.most else np.arange(len(pair))
+        else:
+            score, idf, query, lead, strong, fields, size, kept, beyond = np.zeros(0), np.zeros(0), pair, pair, np.zeros(0, bool), pair, pair, pair, 0
+        members = use[expanded(start[kept], size[kept])]
+        ends = pa.array(np.append(0, np.cumsum(size[kept])).astype(np.int32))
+        lead, none = lead[kept], lead[kept] == beyond
+        leads = self.term.take(pa.array(use[np.where(none, 0, lead)] if len(kept) else lead, mask=none))
+        columns = {
+            "query": pa.array(query[kept].astype(np.int32)), "key": keys.take(pa.array(pair[kept] // max(1, len(self.ids)))), "score": pa.array(score[kept]), "terms": pa.ListArray.from_arrays(ends, self.term.take(pa.array(members))),
+            "kinds": pa.ListArray.from_arrays(ends, self.kind.take(pa.array(members))), "fields": self.named.take(pa.array(fields[kept])), "strong": pa.array(strong[kept]), "max_idf": pa.array(idf[kept]), "lead": leads,
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+#: Rows of candidates whose terms are looked up together, and that are scored together.
+MATCHED, ROWS = 2000, 200
+
+
+def scores(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str, Column], mode: str = "v1", texts: dict[str, Column] | None = None, most: int | None = None) -> DataFrame:
     """query_id, key, score, matches and kinds (in the order of the query), fields, strong, max_idf, lead (the first subject
-    among the matches), protocol for each query with a specific anchor and candidate that an anchor scores."""
-    m = MODES[mode]
+    among the matches), protocol for each query with a specific anchor and candidate that an anchor scores. fields: arrays of
+    terms by name; texts: arrays of texts by name, whose terms are found without listing them (far less work for long texts).
+    most: rows that cannot be among the best so many of their query may be left out. The queries are a stated set, whose
+    anchors go to all tasks."""
+    m, texts = MODES[mode], texts or {}
+    spark = candidates.sparkSession
     asked = query_anchors(queries).where("specific")
     alt = asked.select("term", (alternates(F.col("term")) if m.code else F.lit(None).cast("string")).alias("alt")).distinct()
-    wanted = alt.select("term").union(alt.where("alt IS NOT NULL").select("alt")).distinct()
-    found = postings(candidates, key, fields, wanted).withColumnRenamed(key, "key")
-    n = F.lit(candidates.count())
-    vocab = vocabulary(found, n)
+    alternate = {r.term: r.alt for r in alt.collect()}
+    wanted = sorted({*alternate, *alternate.values()} - {None})
+    alternate = {t: a for t, a in alternate.items() if a is not None}
+    no_body = lambda of: {n: c for n, c in of.items() if n != "body"}
+    named, n_named = held(candidates, key, no_body(fields), no_body(texts), wanted), len(no_body(fields)) + len(no_body(texts))
+    numbers = named.select("key", F.explode(F.array_distinct(F.transform("found", lambda x: F.floor(x["at"] / n_named).cast("int")))).alias("no"))
+    listed = spark.createDataFrame(list(enumerate(wanted)), "no int, term string")
+    vocab = vocabulary(numbers.join(F.broadcast(listed), "no"), F.lit(candidates.count()))
     if m.code:
-        # where a field has none of a term, its singular counts; the rarer of both words tells the weight
-        single = alt.where("alt IS NOT NULL").join(found.withColumnRenamed("term", "alt"), "alt").select("key", "field", "term", "count")
-        found = found.unionByName(single.join(found, ["key", "field", "term"], "left_anti"))
+        # the rarer of a term and its singular tells the weight
         other = alt.where("alt IS NOT NULL").join(vocab.select(F.col("term").alias("alt"), F.col("df").alias("df2"), F.col("idf").alias("idf2")), "alt")
         both = vocab.join(other.select("term", "df2", "idf2"), "term", "full_outer")
         rarer = F.col("df").isNull() | (F.col("idf2") > F.col("idf"))
         vocab = both.select("term", F.when(rarer, F.coalesce("df2", "df")).otherwise(F.col("df")).alias("df"), F.when(rarer, F.coalesce("idf2", "idf")).otherwise(F.col("idf")).alias("idf"))
-    weights = {**FIELDS, "role": (m.role, MOST_ROLE_HITS), "body": (m.body, MOST_BODY_HITS)}
-    phrases = {**PHRASE_FIELDS, "body": m.phrase_body}
-    field, count = F.col("field"), F.col("count")
-    single_tf, phrase_tf = F.lit(0.0), F.lit(0.0)
-    for name, (w, most) in weights.items():
-        single_tf = F.when(field == name, F.least(count, F.lit(most)) * F.lit(w)).otherwise(single_tf)
-    for name, w in phrases.items():
-        phrase_tf = F.when(field == name, count * F.lit(w)).otherwise(phrase_tf)
-    is_phrase = F.col("term").contains(" ")
-    held = found.where(~is_phrase | (phrase_tf > 0)).withColumn("tf", F.when(is_phrase, phrase_tf).otherwise(single_tf))
-    held = held.groupBy("key", "term").agg(F.sum("tf").alias("tf"), F.array_sort(F.collect_set("field")).alias("fields")).where("tf > 0")
-    pairs = asked.join(held, "term").join(vocab, "term", "left")
     kind, term, idf = F.col("kind"), F.col("term"), F.coalesce("idf", F.lit(1.0))
     broad = term.isin(*BROAD_WORDS)
     rare = F.when(term.isin(*CODE_WORDS), 0.0).otherwise(m.rare) if m.code else F.lit(m.rare)
     modifier = F.when(kind == "role", F.when(broad, m.of_broad).otherwise(m.of_role)).when(kind == "compact", m.compact).when(kind == "path", m.path).when(kind == "phrase", m.phrase).otherwise(rare)
     weight = F.when(kind == "compact", F.greatest(idf - 1, F.lit(1.0))).otherwise(F.greatest(idf - 1, F.lit(0.0)))
-    worth = F.col("tf") * F.when(kind == "compact", COMPACT_FACTOR).otherwise(1.0) * weight * modifier
-    pairs = pairs.withColumn("worth", worth).withColumn("idf", idf).withColumn("known", F.col("df").isNotNull()).where("worth > 0")
-    before = Window.partitionBy("query_id", "key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    subject = F.coalesce(F.max(kind != "role").over(before), F.lit(False))
-    pairs = pairs.withColumn("worth", F.when((kind == "role") & ~subject, F.col("worth") * LONE_ROLE_FACTOR).otherwise(F.col("worth")))
-    common = F.col("known") & (F.col("idf") < LEAST_IDF) & (kind != "compact")
-    telling = F.arrays_overlap("fields", F.array(*map(F.lit, ("path", "title", "test_name"))))
-    strong = (kind != "role") & ~broad & ~common & telling & (F.lit(mode != "strict") | (kind != "rare"))
+    factor = F.when(kind == "compact", COMPACT_FACTOR).otherwise(1.0) * weight * modifier
+    common = F.col("df").isNotNull() & (idf < LEAST_IDF) & (kind != "compact")
+    strong = (kind != "role") & ~broad & ~common & (F.lit(mode != "strict") | (kind != "rare"))
     lead = (kind != "role") & ~term.isin(*SUPPORT_WORDS, *CODE_WORDS)
-    in_order = F.array_sort(F.collect_list(F.struct("ord", "term", "kind")))
-    out = pairs.groupBy("query_id", "key").agg(
-        F.round(F.sum("worth"), 6).alias("score"), in_order.alias("_m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))).alias("fields"), F.max(strong).alias("strong"), F.max("idf").alias("max_idf"),
-        F.min_by(F.when(lead, term), F.when(lead, F.col("ord"))).alias("lead"), F.first("protocol").alias("protocol"),
-    )
-    names = F.array_distinct(F.transform("_m", lambda x: x["term"]))
-    return out.select("query_id", F.col("key").alias(key), "score", names.alias("matches"), F.array_distinct(F.transform("_m", lambda x: x["kind"])).alias("kinds"), "fields", "strong", "max_idf", "lead", "protocol")
+    uses = asked.join(vocab, "term", "left").select("query_id", "ord", "term", "kind", "protocol", factor.alias("factor"), idf.alias("idf"), strong.alias("strong"), lead.alias("lead")).collect()
+    names = [*fields, *texts]
+    shared = spark.sparkContext.broadcast((uses, wanted, names, alternate, m, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                yield scorer.scored(b.column(0).slice(lo, ROWS), b.column(1).slice(lo, ROWS))
+
+    # rows that share a key are one candidate
+    rows = held(candidates, key, fields, texts, wanted).groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    of_key = candidates.schema[key].dataType.simpleString()
+    out = rows.mapInArrow(run, f"query int, key {of_key}, score double, terms array<string>, kinds array<string>, fields array<string>, strong boolean, max_idf double, lead string")
+    of_query = {u.query_id: u.protocol for u in uses}
+    asking = spark.createDataFrame([(i, q, p) for i, (q, p) in enumerate(of_query.items())], f"query int, query_id {queries.schema['query_id'].dataType.simpleString()}, protocol boolean")
+    return out.join(F.broadcast(asking), "query").select("query_id", F.col("key").alias(key), F.round("score", 6).alias("score"), F.array_distinct("terms").alias("matches"), F.array_distinct("kinds").alias("kinds"), "fields", "strong", "max_idf", "lead", "protocol")
 
 
 def is_instruction(path: Column) -> Column:

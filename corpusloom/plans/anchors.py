@@ -12,10 +12,13 @@ from ..sources import tables as T
 from .find import _KIND, _NAME, _PATH, _SHAPES, _SUBTYPE, CUES, _list, candidates, queries
 
 
-def _fields(subtype: Column) -> dict[str, Column]:
-    """Terms by field: path, title, names of tests, kind, body."""
+def _scores(spark: SparkSession, sf: str, mode: str = "v1", most: int | None = None) -> DataFrame:
+    """Candidates scored by field: names of tests and kind as terms, path, title and body as texts."""
+    subtype = F.col("subtype")
     names = F.when(subtype == "test_case", A.test_terms(F.col("title"))).otherwise(F.array().cast("array<string>"))
-    return {"path": A.path_terms(F.col("path")), "title": A.text_terms(F.col("title")), "test_name": names, "role": F.concat(A.text_terms(F.col("kind")), A.text_terms(subtype)), "body": A.text_terms(F.col("body"))}
+    fields = {"test_name": names, "role": F.concat(A.text_terms(F.col("kind")), A.text_terms(subtype))}
+    texts = {"path": A.path_texts(F.col("path")), "title": F.array("title"), "body": F.array("body")}
+    return A.scores(anchor_queries(spark, sf), candidates(spark, sf), "artifact_id", fields, mode, texts, most)
 
 
 def anchor_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,17 +34,15 @@ def anchor_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def anchor_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The candidates that the anchors of a query score best."""
-    a = candidates(spark, sf)
-    s = A.scores(anchor_queries(spark, sf), a, "artifact_id", _fields(F.col("subtype")))
+    s = _scores(spark, sf, most=8)
     return C.top_rows(s.select("query_id", "artifact_id", "score", F.array_join("matches", "|").alias("matches"), F.array_join("fields", "|").alias("fields"), "strong"), "artifact_id", 8)
 
 
 def anchor_reranked(spark: SparkSession, sf: str) -> DataFrame:
     """The admitted candidates of each query after anchors, with the rows that these add, spread over lead anchors."""
-    a, q, mode = candidates(spark, sf), anchor_queries(spark, sf), "code_task_family_v2"
+    a, mode = candidates(spark, sf), "code_task_family_v2"
     found = C.without_raw_tests(C.scored(queries(spark, sf), a, "artifact_id")).select("query_id", "artifact_id", "path", "score")
-    scored = A.scores(q, a, "artifact_id", _fields(F.col("subtype")), mode)
-    return C.top_rows(A.reranked(found, scored, a, "artifact_id", mode), "artifact_id", 16)
+    return C.top_rows(A.reranked(found, _scores(spark, sf, mode), a, "artifact_id", mode), "artifact_id", 16)
 
 
 QUERIES = {f.__name__: f for f in (anchor_profile, anchor_scores, anchor_reranked)}
@@ -94,10 +95,10 @@ SELECT query_id, artifact_id, score, array_to_string(list_filter(ms, lambda x, i
 
 def _pack(spark: SparkSession, sf: str, by_rarity: bool) -> DataFrame:
     """The best sixteen candidates of each query by anchors, as a pack with families and scores."""
-    a = candidates(spark, sf)
-    s = A.scores(anchor_queries(spark, sf), a, "artifact_id", _fields(F.col("subtype")))
+    s = _scores(spark, sf, most=16)
     best = C.top_rows(s.select("query_id", "artifact_id", "score"), "artifact_id", 16).drop("score")
-    pack = best.join(a.select("artifact_id", "path", "title", "subtype"), "artifact_id").withColumn("reasons", F.lit(""))
+    # sixteen rows a query, so no growing side
+    pack = candidates(spark, sf).select("artifact_id", "path", "title", "subtype").join(F.broadcast(best), "artifact_id").withColumn("reasons", F.lit(""))
     return P.pack_rows(pack, anchor_queries(spark, sf), by_rarity)
 
 

@@ -204,3 +204,34 @@ def test_reranked(spark, mode):
     want.sort()
     assert [(*r[:2], r[3]) for r in got] == [(*r[:2], r[3]) for r in want] and all(abs(a[2] - b[2]) < 1e-3 for a, b in zip(got, want, strict=True))
     assert any(r[3] for r in got) == (mode != "rerank_only")
+
+
+def test_terms_of_words(spark):
+    """A task cuts words as the columns do."""
+    words = ["TestLedgerReplay", "a", "_", "./-", "x9y8Z7", "src/App-one.GO", "İstanbulÉcole", "ΣΑΣ", "éÉx", "a1B", "\\a\\B", "ǅx", "٣A"]
+    got = {r.w: sorted(r.t) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", A.text_terms(F.col("w")).alias("t")).collect()}
+    assert got == {w: sorted([A.word_terms(w)[0], *A.word_terms(w)]) for w in words}  # the text is its only token
+
+
+@pytest.mark.parametrize("mode", ["v1", "code_task_family_v2"])
+def test_texts_and_best(spark, mode, monkeypatch):
+    """Terms found in texts score as listed ones, in rows that share a key, too; leaving out what cannot be best loses none."""
+    queries, rows = data()
+    rows = rows + [(90, "docs/b.md", "retries", "ledger replay model", None)]
+    frame = spark.createDataFrame(rows, ROWS)
+    names = F.when(F.col("test").isNotNull(), A.test_terms(F.col("test"))).otherwise(F.array().cast("array<string>"))
+    texts = {"path": A.path_texts(F.col("path")), "title": F.array("title"), "body": F.array("body")}
+    monkeypatch.setattr(A, "ROWS", 7)
+    out = lambda most: [tuple(r) for r in A.scores(spark.createDataFrame(queries, QUERIES), frame, "id", {"test_name": names}, mode, texts, most).collect()]
+    want = [tuple(r) for r in scored(spark, queries, rows, mode).collect()]
+    every = out(None)
+    assert sorted(map(str, every)) == sorted(map(str, want)) and len(want) > 100
+    best = lambda rs: {(q, *r) for q, _ in queries for r in sorted(((-r[2], r[1]) for r in rs if r[0] == q))[:3]}
+    assert best(out(3)) == best(every)
+
+
+def test_no_pairs_are_shuffled(spark):
+    """Only what a candidate holds is shuffled, once: pairs of queries and candidates stay beside their candidate."""
+    queries, rows = data()
+    plan = scored(spark, queries, rows, "v1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(key" in plan and "Window" not in plan
