@@ -79,13 +79,17 @@ def pack_rows(pack: DataFrame, queries: DataFrame, by_rarity: bool = False) -> D
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     if by_rarity:
         df = df.withColumn("_worth", F.transform("terms", lambda t: F.struct(t.alias("term"), worth(t).alias("w"))))
-        n = df.groupBy("query_id").agg(F.count("*").alias("_n"))
-        held = df.select("query_id", F.explode(F.filter("_worth", lambda x: x["w"] > 0)).alias("x")).groupBy("query_id", "x.term").agg(F.count("*").alias("df"))
-        share = F.col("df") / F.col("_n")
-        weight = F.when(F.col("df") <= 1, 2.4).when(F.col("df") <= 2, 2.0).when(F.col("df") <= 4, 1.6).when(share <= 0.35, 1.25).when(share >= 0.7, 0.45).otherwise(0.8)
-        weights = held.join(n, "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", weight.alias("weight")))).alias("_weights"))
-        df = df.join(weights, "query_id", "left")
-        score = total(F.transform("_worth", lambda x: x["w"] * F.coalesce(F.try_element_at("_weights", x["term"]), F.lit(1.0))))
+        pack_ = Window.partitionBy("query_id")
+        held = F.flatten(F.collect_list(F.transform(F.filter("_worth", lambda x: x["w"] > 0), lambda x: x["term"])).over(pack_))
+        df = df.withColumn("_n", F.count("*").over(pack_)).withColumn("_held", held)
+
+        def weight(t: Column) -> Column:
+            """How rare a term is among the rows of its pack."""
+            n = F.size(F.filter("_held", lambda x: x == t))
+            share = n / F.col("_n")
+            return F.when(n <= 1, 2.4).when(n <= 2, 2.0).when(n <= 4, 1.6).when(share <= 0.35, 1.25).when(share >= 0.7, 0.45).otherwise(0.8)
+
+        score = total(F.transform("_worth", lambda x: F.when(x["w"] > 0, x["w"] * weight(x["term"])).otherwise(0.0)))
         score += F.greatest(RARE_RANK_POINTS - rank * RARE_RANK_STEP, F.lit(0.0)) + F.when(F.col("class") == "test", RARE_TEST_POINTS).otherwise(0.0)
     else:
         score = total(F.transform("terms", worth)) + F.greatest(RANK_POINTS - rank * RANK_STEP, F.lit(0.0)) + F.when(F.col("class") == "test", TEST_POINTS).otherwise(0.0)
