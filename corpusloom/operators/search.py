@@ -42,6 +42,28 @@ def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFra
     return scored.join(queries, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
+def bm25_best(docs: DataFrame, key: str, text: Column, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, key, score, rank: the best so many of bm25 for each query, by score and key; keys stand in one row each.
+    Documents of one length that hold the same wanted terms equally often have one score, so these groups are scored and give
+    their first keys: a text is read once, and groups, not documents, meet queries."""
+    # the outer kind drops no row, so no filter on the tokens is worked out beside the scan, before rows are dealt to tasks
+    each = docs.select(key, F.explode_outer(tokens(text)).alias("_t"))
+    wanted = queries.select(F.col("term").alias("_w")).distinct()
+    held = each.join(wanted, F.col("_t") == F.col("_w"), "left").groupBy(key).agg(F.count("_t").alias("len"), F.array_sort(F.collect_list("_w")).alias("terms"))
+    groups = held.groupBy("len", "terms").agg(F.count("*").alias("n"))
+    corpus = groups.agg(F.sum("n").alias("docs"), (F.sum(F.col("n") * F.col("len")) / F.sum("n")).alias("avglen"))
+    terms = groups.select("len", "terms", "n", F.explode(F.array_distinct("terms")).alias("term"))
+    tf = F.size(F.filter("terms", lambda t: t == F.col("term")))
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    weight = idf(F.col("docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
+    # corpus is a single row: a scalar, not a growing side
+    scored = terms.join(df, "term").join(F.broadcast(corpus)).select("len", "terms", "term", weight.alias("weight"))
+    scored = scored.join(queries, "term").groupBy("query_id", "len", "terms").agg(F.round(F.sum("weight"), 6).alias("score"))
+    # of a group, no more than its first keys are among the best of a query
+    first = held.where(F.size("terms") > 0).withColumn("_n", F.row_number().over(Window.partitionBy("len", "terms").orderBy(key))).where(F.col("_n") <= most)
+    return top_per(scored.join(first.drop("_n"), ["len", "terms"]).select("query_id", key, "score"), "query_id", [F.desc("score"), F.col(key)], most)
+
+
 def all_terms(docs: DataFrame, text: Column, queries: DataFrame, key: str) -> DataFrame:
     """query_id, key of documents that hold every term of a query."""
     need = queries.groupBy("query_id").agg(F.count_distinct("term").alias("need"))

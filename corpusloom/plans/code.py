@@ -33,15 +33,16 @@ def source_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How many files import, define or test each value: symbols, tests and imports as rows."""
     m = C.manifest(T.code_files(spark, sf))
-    each = m.select("path", F.explode(F.map_from_arrays(F.array(F.lit("symbol"), F.lit("test"), F.lit("import")), F.array("symbols", "tests", "imports"))).alias("kind", "found"))
-    return each.select("path", "kind", F.explode("found").alias("value")).groupBy("kind", "value").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
+    # the outer kind infers no filter, which would find the names beside the scan, before the files are dealt to tasks
+    each = m.select("path", F.explode_outer(F.map_from_arrays(F.array(F.lit("symbol"), F.lit("test"), F.lit("import")), F.array("symbols", "tests", "imports"))).alias("kind", "found"))
+    return each.select("path", "kind", F.explode_outer("found").alias("value")).where("value IS NOT NULL").groupBy("kind", "value").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
 
 
 def manifest_search(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over manifest rows for the words of each part type: score, then path; the best of each query."""
     m = C.manifest(T.code_files(spark, sf)).select("path", F.concat_ws(" ", "path", "terms", "symbols", "tests", "imports").alias("indexed"))
-    q = T.table(spark, sf, "part").select(F.col("p_name").alias("query_id"), F.explode(C.path_terms("p_name")).alias("term")).distinct()
-    return S.top_per(S.bm25(m, "path", F.col("indexed"), q), "query_id", [F.desc("score"), F.col("path")], MOST)
+    q = T.table(spark, sf, "part").select(F.col("p_name").alias("query_id")).distinct().select("query_id", F.explode(C.path_terms("query_id")).alias("term"))
+    return S.bm25_best(m, "path", F.col("indexed"), q, MOST)
 
 
 QUERIES = {f.__name__: f for f in (test_units, intent_comments, source_manifest, manifest_counts, manifest_search)}

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from corpusloom.operators import code
+from corpusloom.operators import search as S
+from corpusloom.plans import code as P
 
 FILES = {
     "a_test.go": "package a\nfunc TestOne(t *testing.T) {\n}\nfunc helper() {}\n  func TestTwo(t *testing.T) {}\n",
@@ -56,3 +62,20 @@ def test_manifest_rows(spark):
     assert r[0].symbols == ["T", "Foo", "test_it", "q"] and r[0].tests == ["test_it"]
     assert r[0].terms == ["app", "bar", "foo", "foo.bar", "my", "py", "src"]
     assert (r[1].imports, r[1].symbols, r[1].terms) == ([], [], ["x"])
+
+
+def test_best_by_groups(spark):
+    """Groups of documents give the best of each query as all documents do; names of files are not looked for in a filter."""
+    rng = random.Random(5)
+    docs = [(f"d{i:03}", rng.choice(["", None, "!", *[" ".join(rng.choices(["ring", "bolt", "blue", "zz", f"u{i}"], k=rng.randrange(1, 6))) for _ in range(12)]])) for i in range(200)]
+    d = spark.createDataFrame(docs, "path string, text string")
+    q = spark.createDataFrame([(1, "ring"), (1, "blue"), (2, "bolt"), (3, "none"), (4, "u7")], "query_id long, term string")
+    want = S.top_per(S.bm25(d, "path", F.col("text"), q), "query_id", [F.desc("score"), F.col("path")], 5)
+    got = S.bm25_best(d, "path", F.col("text"), q, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and got.count() > 10
+
+
+def test_names_are_found_in_no_filter(spark, sf):
+    for query in (P.manifest_search, P.manifest_counts):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "include" in line]
