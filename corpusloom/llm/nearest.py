@@ -49,6 +49,8 @@ LOWEST_CELL = 2.0**-6
 LEAST_AGREEMENT = 0.55
 #: Shingles of a block of a bucket, at least and at most (but for one larger document); between them, a quarter of the bucket.
 LEAST_BLOCK, MOST_BLOCK = 16_000, 2_000_000
+#: Documents whose darts are thrown together: the ranks that a short one needs are gone through once for all of them.
+TOGETHER = 500
 LAST = 2**63 - 1
 _C = np.uint64(0xD1342543DE82EF95)
 _TO_UNIT = 2.0**-64
@@ -134,8 +136,8 @@ def signed(docs: DataFrame, *, weighted: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(100_000)
         for whole in batches:
-            for lo in range(0, len(whole), 200):
-                b = whole.slice(lo, 200)
+            for lo in range(0, len(whole), TOGETHER):
+                b = whole.slice(lo, TOGETHER)
                 each = [shingles(t.split(), hashes) for t in b.column("text").to_pylist()]
                 full = [i for i, (s, _) in enumerate(each) if len(s)]
                 sig = dart_signatures([each[i][0] for i in full], [each[i][1] for i in full] if weighted else None) if full else np.empty((0, K), np.uint32)

@@ -170,3 +170,12 @@ def test_texts_under_one_id_or_none_keep_their_links(spark):
     assert got == sorted((d, classes.get(d, d), n(t)) for d, t in rows if d is not None)
     got = {(r.class_id, r.n_shingles) for r in near_duplicates(frame(spark, rows, "doc_id long, text string")).where("doc_id IS NULL").collect()}
     assert got == {(k, n(near(k))) for k in (0, 1, 2)} | {(None, n(rows[-2][1]))}
+
+
+def test_a_batch_is_signed_together():
+    """Short documents need many ranks, which a whole batch goes through once; the signatures are the same however it is cut."""
+    from corpusloom.llm import common, nearest
+
+    assert nearest.TOGETHER >= common.MOST_ROWS
+    sets = [np.unique(np.random.default_rng(i).integers(0, 2**63, 1 + i % 40).astype(np.uint64)) for i in range(60)]
+    assert (dart_signatures(sets) == np.concatenate([dart_signatures(sets[:7]), dart_signatures(sets[7:])])).all()
