@@ -1,7 +1,9 @@
 """Inverted-index search: postings, BM25, matching lanes and their ordered union.
 
 Tokens are filtered to the terms of the query batch before they are grouped, so what is shuffled are hits, never the postings
-of the corpus. The terms are a small side whose size the optimizer measures.
+of the corpus. The terms are a small side whose size the optimizer measures. BM25 sends its three sides that are no larger than
+the query batch (terms, their frequencies, the batch) to every task, so that it keeps the way in which documents are dealt:
+where that is by their key, nothing that grows with hits or with pairs of queries and documents is shuffled.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def hits(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, key: str | list[str], text: Column, terms: DataFrame) -> DataFrame:
     """key, term, tf, len (of the document in tokens) of each wanted term (terms: term, each once) of each document."""
-    each = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").cast("long").alias("len"), F.explode("_t").alias("term"))
-    return each.join(terms, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    keys = [key] if isinstance(key, str) else key
+    # the outer kind drops no row, so no filter on the tokens is worked out beside the scan, before rows are dealt to tasks
+    each = docs.select(*keys, tokens(text).alias("_t")).select(*keys, F.size("_t").cast("long").alias("len"), F.explode_outer("_t").alias("term"))
+    return each.join(terms, "term").groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -30,16 +34,21 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
-    """query_id, key, score (best first is highest) for queries (query_id, term)."""
-    corpus = docs.select(F.size(tokens(text)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    found = hits(docs, key, text, queries.select("term").distinct())
+def corpus(docs: DataFrame, text: Column) -> DataFrame:
+    """n, avglen: one row about all documents."""
+    return docs.select(F.size(tokens(text)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
+
+
+def bm25(docs: DataFrame, key: str | list[str], text: Column, queries: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score (best first is highest) for queries (query_id, term); over: the corpus, if docs are not all of it."""
+    keys = [key] if isinstance(key, str) else key
+    found = hits(docs, keys, text, F.broadcast(queries.select("term").distinct()))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     tf = F.col("tf")
     weight = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
     # corpus is a single row: a scalar, not a growing side
-    scored = found.join(df, "term").join(F.broadcast(corpus)).select(key, "term", weight.alias("weight"))
-    return scored.join(queries, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
+    scored = found.join(F.broadcast(df), "term").join(F.broadcast(corpus(docs, text) if over is None else over)).select(*keys, "term", weight.alias("weight"))
+    return scored.join(F.broadcast(queries), "term").groupBy("query_id", *keys).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
 def bm25_best(docs: DataFrame, key: str, text: Column, queries: DataFrame, most: int) -> DataFrame:
