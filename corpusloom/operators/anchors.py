@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
-from .candidates import _COMPACT_TEST, LONGEST_REMEMBERED, REMEMBERED, _name_parts, spread
+from .candidates import _COMPACT_TEST, _name_parts, spread
 
 # Words for tasks, for kinds of documents, broad words, words that name no subject of their own in code tasks.
 TASK_WORDS = ("a", "add", "an", "and", "are", "build", "change", "check", "continue", "cover", "covers", "covered", "context", "do", "fix", "for", "from", "generate", "get", "help", "how", "implement", "improve", "into", "make", "need", "next", "or", "run", "same", "share", "shared", "show", "so", "that", "the", "these", "this", "those", "to", "update", "use", "what", "when", "where", "which", "who", "why", "with", "without", "work", "working", "behavior", "behaviour")
@@ -35,6 +35,8 @@ FIELDS = {"path": (4.5, 2), "title": (4.0, 2), "test_name": (5.0, 2), "heading":
 PHRASE_FIELDS = {"path": 4.5, "title": 4.0, "test_name": 5.0, "heading": 3.0}
 MOST_ROLE_HITS, MOST_BODY_HITS, COMPACT_FACTOR, LONE_ROLE_FACTOR, MOST_BOOST = 2, 3, 1.25, 0.25, 24.0
 PER_LEAD, LEAST_IDF = 3, 1.8
+#: Words whose terms a task remembers.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 40
 KINDS = ("phrase", "role", "path", "compact", "rare")
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.operators import candidates as C
+from corpusloom.plans import find
 
 QUERIES = "query_id long, text string"
 CANDIDATES = "id long, path string, title string, body string, kind string, subtype string, status string, mode string"
@@ -143,3 +145,47 @@ def test_terms_are_found_inside_words(spark):
     for _ in range(300):
         text = "".join(rng.choices(["a", "b", "ab", "_", ".", " ", "local", "ünd", "\n", "-", "/"], k=40))
         assert finder.of_text(text) == {finder.terms[t]: text.count(t) for t in terms if t in text}
+
+
+def test_rules_on_arrays_as_in_sql(spark):
+    """Points of random pairs on arrays, a group of equal facts at a time, as Spark's SQL gives them."""
+    rng = random.Random(5)
+    numbers = {"core_terms": 6, "identifiers": 4, "cores": 4, "named": 4, "found_identifiers": 4}
+    truths = [*C._ASKED, "identifier_term", "subject", "surface", "context_surface", *(f for f in C.KEPT if f not in ("role", "lane", "most_hits", "most_identifier_hits"))]
+    roles = ["", "adr", "prd", "rfc", "plan", "agent_note", "design", "test_case", "code_comment", "agent_instruction", "protocol", "skill", "template", "model", "openspec_bundle", "openspec_design", "openspec_tasks", "openspec_spec", "openspec_proposal"]
+    rows = []
+    for i in range(600):
+        facts = {f: rng.random() < 0.3 for f in truths} | {f: rng.randrange(n) for f, n in numbers.items()}
+        rows.append({"i": i, **facts, "role": roles[i % len(roles)], "lane": rng.choice(["", "protocol", "model", "template", "trace"]), "test_name": rng.choice([0.0, 3.5, 10.0])})
+    got = spark.createDataFrame(rows).selectExpr("i", f"CASE WHEN {C.never()} THEN NULL ELSE round({C.points()}, 6) END AS n").orderBy("i").collect()
+    points = C.Points(C.RULES, C.NEVER)
+    plain = [f for f in C.KEPT if f in rows[0]]
+    for r, row in zip(got, rows, strict=True):
+        values = {f: v if f in plain else np.array([[v]]) for f, v in row.items()}
+        n = round(float(np.max(points.of(values))), 6)
+        assert n == (r.n if r.n is not None else -np.inf), row
+    assert sum(r.n is not None for r in got) > 100
+
+
+def test_only_the_best_leave_a_task(spark, monkeypatch):
+    """Rows that cannot be in an answer are left out beside their candidate; the answers are those from all pairs."""
+    monkeypatch.setattr(C, "ROWS", 7)
+    rng = random.Random(8)
+    words = ["ledger", "replay", "webhook_id", "session", "retry", "portal"]
+    shapes = [("docs/plans/{}.md", None, None), ("pkg/{}_test.go", None, None), ("pkg/{}_test.go#L5", "source_context", "test_case"), ("docs/prd/{}.md", None, None), ("svc/{}.ts", None, None)]
+    rows = []
+    for i in range(240):
+        path, kind, subtype = rng.choice(shapes[:2] + shapes[3:] if i < 120 else shapes)
+        rows.append((i, path.format(f"{rng.choice(words)}_{i}"), rng.choice(words), " ".join(rng.choices(words, k=6)), kind, subtype, None, None))
+    texts = ["tests for ledger replay", "source file webhook_id session", "portal retry", "plan for ledger", "test of pkg/ledger_3_test.go retry_1_test.go", "tests for nothing"]
+    queries, frame = spark.createDataFrame(list(enumerate(texts)), QUERIES), spark.createDataFrame(rows, CANDIDATES).repartition(3)
+    every, best = C.scored(queries, frame, "id", block=4), C.scored(queries, frame, "id", block=4, most=3)
+    answers = [sorted(tuple(r) for r in C.ranked(C.without_raw_tests(x)).where("rank <= 3").collect()) for x in (every, best)]
+    assert answers[0] == answers[1] and len(answers[0]) >= 12
+    assert best.count() < every.count() / 2
+    assert {r.query_id for r in best.where("role = 'test_case'").collect()} == {r.query_id for r in every.where("role = 'test_case'").collect()}
+
+
+def test_find_scored_judges_pairs_once(spark, sf):
+    plan = find.find_scored(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
