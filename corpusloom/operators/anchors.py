@@ -9,6 +9,7 @@ up beside the candidate. A mode is a table of weights.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
-from .candidates import _COMPACT_TEST, _name_parts, spread
+from .candidates import _COMPACT_TEST, Best, _name_parts, asked, beside, spread
 
 # Words for tasks, for kinds of documents, broad words, words that name no subject of their own in code tasks.
 TASK_WORDS = ("a", "add", "an", "and", "are", "build", "change", "check", "continue", "cover", "covers", "covered", "context", "do", "fix", "for", "from", "generate", "get", "help", "how", "implement", "improve", "into", "make", "need", "next", "or", "run", "same", "share", "shared", "show", "so", "that", "the", "these", "this", "those", "to", "update", "use", "what", "when", "where", "which", "who", "why", "with", "without", "work", "working", "behavior", "behaviour")
@@ -234,6 +235,22 @@ def vocabulary(held_terms: DataFrame, n: Column) -> DataFrame:
     return df.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
+class Pairs(NamedTuple):
+    """Rows and queries that an anchor scores: what boosts and admits judge, and the uses of anchors from start on."""
+
+    row: np.ndarray
+    query: np.ndarray
+    score: np.ndarray
+    max_idf: np.ndarray
+    strong: np.ndarray
+    fields: np.ndarray  # bits by place of the field
+    kinds: np.ndarray  # bits by place in KINDS
+    lead: np.ndarray  # a use, -1: none
+    use: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+
 class Scorer:
     """Adds up what the anchors of queries count for in candidates. uses: one row an anchor of a query; most: rows that
     cannot be among the best so many of their query are left out (None: all are returned)."""
@@ -250,6 +267,7 @@ class Scorer:
         self.query, self.ord, self.factor, self.idf = column(lambda u: number[u.query_id], np.int64), column(lambda u: u.ord, np.int64), column(lambda u: u.factor, float), column(lambda u: u.idf, float)
         self.subject, self.strong, self.lead = column(lambda u: u.kind != "role", bool), column(lambda u: u.strong, bool), column(lambda u: u.lead, bool)
         self.term, self.kind = pa.array([u.term for u in uses], pa.string()), pa.array([u.kind for u in uses], pa.string())
+        self.kind_bit = column(lambda u: 1 << KINDS.index(u.kind), np.int64)
         weights = {**FIELDS, "role": (mode.role, MOST_ROLE_HITS), "body": (mode.body, MOST_BODY_HITS)}
         self.weight, self.cap = np.array([weights.get(n, (0.0, 0))[0] for n in names]), np.array([weights.get(n, (0.0, 0))[1] for n in names])
         self.of_phrase = np.array([{**PHRASE_FIELDS, "body": mode.phrase_body}.get(n, 0.0) for n in names])
@@ -295,7 +313,8 @@ class Scorer:
             self.best[q] = np.partition(both, len(both) - self.most)[-self.most :]
         return score >= self.best.min(1)[query] - 2e-6  # scores are rounded to six digits later
 
-    def scored(self, keys: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+    def pairs(self, lists: pa.ListArray) -> Pairs:
+        """What the anchors of each query count for in each row of found terms (array<struct<at, n>>)."""
         row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         flat = lists.flatten()
         row, term, tf, mask = self.hits(row, *(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n")))
@@ -307,26 +326,30 @@ class Scorer:
         order = np.lexsort((self.ord[use], cell))
         cell, use, worth, mask = cell[order], use[order], worth[order], mask[each][order]
         pair, start = np.unique(cell, return_index=True)
-        if len(pair):
-            size = np.diff(np.append(start, len(cell)))
-            place, beyond = np.arange(len(cell)), len(cell)
-            first = lambda ok: np.minimum.reduceat(np.where(ok, place, beyond), start)
-            # a word for a kind of document counts less before any subject
-            alone = ~self.subject[use] & (place <= np.repeat(first(self.subject[use]), size))
-            score = np.add.reduceat(np.where(alone, worth * LONE_ROLE_FACTOR, worth), start)
-            query, lead = pair % len(self.ids), first(self.lead[use])
-            strong = np.logical_or.reduceat(self.strong[use] & (mask & self.telling > 0), start)
-            fields, idf = np.bitwise_or.reduceat(mask, start), np.maximum.reduceat(self.idf[use], start)
-            kept = np.flatnonzero(self.promising(query, score)) if self.most else np.arange(len(pair))
-        else:
-            score, idf, query, lead, strong, fields, size, kept, beyond = np.zeros(0), np.zeros(0), pair, pair, np.zeros(0, bool), pair, pair, pair, 0
-        members = use[expanded(start[kept], size[kept])]
-        ends = pa.array(np.append(0, np.cumsum(size[kept])).astype(np.int32))
-        lead, none = lead[kept], lead[kept] == beyond
-        leads = self.term.take(pa.array(use[np.where(none, 0, lead)] if len(kept) else lead, mask=none))
+        if not len(pair):
+            return Pairs(pair, pair, np.zeros(0), np.zeros(0), np.zeros(0, bool), pair, pair, pair, pair, pair, pair)
+        size = np.diff(np.append(start, len(cell)))
+        place, beyond = np.arange(len(cell)), len(cell)
+        first = lambda ok: np.minimum.reduceat(np.where(ok, place, beyond), start)
+        # a word for a kind of document counts less before any subject
+        alone = ~self.subject[use] & (place <= np.repeat(first(self.subject[use]), size))
+        score = np.add.reduceat(np.where(alone, worth * LONE_ROLE_FACTOR, worth), start)
+        lead = first(self.lead[use])
+        strong = np.logical_or.reduceat(self.strong[use] & (mask & self.telling > 0), start)
+        fields, kinds, idf = np.bitwise_or.reduceat(mask, start), np.bitwise_or.reduceat(self.kind_bit[use], start), np.maximum.reduceat(self.idf[use], start)
+        lead = np.where(lead < beyond, use[np.minimum(lead, beyond - 1)], -1)
+        return Pairs(pair // len(self.ids), pair % len(self.ids), score, idf, strong, fields, kinds, lead, use, start, size)
+
+    def scored(self, keys: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        p = self.pairs(lists)
+        kept = np.flatnonzero(self.promising(p.query, p.score)) if self.most and len(p.query) else np.arange(len(p.query))
+        members = p.use[expanded(p.start[kept], p.size[kept])]
+        ends = pa.array(np.append(0, np.cumsum(p.size[kept])).astype(np.int32))
+        lead = p.lead[kept]
+        leads = self.term.take(pa.array(np.maximum(lead, 0), mask=lead < 0))
         columns = {
-            "query": pa.array(query[kept].astype(np.int32)), "key": keys.take(pa.array(pair[kept] // max(1, len(self.ids)))), "score": pa.array(score[kept]), "terms": pa.ListArray.from_arrays(ends, self.term.take(pa.array(members))),
-            "kinds": pa.ListArray.from_arrays(ends, self.kind.take(pa.array(members))), "fields": self.named.take(pa.array(fields[kept])), "strong": pa.array(strong[kept]), "max_idf": pa.array(idf[kept]), "lead": leads,
+            "query": pa.array(p.query[kept].astype(np.int32)), "key": keys.take(pa.array(p.row[kept])), "score": pa.array(p.score[kept]), "terms": pa.ListArray.from_arrays(ends, self.term.take(pa.array(members))),
+            "kinds": pa.ListArray.from_arrays(ends, self.kind.take(pa.array(members))), "fields": self.named.take(pa.array(p.fields[kept])), "strong": pa.array(p.strong[kept]), "max_idf": pa.array(p.max_idf[kept]), "lead": leads,
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -335,16 +358,13 @@ class Scorer:
 MATCHED, ROWS = 2000, 200
 
 
-def scores(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str, Column], mode: str = "v1", texts: dict[str, Column] | None = None, most: int | None = None) -> DataFrame:
-    """query_id, key, score, matches and kinds (in the order of the query), fields, strong, max_idf, lead (the first subject
-    among the matches), protocol for each query with a specific anchor and candidate that an anchor scores. fields: arrays of
-    terms by name; texts: arrays of texts by name, whose terms are found without listing them (far less work for long texts).
-    most: rows that cannot be among the best so many of their query may be left out. The queries are a stated set, whose
-    anchors go to all tasks."""
-    m, texts = MODES[mode], texts or {}
+def weighed(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str, Column], mode: str, texts: dict[str, Column]) -> tuple[list[Row], list[str], list[str], dict[str, str], Mode]:
+    """What a Scorer is made of for queries and the vocabulary of candidates: uses, wanted terms, names of the fields, alternates,
+    mode."""
+    m = MODES[mode]
     spark = candidates.sparkSession
-    asked = query_anchors(queries).where("specific")
-    alt = asked.select("term", (alternates(F.col("term")) if m.code else F.lit(None).cast("string")).alias("alt")).distinct()
+    anchors = query_anchors(queries).where("specific")
+    alt = anchors.select("term", (alternates(F.col("term")) if m.code else F.lit(None).cast("string")).alias("alt")).distinct()
     alternate = {r.term: r.alt for r in alt.collect()}
     wanted = sorted({*alternate, *alternate.values()} - {None})
     alternate = {t: a for t, a in alternate.items() if a is not None}
@@ -354,7 +374,8 @@ def scores(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str
     listed = spark.createDataFrame(list(enumerate(wanted)), "no int, term string")
     vocab = vocabulary(numbers.join(F.broadcast(listed), "no"), F.lit(candidates.count()))
     if m.code:
-        # the rarer of a term and its singular tells the weight
+        # the rarer of a term and its singular tells the weight; the terms are a stated set
+        vocab = spark.createDataFrame(vocab.select("term", "df", "idf").collect(), "term string, df long, idf double")
         other = alt.where("alt IS NOT NULL").join(vocab.select(F.col("term").alias("alt"), F.col("df").alias("df2"), F.col("idf").alias("idf2")), "alt")
         both = vocab.join(other.select("term", "df2", "idf2"), "term", "full_outer")
         rarer = F.col("df").isNull() | (F.col("idf2") > F.col("idf"))
@@ -368,8 +389,19 @@ def scores(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str
     common = F.col("df").isNotNull() & (idf < LEAST_IDF) & (kind != "compact")
     strong = (kind != "role") & ~broad & ~common & (F.lit(mode != "strict") | (kind != "rare"))
     lead = (kind != "role") & ~term.isin(*SUPPORT_WORDS, *CODE_WORDS)
-    uses = asked.join(vocab, "term", "left").select("query_id", "ord", "term", "kind", "protocol", factor.alias("factor"), idf.alias("idf"), strong.alias("strong"), lead.alias("lead")).collect()
-    names = [*fields, *texts]
+    uses = anchors.join(vocab, "term", "left").select("query_id", "ord", "term", "kind", "protocol", factor.alias("factor"), idf.alias("idf"), strong.alias("strong"), lead.alias("lead")).collect()
+    return uses, wanted, [*fields, *texts], alternate, m
+
+
+def scores(queries: DataFrame, candidates: DataFrame, key: str, fields: dict[str, Column], mode: str = "v1", texts: dict[str, Column] | None = None, most: int | None = None) -> DataFrame:
+    """query_id, key, score, matches and kinds (in the order of the query), fields, strong, max_idf, lead (the first subject
+    among the matches), protocol for each query with a specific anchor and candidate that an anchor scores. fields: arrays of
+    terms by name; texts: arrays of texts by name, whose terms are found without listing them (far less work for long texts).
+    most: rows that cannot be among the best so many of their query may be left out. The queries are a stated set, whose
+    anchors go to all tasks."""
+    texts = texts or {}
+    uses, wanted, names, alternate, m = weighed(queries, candidates, key, fields, mode, texts)
+    spark = candidates.sparkSession
     shared = spark.sparkContext.broadcast((uses, wanted, names, alternate, m, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,31 +425,59 @@ def is_instruction(path: Column) -> Column:
     return F.element_at(F.split(p, "/"), -1).isin("agents.md", "claude.md", "codeowners", "governance.md", "maintainers.md", "skill.md") | p.endswith(".agent.md") | p.rlike(r"/\.claude/|/\.codex/skills/|/\.cursor/rules/|/\.github/issue_template/")
 
 
-def _in(*fields: str) -> Column:
-    return F.arrays_overlap("fields", F.array(*map(F.lit, fields)))
+class Columns:
+    """What boosts and admits judge, in rows."""
+
+    def __init__(self) -> None:
+        self.score, self.max_idf, self.strong, self.led = F.col("score"), F.col("max_idf"), F.col("strong"), F.col("lead").isNotNull()
+
+    def into(self, *fields: str) -> Column:
+        return F.arrays_overlap("fields", F.array(*map(F.lit, fields)))
+
+    def of(self, *kinds: str) -> Column:
+        return F.arrays_overlap("kinds", F.array(*map(F.lit, kinds)))
+
 
+class Arrays:
+    """What boosts and admits judge, in pairs of a task."""
 
-def _kind(*kinds: str) -> Column:
-    return F.arrays_overlap("kinds", F.array(*map(F.lit, kinds)))
+    def __init__(self, pairs: Pairs, names: list[str]) -> None:
+        self.score, self.max_idf, self.strong, self.led = np.round(pairs.score, 6), pairs.max_idf, pairs.strong, pairs.lead >= 0
+        self.pairs, self.names = pairs, names
 
+    def into(self, *fields: str) -> np.ndarray:
+        return self.pairs.fields & sum(1 << i for i, n in enumerate(self.names) if n in fields) > 0
 
-def boosts(mode: str) -> Column:
+    def of(self, *kinds: str) -> np.ndarray:
+        return self.pairs.kinds & sum(1 << KINDS.index(k) for k in kinds) > 0
+
+
+def boosts(mode: str, of: Columns | Arrays) -> Column | np.ndarray:
     """Whether a score adds to a row that is found already."""
-    named = _in("path", "title", "test_name") & _kind("compact", "path", "phrase")
+    exact = of.of("compact", "path", "phrase")
     if MODES[mode].code:
-        rest = (F.col("score") >= 4.0) & (F.col("max_idf") >= 1.25) & _in("path", "title", "symbol", "heading") & _kind("compact", "path", "phrase", "rare")
+        rest = (of.score >= 4.0) & (of.max_idf >= 1.25) & of.into("path", "title", "symbol", "heading") & of.of("compact", "path", "phrase", "rare")
     else:
-        rest = named | (F.lit(mode == "v1") & _kind("compact", "path", "phrase") & (F.col("max_idf") >= LEAST_IDF) & _in("heading", "symbol"))
-    led = F.col("lead").isNotNull() if mode == "code_task_family_v2" else F.lit(True)
-    return (F.col("score") >= 1.0) & led & (F.col("strong") | rest)
+        rest = of.into("path", "title", "test_name") & exact
+        if mode == "v1":
+            rest = rest | (exact & (of.max_idf >= LEAST_IDF) & of.into("heading", "symbol"))
+    able = (of.score >= 1.0) & (of.strong | rest)
+    return able & of.led if mode == "code_task_family_v2" else able
 
 
-def admits(mode: str) -> Column:
+def admits(mode: str, of: Columns | Arrays) -> Column | np.ndarray:
     """Whether a score adds a row that is not found yet."""
     m = MODES[mode]
-    named = {"v1": F.lit(True), "strong_field": _in("path", "title", "test_name"), "strict": _in("path", "title", "test_name") & _kind("compact", "path", "phrase"), "code_task_family_v2": _in("path", "title", "symbol", "heading", "test_name") & F.col("lead").isNotNull()}
-    rest = named.get(mode, _in("path", "title", "symbol", "heading"))
-    return F.col("strong") & (F.col("score") >= m.least_score) & (F.col("max_idf") >= m.least_idf) & rest
+    able = of.strong & (of.score >= m.least_score) & (of.max_idf >= m.least_idf)
+    if mode == "v1":
+        return able
+    if mode == "strong_field":
+        return able & of.into("path", "title", "test_name")
+    if mode == "strict":
+        return able & of.into("path", "title", "test_name") & of.of("compact", "path", "phrase")
+    if mode == "code_task_family_v2":
+        return able & of.into("path", "title", "symbol", "heading", "test_name") & of.led
+    return able & of.into("path", "title", "symbol", "heading")
 
 
 def reranked(found: DataFrame, scored: DataFrame, paths: DataFrame, key: str, mode: str = "v1") -> DataFrame:
@@ -427,10 +487,10 @@ def reranked(found: DataFrame, scored: DataFrame, paths: DataFrame, key: str, mo
     m = MODES[mode]
     able = scored.join(paths.select(key, F.col("path").alias("_path")), key).where(~is_instruction(F.col("_path")) | F.col("protocol"))
     delta = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(MOST_BOOST))
-    more = able.where(boosts(mode)).select("query_id", key, delta.alias("_more"))
+    more = able.where(boosts(mode, Columns())).select("query_id", key, delta.alias("_more"))
     first = found.join(more, ["query_id", key], "left").select("query_id", key, "path", F.round(F.col("score") + F.coalesce("_more", F.lit(0.0)), 6).alias("score"), F.lit(False).alias("added"))
     known = found.select("query_id").distinct()
-    new = able.where(admits(mode)).join(known, "query_id", "left_semi").join(found.select("query_id", key), ["query_id", key], "left_anti")
+    new = able.where(admits(mode, Columns())).join(known, "query_id", "left_semi").join(found.select("query_id", key), ["query_id", key], "left_anti")
     new = new.select("query_id", key, F.col("_path").alias("path"), F.round(delta, 6).alias("score"), F.lit(True).alias("added"), "lead")
     order = [F.desc("score"), F.col("path"), F.col(key)]
     if mode == "code_task_family_v2":
@@ -440,3 +500,150 @@ def reranked(found: DataFrame, scored: DataFrame, paths: DataFrame, key: str, mo
     if m.most:
         new = new.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("_rank") <= m.most)
     return first.unionByName(new.select(*first.columns))
+
+
+class Reranker:
+    """The best rows of each query beside their candidates: of found rows with what anchors add, and of rows that anchors add.
+    Whole test files are kept apart, as they stay or go by units of tests of other tasks."""
+
+    def __init__(self, scorer: Scorer, names: list[str], mode: str, of_number: np.ndarray, of_scorer: np.ndarray, protocol: np.ndarray, most: int) -> None:
+        self.scorer, self.names, self.mode, self.m = scorer, names, mode, MODES[mode]
+        self.of_number, self.of_scorer, self.protocol = of_number, of_scorer, protocol
+        self.by_lead = mode == "code_task_family_v2"
+        n = len(protocol)
+        self.found = [Best(n, most), Best(n, most)]
+        self.most_new = self.m.most or most
+        self.new: dict[tuple[int, str | None, bool], list[tuple]] = {}
+        self.units = np.zeros(n, bool)
+
+    def show(self, keys: list, terms: pa.ListArray, rows: pa.ListArray) -> None:
+        """keys, the terms they hold and their candidates (beside), each one row a key."""
+        n, queries = len(keys), len(self.protocol)
+        of_key = np.repeat(np.arange(n), pc.list_value_length(rows).to_numpy(zero_copy_only=False))
+        each = rows.flatten()
+        no, score, stays = (each.field(c) for c in ("no", "score", "stays"))
+        of_row = np.repeat(np.arange(len(each)), pc.list_value_length(no).to_numpy(zero_copy_only=False))
+        query = self.of_number[no.flatten().to_numpy(zero_copy_only=False)]
+        score, stays = score.flatten().to_numpy(zero_copy_only=False), stays.flatten().to_numpy(zero_copy_only=False).astype(bool)
+        paths, of_rules = each.field("path").to_pylist(), each.field("of_rules").to_numpy(zero_copy_only=False)
+        unit = each.field("unit").to_numpy(zero_copy_only=False).astype(bool)
+        self.units[query[unit[of_row]]] = True
+        cell = of_key[of_row] * queries + query
+
+        pairs = self.scorer.pairs(terms)
+        at = self.of_scorer[pairs.query]
+        some = (at >= 0) & np.array([k is not None for k in keys], bool)[pairs.row]
+        judged = Arrays(pairs, self.names)
+        delta = np.clip(judged.score, 0.0, MOST_BOOST)
+        scored = pairs.row * queries + at
+        # a file of rules is scored for queries about such files only
+        plain = np.zeros(n, bool)
+        plain[of_key[of_rules == 0]] = True
+        more = np.zeros(n * queries)
+        boosted = some & boosts(self.mode, judged) & (plain[pairs.row] | self.protocol[at])
+        more[scored[boosted]] = delta[boosted]
+        total = np.round(score + more[cell], 6)
+        ties = [(k is not None, k) for k in keys]
+        tied = [ties[i] for i in of_key]
+        for best, of in ((self.found[0], stays), (self.found[1], ~stays)):
+            place = np.flatnonzero(of)
+            if len(place):
+                # rows of a key and query are few, but may be several
+                self._found(best, place, query, of_row, total, tied, keys, of_key, paths)
+        held = [np.zeros(n * queries, bool), np.zeros(n * queries, bool)]
+        held[0][cell[stays]] = held[1][cell[~stays]] = True
+        new = np.flatnonzero(some & admits(self.mode, judged))
+        new = new[~held[0][scored[new]]]
+        begins = np.searchsorted(of_key, np.arange(n + 1))
+        for i in new.tolist():
+            k, q, lead = int(pairs.row[i]), int(at[i]), int(pairs.lead[i])
+            lead_term = self.scorer.term[lead].as_py() if lead >= 0 else None
+            group = self.new.setdefault((q, lead_term if self.by_lead else None, bool(held[1][scored[i]])), [])
+            for j in range(begins[k], begins[k + 1]):
+                if of_rules[j] and not self.protocol[q]:
+                    continue
+                path = None if of_rules[j] == 2 else paths[j]
+                worth = float(np.round(delta[i], 6))
+                item = (-worth, *((path or "", ties[k]) if self.m.most else (ties[k],)))
+                if len(group) < self.most_new or item < group[-1][0]:
+                    bisect.insort(group, (item, (keys[k], path, worth, lead_term)), key=lambda x: x[0])
+                    del group[self.most_new :]
+
+    def _found(self, best: Best, place: np.ndarray, query: np.ndarray, of_row: np.ndarray, total: np.ndarray, tied: list, keys: list, of_key: np.ndarray, paths: list[str]) -> None:
+        """Shows rows by candidate and query, a candidate in several layers if it meets a query several times."""
+        order = place[np.lexsort((query[place], of_row[place]))]
+        cell = of_row[order] * len(self.protocol) + query[order]
+        layer = np.arange(len(cell)) - np.searchsorted(cell, cell)
+        for n in range(int(layer.max()) + 1):
+            at = order[layer == n]
+            score = np.full((len(tied), len(self.protocol)), -np.inf)
+            score[of_row[at], query[at]] = total[at]
+            best.show(score, tied, lambda r, q: (keys[of_key[r]], paths[r], float(score[r, q]), None))  # noqa: B023
+
+    def rows(self) -> list[tuple]:
+        """query, key, path, score, lead, added, sure of all that is kept; units of tests as rows without score."""
+        out = [(q, *x[2], False, i == 0) for i, best in enumerate(self.found) for q, rows in enumerate(best.rows) for x in rows]
+        out += [(q, *x[1], True, not may_go) for (q, _, may_go), group in self.new.items() for x in group]
+        return out + [(int(q), None, None, None, None, False, True) for q in np.flatnonzero(self.units)]
+
+
+def best_reranked(queries: DataFrame, naming: DataFrame, candidates: DataFrame, key: str, fields: dict[str, Column], texts: dict[str, Column], mode: str, most: int) -> DataFrame:
+    """query_id, key, path, score, added and rank: the best rows of each query by score and key of what reranked gives for its
+    base score without raw tests (queries) and anchor scores (naming, texts of the same query_ids). Both scores meet beside the
+    candidate: what is shuffled is what a candidate holds and which queries admit it, and the best rows of each task. Both
+    queries are stated sets, which go to all tasks. Rows that share a key are one candidate for anchors."""
+    spark = candidates.sparkSession
+    asking = asked(queries)
+    uses, wanted, names, alternate, m = weighed(naming, candidates, key, fields, mode, texts)
+    ids = list(dict.fromkeys(r.query_id for r in asking))
+    place = {q: i for i, q in enumerate(ids)}
+    of_number = np.array([place[r.query_id] for r in asking], np.int64)
+    of_scorer = np.array([place.get(q, -1) if q is not None else -1 for q in dict.fromkeys(u.query_id for u in uses)], np.int64)
+    protocol = np.zeros(len(ids) + 1, bool)  # the last one stands for no query
+    for u in uses:
+        if u.query_id in place:
+            protocol[place[u.query_id]] = u.protocol
+    shared = spark.sparkContext.broadcast((uses, wanted, names, alternate, m, of_number, of_scorer, protocol))
+
+    path = F.col("path")
+    of_rules = F.when(path.isNull(), 2).when(is_instruction(path), 1).otherwise(0)
+    found = beside(asking, candidates.withColumn("of_rules", of_rules), key, ("of_rules",))
+    row = F.struct("path", "of_rules", "unit", "no", "score", "stays")
+    # candidates without key are no candidates for anchors, and not one group
+    alone = F.when(F.col(key).isNull(), F.xxhash64("path"))
+    base = found.select(F.col(key).alias("key"), alone.alias("alone"), row.alias("row"))
+    terms = held(candidates, key, fields, texts, wanted).where("key IS NOT NULL")
+    both = base.withColumn("found", F.lit(None).cast(terms.schema["found"].dataType)).unionByName(terms.select("key", F.lit(None).cast("long").alias("alone"), F.lit(None).cast(base.schema["row"].dataType).alias("row"), "found"))
+    grouped = both.groupBy("key", "alone").agg(F.flatten(F.collect_list("found")).alias("found"), F.collect_list("row").alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses, wanted, names, alternate, m, of_number, of_scorer, protocol = shared.value
+        reranker = Reranker(Scorer(uses, wanted, names, alternate, m, None), names, mode, of_number, of_scorer, protocol, most)
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                reranker.show(part.column(0).to_pylist(), part.column(1), part.column(2))
+        rows = reranker.rows()
+        if rows:
+            kinds = (pa.int32(), kind, pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["query", "key", "path", "score", "lead", "added", "sure"])
+
+    of_key = candidates.schema[key].dataType.simpleString()
+    out = grouped.select("key", "found", "rows").mapInArrow(run, f"query int, key {of_key}, path string, score double, lead string, added boolean, sure boolean")
+    of_query = Window.partitionBy("query")
+    out = out.withColumn("_units", F.max(F.col("score").isNull()).over(of_query)).where("score IS NOT NULL")
+    out = out.where(F.col("sure") | (F.col("added") == F.col("_units")))
+    out = out.withColumn("_known", F.max(~F.col("added")).over(of_query)).where("NOT added OR _known")
+    order = [F.desc("score"), F.col("path"), F.col("key")]
+    if mode == "code_task_family_v2":
+        of_lead = F.row_number().over(Window.partitionBy("query", "added", "lead").orderBy(*order))
+        out = out.withColumn("_later", (F.col("lead").isNull() | (of_lead > PER_LEAD)).cast("int"))
+        order = [F.col("_later"), *order]
+    if m.most:
+        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy("query", "added").orderBy(*order))).where(~F.col("added") | (F.col("_rank") <= m.most))
+    listed = spark.createDataFrame(list(enumerate(ids)), f"query int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    best = out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+    return best.join(F.broadcast(listed), "query").select("query_id", F.col("key").alias(key), "path", "score", "added", "rank")

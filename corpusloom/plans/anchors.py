@@ -12,13 +12,18 @@ from ..sources import tables as T
 from .find import _KIND, _NAME, _PATH, _SHAPES, _SUBTYPE, CUES, _list, candidates, queries
 
 
-def _scores(spark: SparkSession, sf: str, mode: str = "v1", most: int | None = None) -> DataFrame:
-    """Candidates scored by field: names of tests and kind as terms, path, title and body as texts."""
+def _fields() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Fields of candidates: names of tests and kind as terms; path, title and body as texts."""
     subtype = F.col("subtype")
     names = F.when(subtype == "test_case", A.test_terms(F.col("title"))).otherwise(F.array().cast("array<string>"))
     fields = {"test_name": names, "role": F.concat(A.text_terms(F.col("kind")), A.text_terms(subtype))}
-    texts = {"path": A.path_texts(F.col("path")), "title": F.array("title"), "body": F.array("body")}
-    return A.scores(anchor_queries(spark, sf), candidates(spark, sf), "artifact_id", fields, mode, texts, most)
+    return fields, {"path": A.path_texts(F.col("path")), "title": F.array("title"), "body": F.array("body")}
+
+
+def _scores(spark: SparkSession, sf: str, most: int) -> DataFrame:
+    """Candidates scored by field."""
+    fields, texts = _fields()
+    return A.scores(anchor_queries(spark, sf), candidates(spark, sf), "artifact_id", fields, "v1", texts, most)
 
 
 def anchor_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,9 +45,8 @@ def anchor_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def anchor_reranked(spark: SparkSession, sf: str) -> DataFrame:
     """The admitted candidates of each query after anchors, with the rows that these add, spread over lead anchors."""
-    a, mode = candidates(spark, sf), "code_task_family_v2"
-    found = C.without_raw_tests(C.scored(queries(spark, sf), a, "artifact_id")).select("query_id", "artifact_id", "path", "score")
-    return C.top_rows(A.reranked(found, _scores(spark, sf, mode), a, "artifact_id", mode), "artifact_id", 16)
+    fields, texts = _fields()
+    return A.best_reranked(queries(spark, sf), anchor_queries(spark, sf), candidates(spark, sf), "artifact_id", fields, texts, "code_task_family_v2", 16)
 
 
 QUERIES = {f.__name__: f for f in (anchor_profile, anchor_scores, anchor_reranked)}

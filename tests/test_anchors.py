@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import anchors as A
+from corpusloom.operators import candidates as C
+from corpusloom.plans import anchors as P
 
 QUERIES = "query_id long, text string"
 ROWS = "id long, path string, title string, body string, test string"
@@ -235,3 +237,39 @@ def test_no_pairs_are_shuffled(spark):
     queries, rows = data()
     plan = scored(spark, queries, rows, "v1")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(key" in plan and "Window" not in plan
+
+
+def of_test(rows):
+    """Rows as candidates: names of tests as units, others with whole test files among them; some without id or path."""
+    rng = random.Random(6)
+    out = []
+    for i, (key, path, title, body, test) in enumerate(rows * 4):
+        unit = ("source_context", "test_case") if test else (None, None)
+        path = f"{path}#L{i}" if test else rng.choice([path, path.replace(".go", "_test.go"), f"tests/{path.removesuffix('.md')}_test.py", f"docs/plans/{i}.md"])
+        out.append((None if i % 40 == 39 else key + 100 * i, None if i % 50 == 49 else path, test or title, body, *unit))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["v1", "code_task_family_v2", "rerank_only"])
+def test_best_reranked(spark, mode):
+    """Scores that meet beside their candidate give the best rows of all pairs, also where whole test files stay or go."""
+    queries, rows = data()
+    queries = [(q, f"{t or ''} {['tests for', 'source file', 'rules', ''][i % 4]}" if i % 5 else t) for i, (q, t) in enumerate(queries)]
+    found = spark.createDataFrame(queries, QUERIES)
+    naming = found.select("query_id", F.concat_ws(" ", "text", F.lit("webhook")).alias("text"))
+    frame = spark.createDataFrame(of_test(rows), "id long, path string, title string, body string, kind string, subtype string").repartition(3)
+    names = F.when(F.col("subtype") == "test_case", A.test_terms(F.col("title"))).otherwise(F.array().cast("array<string>"))
+    texts = {"path": A.path_texts(F.col("path")), "title": F.array("title"), "body": F.array("body")}
+    base = C.without_raw_tests(C.scored(found, frame, "id")).select("query_id", "id", "path", "score")
+    every = C.top_rows(A.reranked(base, A.scores(naming, frame, "id", {"test_name": names}, mode, texts), frame, "id", mode), "id", 9)
+    want = Counter((r.query_id, r.id, r.path, r.score, r.added, r["rank"]) for r in every.collect())
+    best = A.best_reranked(found, naming, frame, "id", {"test_name": names}, texts, mode, 9)
+    got = Counter((r.query_id, r.id, r.path, r.score, r.added, r["rank"]) for r in best.collect())
+    assert got == want and sum(want.values()) > 60
+    assert any(k[4] for k in want) == (mode != "rerank_only") and any("_test." in (k[2] or "") for k in want)
+
+
+def test_pairs_meet_beside_their_candidate(spark, sf):
+    """Base scores are judged once, and no pair of a query and a candidate is joined or shuffled."""
+    plan = P.anchor_reranked(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "hashpartitioning(query_id" not in plan and "SortMergeJoin" not in plan

@@ -167,9 +167,20 @@ def test_rules_on_arrays_as_in_sql(spark):
     assert sum(r.n is not None for r in got) > 100
 
 
-def test_only_the_best_leave_a_task(spark, monkeypatch):
+def test_best_of_many_batches():
+    rng = np.random.default_rng(4)
+    score = rng.integers(0, 12, (400, 5)).astype(float)
+    score[score < 3] = -np.inf
+    best = C.Best(5, 6)
+    for lo in range(0, 400, 30):
+        best.show(score[lo : lo + 30], [f"p{i * 7 % 400}" for i in range(lo, min(lo + 30, 400))], lambda r, q, lo=lo: (lo + r, q))
+    for q in range(5):
+        want = sorted((-score[i, q], f"p{i * 7 % 400}", (i, q)) for i in range(400) if score[i, q] > 0)[:6]
+        assert best.rows[q] == want
+
+
+def test_only_the_best_leave_a_task(spark):
     """Rows that cannot be in an answer are left out beside their candidate; the answers are those from all pairs."""
-    monkeypatch.setattr(C, "ROWS", 7)
     rng = random.Random(8)
     words = ["ledger", "replay", "webhook_id", "session", "retry", "portal"]
     shapes = [("docs/plans/{}.md", None, None), ("pkg/{}_test.go", None, None), ("pkg/{}_test.go#L5", "source_context", "test_case"), ("docs/prd/{}.md", None, None), ("svc/{}.ts", None, None)]
