@@ -147,6 +147,8 @@ def alternates(term: Column) -> Column:
 
 def word_terms(word: str) -> list[str]:
     """Terms of one token, as text_terms has them."""
+    if word.isascii() and word.isalpha() and word[1:].islower():
+        return [word.lower()] * 3
     if word.isascii():
         spaced = re.sub("([a-z0-9])([A-Z])", r"\1 \2", word)
     else:
@@ -201,8 +203,9 @@ def held(candidates: DataFrame, key: str, fields: dict[str, Column], texts: dict
     number of fields, plus that of the field. fields: arrays of terms by name; texts: arrays of texts whose terms are found."""
     fields_, longest = len(fields) + len(texts), max(map(len, wanted), default=0)
     tokens = lambda t: F.flatten(F.transform(F.filter(t, lambda x: x.isNotNull()), lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))))
-    # a text is a term itself, too; of long ones none is wanted
-    wholes = lambda t: F.filter(F.transform(t, _named), lambda x: F.length(x) <= longest)
+    # a text is a term itself, too; of long ones none is wanted, and without quotes they are known by their length
+    able = lambda x: (F.length(F.trim(x)) <= longest) | x.contains("`") | x.contains("'") | x.contains('"')
+    wholes = lambda t: F.filter(F.transform(F.filter(t, able), _named), lambda x: F.length(x) <= longest)
     columns = [(i, False, c) for i, c in enumerate(fields.values())]
     for i, t in enumerate(texts.values(), len(fields)):
         columns += [(i, True, tokens(t)), (i, False, wholes(t))]
