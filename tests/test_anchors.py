@@ -273,3 +273,18 @@ def test_pairs_meet_beside_their_candidate(spark, sf):
     """Base scores are judged once, and no pair of a query and a candidate is joined or shuffled."""
     plan = P.anchor_reranked(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 3 and "hashpartitioning(query_id" not in plan and "SortMergeJoin" not in plan
+
+
+def test_best_reranked_of_few(spark):
+    """No queries, no candidates, and rows that share an id: each is found once, with what anchors add."""
+    rows = [(1, "docs/plans/ledger.md", "Ledger", "ledger replay"), (1, "docs/plans/replay.md", "Replay", "ledger"), (2, "pkg/ledger_test.go", "", "ledger"), (None, "docs/plans/a.md", "Ledger replay", ""), (3, "docs/x.md", "", None)]
+    rows += [(100 + i, f"docs/other/{i}.md", "Other", "") for i in range(20)]
+    queries, frame = spark.createDataFrame([(7, "ledger replay_log tests")], QUERIES), spark.createDataFrame(rows, "id long, path string, title string, body string")
+    texts = {"path": A.path_texts(F.col("path")), "title": F.array("title"), "body": F.array("body")}
+    best = lambda q, c: [tuple(r) for r in A.best_reranked(q, q, c, "id", {}, texts, "v1", 5).orderBy("rank").collect()]
+    assert best(queries.limit(0), frame) == best(queries, frame.limit(0)) == []
+    got = best(queries, frame)
+    plain = {r.path: r.score for r in C.scored(queries, frame, "id").collect()}
+    assert sorted(r[2] for r in got if not r[4]) == sorted(plain) and len(plain) >= 3
+    more = {r[2]: round(r[3] - plain[r[2]], 6) for r in got if not r[4]}
+    assert more["docs/plans/ledger.md"] == more["docs/plans/replay.md"] > 0 == more["docs/plans/a.md"]
