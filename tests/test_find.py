@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.operators import candidates as C
+from corpusloom.operators.terms import Trie, bytes_of, cuts
 from corpusloom.plans import find
 
 QUERIES = "query_id long, text string"
@@ -200,3 +202,16 @@ def test_only_the_best_leave_a_task(spark):
 def test_find_scored_judges_pairs_once(spark, sf):
     plan = find.find_scored(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_terms_do_not_reach_over_texts():
+    """Occurrences in many texts at once, sliced and empty ones among them, as Python counts them in each."""
+    rng = random.Random(12)
+    terms = ["aba", "abab", "ünd", "a.b", "bbb", "ab a", "abcabcabc"]
+    trie = Trie(terms)
+    texts = ["".join(rng.choices(["a", "b", "ab", "abc", ".", " ", "ü", "nd", ""], k=rng.randrange(25))) for _ in range(500)]
+    for array in (pa.array(["x", *texts, "y"]).slice(1, 500), pa.array(texts, pa.large_string())):
+        row, term = trie.found(*bytes_of(array))
+        got = np.bincount(row * len(terms) + term, minlength=500 * len(terms)).reshape(500, -1)
+        assert got.tolist() == [[t.count(x) for x in terms] for t in texts] and got.any(0).all()
+    assert cuts(bytes_of(pa.array(["aa", "", "bbbbbb", "c", "c"]))[1], 2, 3) == [(0, 2), (2, 3), (3, 5)]
